@@ -1,11 +1,13 @@
 """Quality rules: base counts and distribution divergence, native expressions only.
 
-A document's histogram over character classes and over common words is held
-against the reference of its language by Jensen-Shannon distance (the square
-root of the base-2 divergence, 0 to 1).  References are the summed histograms
-of all documents of a language that pass the base rules and the length guards;
-a language with fewer than ``min_ref_docs`` such documents, or a null language,
-is held against the reference of all languages together.  Documents below a
+A document's histograms over character classes and over common words are held
+against the references of the languages by Jensen-Shannon distance (the square
+root of the base-2 divergence, 0 to 1); the nearest language counts, as stated
+languages can be wrong.  References are the summed histograms of all documents
+of a language that pass the base rules and the length guards; a language needs
+``min_ref_docs`` of them, and with no such language the sum over all documents
+is the reference.  With more than ``max_langs`` languages a document is held
+against its stated language's reference only, by a join.  Documents below a
 guard are too short for that comparison and keep the base verdict.
 
 Edge cases: null text has no words and fails the base rules; a table whose
@@ -155,9 +157,9 @@ def quality_rules(
     min_class_chars: int = 200,
     min_common_words: int = 100,
     max_js_class: float = 0.3,
-    max_js_words: float = 0.285,
+    max_js_words: float = 0.275,
     min_ref_docs: int = 20,
-    broadcast_langs: int = 1000,
+    max_langs: int = 1000,
 ) -> DataFrame:
     """``docs`` plus the base counts, base_failed, js_class, js_words (null below
     their guards) and kept.
@@ -194,16 +196,21 @@ def quality_rules(
     refs = sums.where(F.col("__lang").isNotNull() & (F.col("__docs") >= min_ref_docs)).select(
         "__lang", share(F.array(*[f"c{i}" for i in range(N_CLASS)])).alias("__rc"), share(F.array(*[f"b{i}" for i in range(n_bins)])).alias("__rb")
     )
-    few = refs.limit(broadcast_langs + 1).count() <= broadcast_langs
-    df = df.join(F.broadcast(refs) if few else refs, lang == F.col("__lang"), "left")
-
     def whole(prefix: str, n: int) -> Column:
         vals = [total.get(f"{prefix}{i}") or 0 for i in range(n)]
         s = sum(vals)
         return F.array(*[F.lit(v / s) for v in vals]) if s else F.lit(None).cast("array<double>")
 
-    js_class = F.when(F.col("__n") >= min_class_chars, distance(share(F.col("__class")), F.coalesce("__rc", whole("c", N_CLASS))))
-    js_words = F.when(w >= min_common_words, distance(share(F.col("__bins")), F.coalesce("__rb", whole("b", n_bins))))
+    known = refs.limit(max_langs + 1).collect()
+    if len(known) > max_langs:
+        df = df.join(refs, lang == F.col("__lang"), "left")
+        ref = lambda name, n: F.array(F.coalesce(name, whole(name[3:], n)))
+    else:
+        lit = lambda v: F.array(*[F.lit(x) for x in v])
+        ref = lambda name, n: F.array(*[lit(r[name]) for r in known]) if known else F.array(whole(name[3:], n))
+    nearest = lambda own, name, n: let(share(F.col(own)), lambda v: F.array_min(F.transform(ref(name, n), lambda r: distance(v, r))))
+    js_class = F.when(F.col("__n") >= min_class_chars, nearest("__class", "__rc", N_CLASS))
+    js_words = F.when(w >= min_common_words, nearest("__bins", "__rb", n_bins))
     df = df.select("__rid", *side, *RESULTS[:6], js_class.alias("js_class"), js_words.alias("js_words")).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("js_class") <= max_js_class, F.lit(True)) & F.coalesce(F.col("js_words") <= max_js_words, F.lit(True))
     )
