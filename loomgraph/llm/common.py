@@ -7,9 +7,11 @@ executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,16 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this host find the package from where the driver has it."""
+    here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, env.get("PYTHONPATH")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a temporary one only where none is set."""
+    importable(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not path:
@@ -198,7 +208,7 @@ def word_shingles(data: np.ndarray, offs: np.ndarray, k: int = 5) -> list[np.nda
             out.append(s[keep])
         elif b > a:
             w = h[a:b]
-            out.append(mix64(np.array([(w * MIX[1 : 1 + b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * MIX[60]], np.uint64)))
+            out.append(mix64((w * MIX[1 : 1 + b - a]).sum(dtype=np.uint64, keepdims=True) + MIX[60:61] * np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

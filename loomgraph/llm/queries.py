@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_model, quality_rules
+from .common import importable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,10 +41,39 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_digest(bpe.encode(docs, path, keep_text=False), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op5_bpe)}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ngram_join.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_decontaminate,
+        op3_language_id,
+        op5_bpe,
+        op6_ngram_join,
+        op7_quality_model,
+        op10_line_dedup,
+    )
+}
