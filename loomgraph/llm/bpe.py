@@ -28,6 +28,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the byte-level pre-tokeniser's pattern, white space by its Unicode property.
 PRE_TOKEN = (
@@ -194,7 +195,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", keep_text: bool
     """``df`` plus token_ids (array<int>) of the whole text; ``path`` must exist on every executor."""
     keep = [c for c in df.columns if c not in ("token_ids", text_col)]
     src = df.select(*keep, text_col)
-    out = (src if keep_text else src.select(*keep)).schema.add("token_ids", "array<int>")
+    out = (src if keep_text else src.select(*keep)).schema.add("token_ids", T.ArrayType(T.IntegerType()))
     width = len(keep) + keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
