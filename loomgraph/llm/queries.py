@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_model, quality_rules
+from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_model, quality_rules, repeats, url_filters
 from .common import importable
 
 
@@ -45,6 +45,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -60,6 +64,12 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = repeats.remove_repeats(docs)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -71,9 +81,11 @@ QUERIES = {
         op1_quality_rules,
         op2_decontaminate,
         op3_language_id,
+        op4_url_filters,
         op5_bpe,
         op6_ngram_join,
         op7_quality_model,
+        op9_repeats,
         op10_line_dedup,
     )
 }
