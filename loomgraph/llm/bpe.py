@@ -36,7 +36,7 @@ PRE_TOKEN = (
     r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 )
 RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 #: Longer pieces are not worth keeping.
 MEMO_PIECE = 64
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time (numpy temporaries are
@@ -80,6 +80,11 @@ def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate for ``df``; no job is run."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

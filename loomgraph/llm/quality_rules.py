@@ -17,12 +17,10 @@ Extra columns pass through; columns named like a result are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpoint, with_row_id
+from .common import Scratch, checkpoint, let, with_row_id
 
 WS = r"[\x20\x09-\x0D]"
 #: The most common short words of four languages, one histogram bin each.
@@ -39,11 +37,6 @@ POS_BITS = 20
 RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "js_class", "js_words", "kept")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once a row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def count_class(text: Column, chars: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{chars}]+", "")).cast("long")
 

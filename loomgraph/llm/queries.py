@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, line_dedup, ngram_join, quality_model, quality_rules, repeats, url_filters
+from . import bpe, context_mixing, decontaminate, language_id, line_dedup, ngram_join, quality_model, quality_rules, repeats, url_filters
 from .common import importable
 
 
@@ -64,6 +64,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.mixing_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = repeats.remove_repeats(docs)
@@ -85,6 +89,7 @@ QUERIES = {
         op5_bpe,
         op6_ngram_join,
         op7_quality_model,
+        op8_context_mixing,
         op9_repeats,
         op10_line_dedup,
     )

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, with_row_id
+from .common import Scratch, connected_components, let, with_row_id
 
 #: Fixed values of the default query: (verdict, rule).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -27,24 +27,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MOST_INLINE = 500
 
 
-def rest_of(url: Column) -> Column:
-    """What follows the first ``://``; empty without one."""
+def parts(url: Column) -> Column:
+    """struct(host, path, node): node is the address, null without a host."""
     at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
+    def of(r: Column) -> Column:
+        host = F.translate(F.regexp_extract(r, r"^([^/?#]*)", 1), UPPER, UPPER.lower())
+        path = F.regexp_extract(r, r"^[^/?#]*([^?#]*)", 1)
+        tail = F.regexp_extract(r, r"^[^/?#]*([^#]*)", 1)
+        return let(host, lambda h: F.struct(h.alias("host"), path.alias("path"), F.when(h != "", F.concat(h, tail)).alias("node")))
 
-def host_of(url: Column) -> Column:
-    return F.translate(F.regexp_extract(rest_of(url), r"^([^/?#]*)", 1), UPPER, UPPER.lower())
-
-
-def path_of(url: Column) -> Column:
-    return F.regexp_extract(rest_of(url), r"^[^/?#]*([^?#]*)", 1)
-
-
-def address(url: Column) -> Column:
-    """The node of a url: null without a host."""
-    host = host_of(url)
-    return F.when(host != "", F.concat(host, F.regexp_extract(rest_of(url), r"^[^/?#]*([^#]*)", 1)))
+    return let(rest, of)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
@@ -91,8 +85,8 @@ def linked_urls(html: Column) -> Column:
 def resolve(url: Column, target: Column) -> Column:
     """An absolute form of a link's target; null for other schemes."""
     scheme = F.substring_index(url, "://", 1)
-    root = F.concat(scheme, F.lit("://"), host_of(url))
-    folder = F.regexp_extract(path_of(url), r"^(.*/)", 1)
+    root = F.regexp_extract(url, r"^([\s\S]*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*/)", 1)
     return (
         F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
         .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
@@ -116,13 +110,14 @@ def filter_urls(
     scratch, final = Scratch(pages.sparkSession), Scratch(pages.sparkSession)
     own = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict")]
     url = F.col(url_col)
-    src = with_row_id(pages.select(*own, html_col)).withColumns({"host": host_of(url), "path": path_of(url), "__node": address(url), "__to": linked_urls(F.col(html_col))})
-    judged = with_rules(src.drop(html_col), rules, "__rid")
+    src = with_row_id(pages.select(*own, html_col)).select("__rid", *own, parts(url).alias("__u"), linked_urls(F.col(html_col)).alias("__to"))
+    src = src.select("__rid", *own, "__u.host", "__u.path", F.col("__u.node").alias("__node"), "__to")
+    judged = with_rules(src, rules, "__rid")
     judged = final.table(judged)
     links = judged.where(F.size("__to") > 0).select("__node", F.explode("__to").alias("t"), url_col).select(F.col("__node").alias("a"), resolve(url, F.col("t")).alias("u"))
-    links = links.select("a", address(F.col("u")).alias("b"), "u")
+    links = links.select("a", parts(F.col("u"))["node"].alias("b"), "u")
     if redirects is not None:
-        links = links.unionByName(redirects.select(address(F.col("src")).alias("a"), address(F.col("dst")).alias("b"), F.col("dst").alias("u")))
+        links = links.unionByName(redirects.select(parts(F.col("src"))["node"].alias("a"), parts(F.col("dst"))["node"].alias("b"), F.col("dst").alias("u")))
     links = scratch.table(links.where("a is not null and b is not null and a <> b").select("a", "b", F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), "u"))
     verdict = F.coalesce("rule_verdict", F.lit("allow"))
     if links.isEmpty():
@@ -130,7 +125,7 @@ def filter_urls(
     else:
         comp = connected_components(links)
         # an alias that was never crawled can be blocked as well
-        targets = links.select(F.col("dst").alias("id"), host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")).distinct()
+        targets = links.select(F.col("dst").alias("id"), parts(F.col("u")).alias("p")).select("id", "p.host", "p.path").distinct()
         seen = judged.where("__node is not null").select(F.xxhash64("__node").alias("id"), "rule_verdict").unionByName(with_rules(targets, rules, "id").select("id", "rule_verdict"))
         bad = comp.join(seen.where("rule_verdict = 'block'").select("id").distinct(), "id", "left_semi").select("comp").distinct()
         bad = scratch.table(comp.join(bad, "comp", "left_semi").select(F.col("id").alias("__id"), F.lit(True).alias("__bad")))
