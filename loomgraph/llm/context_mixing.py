@@ -122,10 +122,10 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(8):
                 node, bit = x.nodes(j)
                 for o in range(ORDERS):
-                    slot = x.slot(o, node) + o * SLOTS
+                    slot = x.slot(o, node)
                     for v in (0, 1):
                         at = bit == v
-                        total[v] += np.bincount(slot[at], weight[at], minlength=ORDERS * SLOTS)
+                        total[v, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot[at], weight[at], minlength=SLOTS)
     part = ORDERS * SLOTS // 32
     for p in range(32):
         here = total[:, p * part : (p + 1) * part]
