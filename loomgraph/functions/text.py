@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Delimiters of extraction output and of stored multi-values.
 FIELD = " | "
@@ -34,7 +35,7 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{STRIP}|{STRIP}$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(x: pd.Series) -> pd.Series:
     return x.map(html.unescape, na_action="ignore")
 

@@ -19,6 +19,7 @@ from loomgraph.operators import extract as X
 from loomgraph.operators import ingest, merge, rank, vector
 from loomgraph.operators import retrieve as R
 from loomgraph.schema import QueryParam
+from loomgraph.session import importable
 from loomgraph.sources.store import Store
 
 #: Fixed value: the answer when nothing was found.
@@ -59,6 +60,7 @@ class Engine:
         chunk_overlap: int = 100,
         max_gleaning: int = 1,
     ):
+        importable(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.embed, self.llm = embed, llm or (lambda prompt: None)
         self.extractor = extract or (lambda content, before: content if before is None else "")

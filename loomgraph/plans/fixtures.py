@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, merge, rank, vector
 from loomgraph.operators.retrieve import Graph
+from loomgraph.session import importable
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 

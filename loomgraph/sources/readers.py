@@ -101,7 +101,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of GraphML files; quotes are stripped, a missing weight is 0.0."""
 
-    def rows(kind: str, keys: list[str]):
+    def rows(kind: str, keys: list[str], names: list[str]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ns = "{http://graphml.graphdrawing.org/xmlns}"
             for b in batches:
@@ -111,11 +111,13 @@ def graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                         data = {d.get("key"): (d.text or "").strip('"') for d in n.iter(f"{ns}data")}
                         ids = [(n.get(a) or "").strip('"') for a in (["id"] if kind == "node" else ["source", "target"])]
                         out.append(ids + [data.get(k, "") for k in keys])
-                yield pd.DataFrame(out, columns=[str(i) for i in range((1 if kind == "node" else 2) + len(keys))])
+                yield pd.DataFrame(out, columns=names, dtype=str)
 
         return run
 
     whole = spark.read.text(path, wholetext=True)
-    nodes = whole.mapInPandas(rows("node", ["d0", "d1", "d2"]), "id string, entity_type string, description string, source_id string")
-    edges = whole.mapInPandas(rows("edge", ["d3", "d4", "d5", "d6"]), "source string, target string, weight string, description string, keywords string, source_id string")
+    node = ["id", "entity_type", "description", "source_id"]
+    edge = ["source", "target", "weight", "description", "keywords", "source_id"]
+    nodes = whole.mapInPandas(rows("node", ["d0", "d1", "d2"], node), ", ".join(f"{n} string" for n in node))
+    edges = whole.mapInPandas(rows("edge", ["d3", "d4", "d5", "d6"], edge), ", ".join(f"{n} string" for n in edge))
     return nodes, edges.withColumn("weight", F.coalesce(F.expr("try_cast(weight AS double)"), F.lit(0.0)))
