@@ -195,7 +195,8 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", keep_text: bool
     """``df`` plus token_ids (array<int>) of the whole text; ``path`` must exist on every executor."""
     keep = [c for c in df.columns if c not in ("token_ids", text_col)]
     src = df.select(*keep, text_col)
-    out = (src if keep_text else src.select(*keep)).schema.add("token_ids", T.ArrayType(T.IntegerType()))
+    fields = (src if keep_text else src.select(*keep)).schema.fields
+    out = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     width = len(keep) + keep_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,7 +135,7 @@ def test_repeats(spark, tmp_path, hot):
 
 
 def test_line_dedup(spark, tmp_path):
-    base = "The quick brown fox jumps over the lazy dog near the old river bank"
+    base = "The quick brown fox jumps over the lazy dog near the old river bank, while two herons stand and watch the slow water pass"
     texts = [None, "", base + "\nshort\n\n" + base, "  " + base.upper() + " \nother unrelated line of words", base.replace("quick", "quack") + "\nshort", "x\n\n"]
     d = docs(spark, texts, tmp_path)
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
