@@ -158,7 +158,7 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 def _odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log odds of a one; 0 for a context never seen."""
-    return np.log((n1 + 0.02) / (n0 + 0.02)) * ((n0 + n1) > 0)
+    return np.log((n1 + 0.2) / (n0 + 0.2)) * ((n0 + n1) > 0)
 
 
 def bit_inputs(x: Bits, c: np.ndarray, prefix_counts, tables: np.ndarray, own: np.ndarray | None):
