@@ -7,6 +7,7 @@ returns a DataFrame that is written as Parquet and reread as the next one's docs
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from loomgraph.llm.common import Scratch
@@ -21,8 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the lines of which another copy stays; n_chars keeps the original length."""
-    return line_dedup.dedup_lines(docs).select(*COLUMNS)
+    """Texts lose the lines of which another copy stays; n_chars keeps the original length.
+
+    A document that has no word left is a copy in all its lines, and goes."""
+    out = line_dedup.dedup_lines(docs)
+    return out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
