@@ -7,6 +7,7 @@ executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -57,8 +58,15 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now, not when the
+        driver next happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.root)

@@ -4,8 +4,8 @@ Lines (split at ``\\n``) are compared trimmed and with A-Z lower-cased, as sets
 of ``gram``-byte shingles.  Equal lines form a class first (128-bit digest).
 Each class has ``bands`` x ``rows`` MinHash values; classes that share a band
 are candidates, verified by exact Jaccard on their shingle sets, and linked by a
-distributed union-find.  With 8 bands of 3 rows a pair at similarity 0.8 is a
-candidate with probability 0.997, one at 0.9 with more than 0.99999.
+distributed union-find.  With 10 bands of 4 rows a pair at similarity 0.8 is a
+candidate with probability 0.995, one at 0.9 with more than 0.9999.
 
 The first line of a component, by (id, row, line number), stays; the others
 are removed.  Blank lines and lines of fewer than ``min_chars`` bytes (trimmed)
@@ -136,21 +136,31 @@ def gram_set(text: str, gram: int) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
-def _verify(gram: int, pct: int):
+def _verify(gram: int, pct: int, kept: int = 4096):
+    """(a, b, text a, text b) to the pairs at or above the threshold; the shingle sets of
+    the last ``kept`` lines are remembered, as pairs come in groups."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
+        sets: dict[int, np.ndarray] = {}
+
+        def of(cid: int, text: pa.StringScalar) -> np.ndarray:
+            got = sets.get(cid)
+            if got is None:
+                if len(sets) >= kept:
+                    sets.pop(next(iter(sets)))
+                got = sets[cid] = gram_set(text.as_py(), gram)
+            return got
+
         for b in batches:
             src, dst = [], []
             for a, c, ta, tc in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                if a != last:
-                    last, mine = a, gram_set(ta.as_py(), gram)
-                other = gram_set(tc.as_py(), gram)
-                if min(len(mine), len(other)) * 100 < max(len(mine), len(other)) * pct:
+                x, y = of(a, ta), of(c, tc)
+                if len(x) > len(y):
+                    x, y = y, x
+                if len(x) * 100 < len(y) * pct:
                     continue
-                both = np.concatenate([mine, other])
-                both.sort()
-                i = int((both[1:] == both[:-1]).sum())
-                if i * 100 >= (len(mine) + len(other) - i) * pct:
+                i = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if i * 100 >= (len(x) + len(y) - i) * pct:
                     src.append(a)
                     dst.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
@@ -187,9 +197,9 @@ def removed_lines(
     text_col: str = "text",
     pct: int = 80,
     min_chars: int = 10,
-    gram: int = 5,
-    bands: int = 8,
-    rows: int = 3,
+    gram: int = 7,
+    bands: int = 10,
+    rows: int = 4,
 ) -> DataFrame:
     """(__rid, lines): the numbers of the lines to remove, for rows that lose any."""
     spark = docs.sparkSession
@@ -199,9 +209,10 @@ def removed_lines(
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("o"), "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"), F.max("keys").alias("keys"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    buckets = classes.select(F.explode("keys").alias("key"), F.col("cid").alias("id"), F.lit(1).alias("n"))
+    buckets = classes.select(F.explode("keys").alias("key"), F.col("cid").alias("id"), F.lit(1).alias("n"), F.col("m").alias("score"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    buckets = scratch.table(buckets.join(shared, "key"))
+    # one small row a key on the hashed side, so the 10 rows a line are not sorted
+    buckets = scratch.table(buckets.join(shared.hint("shuffle_hash"), "key"))
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
     texts = scratch.table(src.join(want, "rid").select("t", "w").mapInArrow(_pick, "cid long, t string"))
