@@ -1,10 +1,11 @@
 """Components of a similarity graph from shared bucket keys, without all pairs.
 
 Two items can be similar only if they share a key.  A key's members are first
-held against one leader (a star, linear in the group); members that this puts
-into one component need no further comparison with each other.  After
-``rounds`` leaders, the pairs of a key that still lie in different components
-are compared in full, so no link between components is lost.
+held against one leader (a star, linear in the group), the member of the highest
+score: what most others resemble, as an original among its edited copies.  Members
+that this puts into one component need no further comparison with each other.
+After ``rounds`` leaders, the pairs of a key that still lie in different
+components are compared in full, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,44 +17,46 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, checkpoint, connected_components
 
+#: Keys with so few pairs for each member are compared in full at once.
+FEW = 4
+
 
 def link_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     near_size: Callable,
     scratch: Scratch,
-    rounds: int = 2,
+    rounds: int = 4,
 ) -> DataFrame | None:
-    """buckets: (key, id, n), distinct.  verify: pairs (a, b) to links (src, dst).
+    """buckets: (key, id, n, score), distinct.  verify: pairs (a, b) to links (src, dst).
     near_size: whether two sizes can be similar.  Returns (id, comp) of linked ids."""
     shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    state = scratch.table(buckets.join(shared, "key").select("key", "id", "n", F.col("id").alias("comp")))
+    state = scratch.table(buckets.join(shared.hint("shuffle_hash"), "key").select("key", "id", "n", "score", F.col("id").alias("comp")))
     links, labels = None, None
     for turn in range(rounds + 1):
-        if turn < rounds:
-            lead = state.groupBy("key").agg(F.min(F.struct("id", "n", "comp")).alias("x"))
-            lead = lead.select("key", F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("x.comp").alias("ca"))
-            both = state.join(lead, "key").where(F.col("id") != F.col("a"))
+        size = state.groupBy("key").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        full = turn == rounds or size["pairs"] <= FEW * size["rows"]
+        if full:
+            lead = state.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+            both = state.join(lead, "key").where(F.col("a") < F.col("id"))
         else:
-            other = state.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-            both = state.join(other, "key").where(F.col("a") < F.col("id"))
+            lead = state.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("o"), "n", "comp")).alias("x"))
+            lead = lead.select("key", (-F.col("x.o")).alias("a"), F.col("x.n").alias("na"), F.col("x.comp").alias("ca"))
+            both = state.join(lead, "key").where(F.col("id") != F.col("a"))
         pairs = both.where((F.col("ca") != F.col("comp")) & near_size(F.col("na"), F.col("n"))).select("a", F.col("id").alias("b")).distinct()
         found = scratch.table(verify(pairs))
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            if turn == rounds:
-                break
-        else:
+        if not found.isEmpty():
             labels = checkpoint(connected_components(links))
-        if turn == rounds:
+        if full:
             break
-        rest = state.join(lead.select("key", "a"), "key").where(F.col("id") != F.col("a")).select("key", "id", "n")
+        rest = state.join(lead.select("key", "a"), "key").where(F.col("id") != F.col("a")).select("key", "id", "n", "score")
         if labels is not None:
-            rest = rest.join(labels, "id", "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+            rest = rest.join(labels, "id", "left").select("key", "id", "n", "score", F.coalesce("comp", "id").alias("comp"))
         else:
             rest = rest.withColumn("comp", F.col("id"))
         open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        state = scratch.table(rest.join(open_keys, "key").select("key", "id", "n", "comp"))
-        if state.isEmpty():
-            break
+        state = scratch.table(rest.join(open_keys, "key").select("key", "id", "n", "score", "comp"))
     return labels

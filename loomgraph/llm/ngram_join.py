@@ -67,10 +67,10 @@ def _sets_of_array(b: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 def _ship(sets, blocks: int, pct: int):
     """Rows (rid, id, set) to packed blocks of (shingle code, row) and local counts."""
-    names = ["block", "base", "data", "rids", "ids", "sizes", "counts"]
+    names = ["block", "grp", "data", "rids", "ids", "sizes", "counts"]
 
     def flush(rids: list, ids: list, sizes: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-        base = min(rids)
+        grp = rids[0]
         row = np.repeat(np.arange(len(rids)), [len(p) for p in parts])
         code = mix64(np.concatenate(parts) + MIX[61]) if parts else np.zeros(0, np.uint64)
         order = np.argsort(code, kind="stable")
@@ -82,7 +82,7 @@ def _ship(sets, blocks: int, pct: int):
         counts = np.bincount(row[np.repeat(size > 1, size)], minlength=len(rids))
         rec = np.empty(len(start), np.dtype([("code", np.uint32), ("row", np.uint32)]))
         rec["code"] = (code[start] >> np.uint64(32)).astype(np.uint32)
-        rec["row"] = np.where(size > 1, LOCAL, (np.array(rids, np.int64) - base)[row[start]])
+        rec["row"] = np.where(size > 1, LOCAL, row[start])
         block = (code[start] % np.uint64(blocks)).astype(np.int64)
         by = np.argsort(block, kind="stable")
         rec, block = rec[by], block[by]
@@ -91,8 +91,8 @@ def _ship(sets, blocks: int, pct: int):
         data = [rec[a:z].tobytes() for a, z in zip(cut, ends, strict=True)]
         m = len(data)
         cols = [
-            pa.array([*block[cut].tolist(), base % blocks], pa.int32()),
-            pa.array([base] * (m + 1), pa.int64()),
+            pa.array([*block[cut].tolist(), grp % blocks], pa.int32()),
+            pa.array([grp] * (m + 1), pa.int64()),
             pa.array([*data, b""], pa.binary()),
             *(pa.array([None] * m + [list(x)], pa.list_(t)) for x, t in ((rids, pa.int64()), (ids, pa.int64()), (sizes, pa.int32()), (counts.tolist(), pa.int64()))),
         ]
@@ -120,31 +120,32 @@ def _ship(sets, blocks: int, pct: int):
     return run
 
 
+COUNTS = "grp long, rows binary, counts binary, rids array<long>, ids array<long>, sizes array<int>, own array<long>"
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed blocks to (rid, id, n, count) with the shingles that other rows have too."""
-    names = ["rid", "id", "n", "count"]
+    """Packed blocks to each group's rows with the number of shingles that other rows have
+    too; the groups' heads pass through."""
+    names = ["grp", "rows", "counts", "rids", "ids", "sizes", "own"]
     recs: list[np.ndarray] = []
-    bases: list[np.ndarray] = []
+    grps: list[np.ndarray] = []
     blocks: list[np.ndarray] = []
+    empty = pa.array([None], pa.binary())
     for b in batches:
-        block = b.column(0).to_pylist()
-        base = b.column(1).to_pylist()
+        block, grp = b.column(0).to_pylist(), b.column(1).to_pylist()
         for i, data in enumerate(b.column(2)):
             if d := data.as_py():
                 rec = np.frombuffer(d, np.dtype([("code", np.uint32), ("row", np.uint32)]))
                 recs.append(rec)
-                bases.append(np.full(len(rec), base[i], np.int64))
+                grps.append(np.full(len(rec), grp[i], np.int64))
                 blocks.append(np.full(len(rec), block[i], np.int32))
             else:
-                m = len(b.column(3)[i])
-                cols = [b.column(c)[i].values for c in (3, 4, 5, 6)]
-                if m:
-                    yield pa.RecordBatch.from_arrays([cols[0], cols[1], cols[2].cast(pa.int32()), cols[3]], names)
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(i, 1), empty, empty, *(b.column(c).slice(i, 1) for c in (3, 4, 5, 6))], names)
     if not recs:
         return
-    rec, base, block = np.concatenate(recs), np.concatenate(bases), np.concatenate(blocks)
+    rec, grp, block = np.concatenate(recs), np.concatenate(grps), np.concatenate(blocks)
     recs.clear()
-    bases.clear()
+    grps.clear()
     key = block.astype(np.uint64) << np.uint64(32) | rec["code"].astype(np.uint64)
     order = np.argsort(key)
     key = key[order]
@@ -152,22 +153,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     twice = np.zeros(len(key), bool)
     twice[1:] |= same
     twice[:-1] |= same
+    # a shingle that a mapper met in several rows needs no second mapper
     twice |= rec["row"][order] == LOCAL
     own = order[twice]
     own = own[rec["row"][own] != LOCAL]
-    rid, count = np.unique(base[own] + rec["row"][own].astype(np.int64), return_counts=True)
-    for a in range(0, len(rid), 1 << 16):
-        r, c = rid[a : a + (1 << 16)], count[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64()), pa.array(np.zeros(len(r), np.int32)), pa.array(c.astype(np.int64))], names)
+    own = own[np.argsort(grp[own], kind="stable")]
+    cut = np.flatnonzero(np.append(True, grp[own][1:] != grp[own][:-1])) if len(own) else []
+    for a, z in zip(cut, [*cut[1:], len(own)], strict=False):
+        rows, counts = np.unique(rec["row"][own[a:z]], return_counts=True)
+        nulls = [pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([grp[own[a]]]), pa.array([rows.tobytes()]), pa.array([counts.astype(np.int64).tobytes()]), *nulls], names)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All blocks' counts of a group to one row a document."""
+    heads: dict[int, tuple] = {}
+    parts: dict[int, list] = {}
+    for b in batches:
+        for i, grp in enumerate(b.column(0).to_pylist()):
+            if b.column(3)[i].is_valid:
+                heads[grp] = tuple(b.column(c)[i].values for c in (3, 4, 5, 6))
+            else:
+                parts.setdefault(grp, []).append((b.column(1)[i].as_py(), b.column(2)[i].as_py()))
+    for grp, (rids, ids, sizes, own) in heads.items():
+        total = np.asarray(own).copy()
+        for rows, counts in parts.pop(grp, []):
+            total[np.frombuffer(rows, np.uint32)] += np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([rids, ids, sizes.cast(pa.int32()), pa.array(total)], ["rid", "id", "n", "count"])
 
 
 def partner_counts(rows: DataFrame, sets, blocks: int, pct: int) -> DataFrame:
     """(rid, id, n, count) of every row of (rid, id, <set source>)."""
     packed = rows.mapInArrow(
-        _ship(sets, blocks, pct), "block int, base long, data binary, rids array<long>, ids array<long>, sizes array<int>, counts array<long>"
+        _ship(sets, blocks, pct), "block int, grp long, data binary, rids array<long>, ids array<long>, sizes array<int>, counts array<long>"
     )
-    out = packed.repartition(blocks, "block").mapInArrow(_count, "rid long, id long, n int, count long")
-    return out.groupBy("rid").agg(F.max("id").alias("id"), F.max("n").alias("n"), F.sum("count").alias("count"))
+    counted = packed.repartition(blocks, "block").mapInArrow(_count, COUNTS)
+    return counted.repartition(blocks, "grp").mapInArrow(_sum, "rid long, id long, n int, count long")
 
 
 def can_link(pct: int):
@@ -254,11 +275,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     df = scratch.table(token.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
     stat = df.agg(F.avg("df").alias("m")).first()["m"]
     bound = light_boundary(float(stat or 1), pct)
-    light = reps.where(F.col("n") <= bound).select("rid", "n", "vals").mapInArrow(_subsets(pct), "key long, id long, n int").distinct()
-    heavy = token.where(F.col("n") >= least_overlap(bound + 1, pct)).join(df, "key").groupBy("rid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"))
+    light = reps.where(F.col("n") <= bound).select("rid", "n", "vals").mapInArrow(_subsets(pct), "key long, id long, n int").distinct().withColumn("score", F.lit(0.0))
+    heavy = token.where(F.col("n") >= least_overlap(bound + 1, pct)).join(df, "key").groupBy("rid", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"), (F.sum("df") / F.col("n")).alias("score")
+    )
     # shingles of one document come first in the order: they fill the prefix and match nothing
     take = F.col("n") - F.ceil(F.col("n") * pct / 100).cast("int") + 1 - (F.col("n") - F.size("x"))
-    heavy = heavy.where(take > 0).select(F.explode(F.slice("x", F.lit(1), take)).alias("x"), "rid", "n").select(F.col("x.key").alias("key"), F.col("rid").alias("id"), "n")
+    heavy = heavy.where(take > 0).select(F.explode(F.slice("x", F.lit(1), take)).alias("x"), "rid", "n", "score")
+    heavy = heavy.select(F.col("x.key").alias("key"), F.col("rid").alias("id"), "n", "score")
     buckets = light.unionByName(heavy)
     near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * pct
 
