@@ -10,7 +10,7 @@
    minimum, so that any two equal windows meet in one shard.  The shard's suffixes
    are sorted by induced sorting with disk-backed queues, and neighbours that share
    ``length`` bytes are repeats.  A minimum of more than ``hot_bytes`` of different
-   runs is split further, by a 128-bit digest of each window.
+   runs is split further: its windows are dealt by their 128-bit digests, packed.
 4. The covered ranges go back to every copy of a run, and the bytes are removed.
 
 Edge cases: null and empty texts have no bytes and lose none; texts shorter than
@@ -158,20 +158,84 @@ def _sort_shard(length: int, memory: int):
     return run
 
 
-def _window_digests(length: int):
-    """(block, seg, bytes) to (w1, w2, seg, start) of every window, for split minima."""
+WINDOW = np.dtype([("w1", np.uint64), ("w2", np.uint64), ("seg", np.int64), ("start", np.int64)])
+
+
+def _twice(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``rec`` in order of its digests, and which of them have an equal neighbour."""
+    rec = rec[np.lexsort((rec["w2"], rec["w1"]))]
+    same = (rec["w1"][1:] == rec["w1"][:-1]) & (rec["w2"][1:] == rec["w2"][:-1])
+    return rec, np.append(same, False) | np.append(False, same)
+
+
+def _found(rec: np.ndarray) -> pa.RecordBatch:
+    """(seg, start) records as ranges, in the layout of packed windows."""
+    rec = rec[np.lexsort((rec["start"], rec["seg"]))]
+    r = _ranges(rec["seg"], rec["start"])
+    n = r.num_rows
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n) % 997), *r.columns, pa.nulls(n, pa.binary())], ["block", "seg", "a", "b", "data"])
+
+
+def _window_digests(length: int, blocks: int, most: int = 1 << 19):
+    """(block, seg, bytes) to packed digests of the windows, dealt by digest, for split minima.
+
+    A window that repeats here is found here, and stands for its copies with one record."""
+
+    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rec, twin = _twice(np.concatenate(parts))
+        yield _found(rec[twin])
+        first = twin.copy()
+        first[1:] &= (rec["w1"][1:] != rec["w1"][:-1]) | (rec["w2"][1:] != rec["w2"][:-1])
+        some = rec[first]
+        some["seg"] = -1
+        rec = np.concatenate([rec[~twin], some])
+        block = (rec["w1"] % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        rec, block = rec[order], block[order]
+        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, int)
+        data = [rec[x:z].tobytes() for x, z in zip(cut, np.append(cut[1:], len(block)), strict=False)]
+        none = pa.nulls(len(data), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(block[cut]), none, none, none, pa.array(data, pa.binary())], ["block", "seg", "a", "b", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total = [], 0
         for b in batches:
             for seg, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 d = np.frombuffer(raw.as_py(), np.uint8)
                 at = np.arange(len(d) - length + 1)
-                w = [span_hash(prefix_hash(d, *code), at, at + length).view(np.int64) for code in ((), (BYTE_CODE2,))]
-                yield pa.RecordBatch.from_arrays([pa.array(w[0]), pa.array(w[1]), pa.array(np.full(len(at), seg)), pa.array(at)], ["w1", "w2", "seg", "start"])
+                rec = np.empty(len(at), WINDOW)
+                rec["w1"], rec["w2"] = (span_hash(prefix_hash(d, *code), at, at + length) for code in ((), (BYTE_CODE2,)))
+                rec["seg"], rec["start"] = seg, at
+                parts.append(rec)
+                total += len(rec)
+                if total >= most:
+                    yield from flush(parts)
+                    parts, total = [], 0
+        if parts:
+            yield from flush(parts)
 
     return run
 
 
+def _match_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's packed digests to ranges of repeated starts; found ranges pass through."""
+    parts = []
+    for b in batches:
+        done = b.filter(b.column(4).is_null())
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays(done.columns[1:4], ["seg", "a", "b"])
+        parts += [np.frombuffer(x.as_py(), WINDOW) for x in b.column(4) if x.is_valid]
+    if parts:
+        rec, twin = _twice(np.concatenate(parts))
+        # a record that stands for copies repeats whatever it meets
+        new = np.append(True, (rec["w1"][1:] != rec["w1"][:-1]) | (rec["w2"][1:] != rec["w2"][:-1]))
+        group = np.cumsum(new) - 1
+        many = np.bincount(group, rec["seg"] < 0)[group] > 0
+        hit = rec[(twin | many) & (rec["seg"] >= 0)]
+        r = _found(hit)
+        yield pa.RecordBatch.from_arrays(r.columns[1:4], ["seg", "a", "b"])
+
+
 def _remove(length: int, at: int, cover: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,7 +265,7 @@ def _remove(length: int, at: int, cover: int):
 
 
 def repeated_ranges(
-    docs: DataFrame, *, text_col: str = "text", length: int = 400, shard_bytes: int = 4 << 20, hot_bytes: int = 64 << 20, memory: int = 128 << 20
+    docs: DataFrame, *, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot_bytes: int = 3 << 19, memory: int = 64 << 20
 ) -> DataFrame:
     """(__rid, cuts): ranges [a, b) of starts of repeated windows, for rows that have any."""
     scratch = Scratch(docs.sparkSession)
@@ -231,9 +295,8 @@ def repeated_ranges(
         pieces = scratch.table(pieces)
     found = pieces.where("block >= 0").repartition(blocks, "block").mapInArrow(_sort_shard(length, memory), "seg long, a long, b long")
     if hot:
-        win = scratch.table(pieces.where("block < 0").mapInArrow(_window_digests(length), "w1 long, w2 long, seg long, start long"))
-        again = win.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-        found = found.unionByName(win.join(again, ["w1", "w2"]).select("seg", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
+        packed = pieces.where("block < 0").mapInArrow(_window_digests(length, blocks), "block long, seg long, a long, b long, data binary")
+        found = found.unionByName(packed.repartition(blocks, "block").mapInArrow(_match_digests, "seg long, a long, b long"))
     whole = segs.where("copies > 1").select("seg", F.lit(0).cast("long").alias("a"), F.col("one.size").alias("b"))
     part = found.join(segs.where("copies > 1").select("seg"), "seg", "left_anti")
     cover = scratch.table(whole.unionByName(part)).join(segs.select("seg", "v", "g1", "g2"), "seg").select("v", "g1", "g2", "a", "b")
