@@ -4,8 +4,11 @@ Lines (split at ``\\n``) are compared trimmed and with A-Z lower-cased, as sets
 of ``gram``-byte shingles.  Equal lines form a class first (128-bit digest).
 Each class has ``bands`` x ``rows`` MinHash values; classes that share a band
 are candidates, verified by exact Jaccard on their shingle sets, and linked by a
-distributed union-find.  With 10 bands of 4 rows a pair at similarity 0.8 is a
-candidate with probability 0.995, one at 0.9 with more than 0.9999.
+distributed union-find.  With 8 bands of 3 rows a pair at similarity 0.8 is a
+candidate with probability 0.997, one at 0.9 with more than 0.99999.  Band keys
+are never stored: they are shipped packed to the block of their key, where only
+keys of two classes or more are kept.  Candidates whose set sizes or sketches rule
+the threshold out are dropped before their texts are shipped; that loses none.
 
 The first line of a component, by (id, row, line number), stays; the others
 are removed.  Blank lines and lines of fewer than ``min_chars`` bytes (trimmed)
@@ -22,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE2, LOWER, SPACE, Scratch, checkpoint, mix64, prefix_hash, slices, span_hash, text_bytes, with_row_id
+from .common import BYTE_CODE2, LOWER, SPACE, Scratch, block_count, checkpoint, mix64, prefix_hash, slices, span_hash, text_bytes, with_row_id
 from .linking import link_components
 
 _seeds = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, (2, 256), dtype=np.uint32)
@@ -79,49 +82,91 @@ def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int, b
     return out
 
 
-def _lines(min_chars: int, gram: int, bands: int, rows: int):
-    """(rid, id, text) to (rid, id, line, h1, h2, keys); keys once a digest and batch."""
-    names = ["rid", "id", "line", "h1", "h2", "keys"]
+def _spans(batches: Iterator[pa.RecordBatch], least: int, text_at: int):
+    """Slices of batches: batch, lower-cased bytes, and start, end, row in batch and
+    number of their lines of ``least`` bytes or more."""
+    for b in batches:
+        all_data, all_offs = text_bytes(b.column(text_at))
+        for lo, hi in slices(all_offs):
+            data, offs = all_data[all_offs[lo] : all_offs[hi]], all_offs[lo : hi + 1] - all_offs[lo]
+            start, end, row, line = line_spans(data, offs)
+            keep = end - start >= least
+            if keep.any():
+                yield b, LOWER[data], start[keep], end[keep], row[keep] + lo, line[keep]
+
+
+def _lines(least: int):
+    """(rid, id, text) to (rid, id, line, h1, h2)."""
+    names = ["rid", "id", "line", "h1", "h2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            all_data, all_offs = text_bytes(b.column(2))
-            for lo, hi in slices(all_offs):
-                data, offs = all_data[all_offs[lo] : all_offs[hi]], all_offs[lo : hi + 1] - all_offs[lo]
-                start, end, row, line = line_spans(data, offs)
-                keep = end - start >= max(min_chars, gram)
-                start, end, row, line = start[keep], end[keep], row[keep], line[keep]
-                if not len(start):
-                    continue
-                low = LOWER[data]
-                h1 = span_hash(prefix_hash(low), start, end).view(np.int64)
-                h2 = span_hash(prefix_hash(low, BYTE_CODE2), start, end).view(np.int64)
-                _, one = np.unique(h1, return_index=True)
-                one.sort()
-                keys = signatures(low, start[one], end[one], gram, bands, rows).view(np.int64)
-                offsets = np.zeros(len(start) + 1, np.int32)
-                offsets[one + 1] = bands
-                valid = np.zeros(len(start), bool)
-                valid[one] = True
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets).astype(np.int32)), pa.array(keys.ravel()), mask=pa.array(~valid))
-                at = pa.array(row + lo)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(h1), pa.array(h2), lists], names
-                )
+        for b, low, start, end, row, line in _spans(batches, least, 2):
+            h1 = span_hash(prefix_hash(low), start, end).view(np.int64)
+            h2 = span_hash(prefix_hash(low, BYTE_CODE2), start, end).view(np.int64)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(h1), pa.array(h2)], names)
 
     return run
 
 
-def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: [(cid, line)]) to (cid, line text)."""
-    for b in batches:
-        cids, texts = [], []
-        for t, want in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-            parts = t.as_py().split("\n")
-            for x in want:
-                cids.append(x["cid"])
-                texts.append(parts[x["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(texts, pa.string())], ["cid", "t"])
+REC = np.dtype([("key", np.uint64), ("h1", np.int64)])
+
+
+def _bands(least: int, gram: int, bands: int, rows: int, blocks: int, most: int = 1 << 20):
+    """(text) to packed band keys with the line's digest, by block of the key; a digest
+    that the task remembers is not sent again."""
+
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+        rec = np.concatenate(parts)
+        block = (rec["key"] % np.uint64(blocks)).astype(np.int64)
+        by = np.argsort(block, kind="stable")
+        rec, block = rec[by], block[by]
+        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        data = [rec[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(block)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(data, pa.binary())], ["block", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, total = np.zeros(0, np.int64), [], 0
+        for _, low, start, end, _, _ in _spans(batches, least, 0):
+            h1, one = np.unique(span_hash(prefix_hash(low), start, end).view(np.int64), return_index=True)
+            new = ~np.isin(h1, seen, assume_unique=True)
+            h1, one = h1[new], one[new]
+            if not len(one):
+                continue
+            seen = np.concatenate([seen, h1]) if len(seen) < most else h1
+            by = np.argsort(one)
+            rec = np.empty((len(one), bands), REC)
+            rec["key"] = signatures(low, start[one[by]], end[one[by]], gram, bands, rows)
+            rec["h1"] = h1[by][:, None]
+            parts.append(rec.ravel())
+            total += rec.size
+            if total >= most:
+                yield flush(parts)
+                parts, total = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's packed band keys to (key, h1) of the keys that two digests or more have."""
+    parts = [np.frombuffer(x, REC) for b in batches for x in b.column(1).to_pylist()]
+    if not parts:
+        return
+    rec = np.concatenate(parts)
+    parts.clear()
+    key, h1 = rec["key"], rec["h1"]
+    order = np.lexsort((h1, key))
+    key, h1 = key[order], h1[order]
+    same = key[1:] == key[:-1]
+    new = np.append(True, ~same | (h1[1:] != h1[:-1]))
+    key, h1 = key[new], h1[new]
+    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
+    at = np.flatnonzero(same[1:] | same[:-1])
+    for a in range(0, len(at), 1 << 16):
+        i = at[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), pa.array(h1[i])], ["key", "h1"])
 
 
 def gram_set(text: str, gram: int) -> np.ndarray:
@@ -136,6 +181,52 @@ def gram_set(text: str, gram: int) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
+#: Longs of a sketch: each shingle of a line sets one of their bits.
+SKETCH = 4
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    at = (mix64(grams) >> np.uint64(56)).astype(np.int64) % (64 * SKETCH)
+    bits = np.zeros(64 * SKETCH, np.uint8)
+    bits[at] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def may_match(pct: int):
+    """Whether two (size, sketch) can be at ``pct``; never false for a pair that is.
+
+    At similarity p at most (a + b)(1 - p) / (1 + p) shingles are in one set only, and a bit
+    that only one sketch has stands for one of them at least."""
+
+    def test(a: Column, b: Column) -> Column:
+        odd = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(SKETCH)), F.lit(0))
+        fits = F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * pct
+        return fits & (odd * (100 + pct) <= (a["size"] + b["size"]) * (100 - pct))
+
+    return test
+
+
+def _pick(gram: int):
+    """(text, wanted: [(cid, line)]) to (cid, line text, number of shingles, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cids, texts, sizes, bits = [], [], [], []
+            for t, want in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                parts = t.as_py().split("\n")
+                for x in want:
+                    grams = gram_set(parts[x["line"]], gram)
+                    cids.append(x["cid"])
+                    texts.append(parts[x["line"]])
+                    sizes.append(len(grams))
+                    bits.append(sketch(grams))
+            own = np.array(bits, np.int64).reshape(-1, SKETCH)
+            cols = [pa.array(cids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), *(pa.array(own[:, i]) for i in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(cols, ["cid", "t", "size", *[f"s{i}" for i in range(SKETCH)]])
+
+    return run
+
+
 def _verify(gram: int, pct: int, kept: int = 4096):
     """(a, b, text a, text b) to the pairs at or above the threshold; the shingle sets of
     the last ``kept`` lines are remembered, as pairs come in groups."""
@@ -197,32 +288,36 @@ def removed_lines(
     text_col: str = "text",
     pct: int = 80,
     min_chars: int = 10,
-    gram: int = 7,
-    bands: int = 10,
-    rows: int = 4,
+    gram: int = 5,
+    bands: int = 8,
+    rows: int = 3,
 ) -> DataFrame:
     """(__rid, lines): the numbers of the lines to remove, for rows that lose any."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     src = with_row_id(docs.select(id_col, text_col)).select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    lines = scratch.table(src.mapInArrow(_lines(min_chars, gram, bands, rows), "rid long, id long, line int, h1 long, h2 long, keys array<long>"))
+    least, blocks = max(min_chars, gram), block_count(docs.select(text_col))
+    lines = scratch.table(src.mapInArrow(_lines(least), "rid long, id long, line int, h1 long, h2 long"))
     place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("o"), "rid", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"), F.max("keys").alias("keys"))
+    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    buckets = classes.select(F.explode("keys").alias("key"), F.col("cid").alias("id"), F.lit(1).alias("n"), F.col("m").alias("score"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    # one small row a key on the hashed side, so the 10 rows a line are not sorted
-    buckets = scratch.table(buckets.join(shared.hint("shuffle_hash"), "key"))
+    packed = src.select("t").mapInArrow(_bands(least, gram, bands, rows, blocks), "block long, data binary")
+    shared = packed.repartition(blocks, "block").mapInArrow(_shared, "key long, h1 long")
+    buckets = shared.join(classes.select("h1", "cid", "m"), "h1").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
+    buckets = scratch.table(buckets)
+    names = [f"s{i}" for i in range(SKETCH)]
+    longs = ", ".join(f"{x} long" for x in names)
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
-    texts = scratch.table(src.join(want, "rid").select("t", "w").mapInArrow(_pick, "cid long, t string"))
+    texts = scratch.table(src.join(want, "rid").select("t", "w").mapInArrow(_pick(gram), f"cid long, t string, size long, {longs}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("t").alias("ta"))
         b = texts.select(F.col("cid").alias("b"), F.col("t").alias("tb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(gram, pct), "src long, dst long")
 
-    labels = link_components(buckets, verify, lambda a, b: F.lit(True), scratch)
+    shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *names).alias("n"))
+    labels = link_components(buckets.join(shapes, "id").select("key", "id", "n", "score"), verify, may_match(pct), scratch)
     if labels is not None:
         tied = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     else:

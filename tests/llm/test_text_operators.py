@@ -144,6 +144,25 @@ def test_line_dedup(spark, tmp_path):
     assert line_dedup.dedup_lines(empty(spark, tmp_path)).count() == 0
 
 
+def test_line_dedup_of_short_edited_lines(spark, tmp_path):
+    rng = random.Random(5)
+    texts = []
+    for i in range(120):
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([50, 56, 62, 68, 96, 110, 130]))).strip().ljust(49, "q")
+        at = [len(line) // 2] if len(line) < 90 else [len(line) // 3, 2 * len(line) // 3]
+        texts += [line, "".join("#" if j in at else x for j, x in enumerate(line)), "".join("#" if j % 9 == 4 else x for j, x in enumerate(line))]
+    sets = [{t[j : j + 5] for j in range(len(t) - 4)} for t in texts]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 100 >= len(sets[i] | sets[j]) * 80:
+                a, b = first[i], first[j]
+                first = [min(a, b) if x in (a, b) else x for x in first]
+    want = [t if first[i] == i else "" for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts, tmp_path)).collect()}
+    assert want.count("") >= 100 and [got[i] for i in range(len(texts))] == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from conftest import SF
