@@ -5,10 +5,13 @@ against the references of the languages by Jensen-Shannon distance (the square
 root of the base-2 divergence, 0 to 1); the nearest language counts, as stated
 languages can be wrong.  References are the summed histograms of all documents
 of a language that pass the base rules and the length guards; a language needs
-``min_ref_docs`` of them, and with no such language the sum over all documents
-is the reference.  With more than ``max_langs`` languages a document is held
-against its stated language's reference only, by a join.  Documents below a
-guard are too short for that comparison and keep the base verdict.
+``min_ref_docs`` of them.  A document whose stated language has no reference,
+or that states none, is held against the references of like script only (told by
+the UTF-8 bytes a character), and keeps the base verdict where there is none:
+other scripts say nothing about it.  With no such language the sum over all
+documents is the reference, if alike.  With more than ``max_langs`` languages a document
+is held against its stated language's reference only, by a join.  Documents
+below a guard are too short for that comparison and keep the base verdict.
 
 Edge cases: null text has no words and fails the base rules; a table whose
 documents all fail them has no reference, and then no distance is judged.
@@ -139,6 +142,11 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
+def script(wide: Column, chars: Column) -> Column:
+    """0 to 2: about how many bytes a character has beyond one."""
+    return F.when(wide * 4 < chars, 0).when(wide * 4 < chars * 5, 1).otherwise(2)
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -155,7 +163,7 @@ def quality_rules(
     max_langs: int = 1000,
 ) -> DataFrame:
     """``docs`` plus the base counts, base_failed, js_class, js_words (null below
-    their guards) and kept.
+    their guards and with no reference) and kept.
 
     The text is read once; counts and histograms go to a scratch table from
     which the references are summed.  ``carry`` names the columns wanted beside
@@ -194,14 +202,23 @@ def quality_rules(
         s = sum(vals)
         return F.array(*[F.lit(v / s) for v in vals]) if s else F.lit(None).cast("array<double>")
 
+    lit = lambda v: F.array(*[F.lit(x) for x in v])
+    level = lambda r: script(r[N_CLASS - 1], F.lit(1.0) - r[N_CLASS - 1])
+    entry = lambda r, rc: F.struct(r.alias("ref"), level(rc).alias("script"))
     known = refs.limit(max_langs + 1).collect()
     if len(known) > max_langs:
         df = df.join(refs, lang == F.col("__lang"), "left")
-        ref = lambda name, n: F.array(F.coalesce(name, whole(name[3:], n)))
+        stated = F.col("__lang").isNotNull()
+        ref = lambda name, n: F.array(F.when(stated, entry(F.col(name), F.col("__rc"))).otherwise(entry(whole(name[3:], n), whole("c", N_CLASS))))
+    elif known:
+        stated = F.coalesce(lang.isin([r["__lang"] for r in known]), F.lit(False))
+        ref = lambda name, n: F.array(*[entry(lit(r[name]), lit(r["__rc"])) for r in known])
     else:
-        lit = lambda v: F.array(*[F.lit(x) for x in v])
-        ref = lambda name, n: F.array(*[lit(r[name]) for r in known]) if known else F.array(whole(name[3:], n))
-    nearest = lambda own, name, n: let(share(F.col(own)), lambda v: F.array_min(F.transform(ref(name, n), lambda r: distance(v, r))))
+        stated = F.lit(False)
+        ref = lambda name, n: F.array(entry(whole(name[3:], n), whole("c", N_CLASS)))
+    mine = script(F.col("__class")[N_CLASS - 1], F.col("__n"))
+    alike = lambda name, n: F.filter(ref(name, n), lambda r: stated | (r["script"] == mine))
+    nearest = lambda own, name, n: let(share(F.col(own)), lambda v: F.array_min(F.transform(alike(name, n), lambda r: distance(v, r["ref"]))))
     js_class = F.when(F.col("__n") >= min_class_chars, nearest("__class", "__rc", N_CLASS))
     js_words = F.when(w >= min_common_words, nearest("__bins", "__rb", n_bins))
     df = df.select("__rid", *side, *RESULTS[:6], js_class.alias("js_class"), js_words.alias("js_words")).withColumn(

@@ -44,6 +44,20 @@ def test_quality_base(spark, tmp_path):
     assert quality_rules.quality_rules(empty(spark, tmp_path), carry=["doc_id"]).count() == 0
 
 
+def test_other_scripts_references_do_not_count(spark, tmp_path):
+    rng = random.Random(3)
+    other = ["река", "старый", "город", "вечером", "дорога", "тихий", "берег", "люди", "говорили", "снова", "зимой", "окно"]
+    english = ["the", "of", "river", "and", "old", "to", "town", "in", "a", "road", "is", "quiet", "that", "people", "it", "for", "again", "window"]
+    text = lambda ws: " ".join(rng.choice(ws) + rng.choice(["", "", ","]) for _ in range(150))
+    rows = [(i, text(english), "en", "s", None) for i in range(25)] + [(i, text(other), "ru", "s", None) for i in range(25, 30)]
+    rows += [(30, text(other), None, "s", None), (31, text(["#$%&", "@@!!", "0123", "9876"]), "en", "s", None), (32, text(["#$%&", "@@!!", "0123", "9876"]), None, "s", None)]
+    path = str(tmp_path / "langs")
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(path)
+    for most in (1000, 0):
+        got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(path), max_langs=most, max_repeat_pct=100).collect()}
+        assert all(got[i] for i in range(31)) and not got[31] and not got[32]
+
+
 def test_repeat_words_when_hash_bits_collide(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "POS_BITS", 62)  # next to no hash bits: every window collides
     df = spark.createDataFrame([("a b c d a b c",), ("a b c d e f",)], "t string")
