@@ -1,4 +1,4 @@
-"""Query-adaptive retrieval: typing, routing, soft weights, diffusion, quality (ids R1-R8, A16).
+"""Query-adaptive retrieval: typing, routing, soft weights, diffusion, quality (ids R2-R7, A16).
 
 Thresholds and weights are this engine's own defaults, all parameters.
 """

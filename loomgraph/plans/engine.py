@@ -1,7 +1,7 @@
 """The engine: ingest into a store, and the five query modes (ids Q1-Q6, X1-X17, C1-C5).
 
-``embed`` (texts to vectors), ``extract`` (chunk to records) and ``llm`` (prompt to
-answer) are callables; the defaults are deterministic and need no network.
+``embed`` (texts to vectors), ``extract`` (chunk to records), ``llm`` (prompt to answer)
+and ``summary`` (long text to a shorter one, or None to keep it) are callables; the defaults are deterministic and need no network.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ from loomgraph.sources.store import Store
 FAILURE = "Sorry, I'm not able to provide an answer to that question."
 
 
+#: Tokens from which a merged text is summarised.
+SUMMARY_TOKENS = {"description": 500, "additional_properties": 250}
+EDGE_SUMMARY_TOKENS = {"description": 750, "keywords": 100}
+
+
 def hashed_embedding(text: str, dim: int = 64) -> list[float]:
     """A deterministic bag-of-words vector of unit length."""
     v = [0.0] * dim
@@ -56,6 +61,7 @@ class Engine:
         embed: Callable[[str], list[float]] = hashed_embedding,
         extract: Callable[[str, str | None], str] | None = None,
         llm: Callable[[str], str | None] | None = None,
+        summary: Callable[[str], str | None] | None = None,
         chunk_size: int = 1200,
         chunk_overlap: int = 100,
         max_gleaning: int = 1,
@@ -63,6 +69,7 @@ class Engine:
         importable(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.embed, self.llm = embed, llm or (lambda prompt: None)
+        self.summary = summary
         self.extractor = extract or (lambda content, before: content if before is None else "")
         self.chunk_size, self.chunk_overlap, self.max_gleaning = chunk_size, chunk_overlap, max_gleaning
 
@@ -77,6 +84,20 @@ class Engine:
 
         return df.mapInPandas(run, schema)
 
+    def _summarised(self, df: DataFrame, limits: dict[str, int]) -> DataFrame:
+        """``df`` with its long merged texts summarised; without a summary all are kept."""
+        if self.summary is None:
+            return df
+        shorter = self.summary
+
+        def rewrite(rows: DataFrame, col: str) -> DataFrame:
+            said = F.pandas_udf(lambda texts: texts.map(shorter), "string")
+            return rows.withColumn(col, said(col))
+
+        for col, limit in limits.items():
+            df = merge.summarise(df, col, limit, rewrite)
+        return df
+
     def insert(self, docs: DataFrame, text_col: str = "content") -> int:
         """Adds documents that are new by content; returns how many.  All tables change together."""
         s = self.store
@@ -89,8 +110,8 @@ class Engine:
             chunks = ingest.new_rows(chunks, s.read("chunks"), "chunk_id").cache()
             recs = X.records(X.extract(chunks, self.extractor, self.max_gleaning)).cache()
             ents, rels = X.entities(recs), X.hyperedges(recs)
-            vertices = merge.merge_entities(ents, s.read("vertices"))
-            edges = merge.merge_edges(rels, s.read("edges")).cache()
+            vertices = self._summarised(merge.merge_entities(ents, s.read("vertices")), SUMMARY_TOKENS)
+            edges = self._summarised(merge.merge_edges(rels, s.read("edges")), EDGE_SUMMARY_TOKENS).cache()
             vertices = merge.backfill_unknown(vertices, edges).cache()
             vec = lambda old, new: vector.upsert_vectors(s.read(old), new)
             s.commit(

@@ -42,6 +42,16 @@ def test_modes(engine, mode):
         assert [r["edge_key"] for r in a.hyperedges] == ["ALICE|#|BOB"]
 
 
+def test_long_merged_texts_are_summarised(spark, tmp_path):
+    w = lambda n: " ".join(["word"] * n)
+    doc = f'("Entity" | alice | person | {w(500)} | {w(250)}) <|COMPLETE|> ("Entity" | bob | person | {w(499)} | {w(249)}) <|COMPLETE|> ("Low-order Hyperedge" | alice | bob | {w(750)} | {w(100)} | 2)'
+    short = Engine(spark, str(tmp_path / "sum"), chunk_size=9000, summary=lambda t: f"short {len(t.split())}")
+    assert short.insert(spark.createDataFrame([(doc,)], "content string")) == 1
+    v = {r.entity_name: (r.description, r.additional_properties) for r in short.store.read("vertices").collect()}
+    assert v == {"ALICE": (["short 500"], ["short 250"]), "BOB": ([w(499)], [w(249)])}
+    assert [(r.description, r.keywords) for r in short.store.read("edges").collect()] == [(["short 750"], ["short 100"])]
+
+
 def test_nothing_found_and_streams(engine):
     assert engine.query("zzz", QueryParam(threshold=1.1)).response == FAILURE
     assert "".join(engine.query_stream("alice", QueryParam(threshold=0.0))).startswith("said")
