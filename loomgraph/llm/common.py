@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,34 +33,44 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is set."""
+    """The shared checkpoint folder; one of this machine only in local mode, where none is set."""
     importable(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    here = sc._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (here.get() if here.isDefined() else None)
     if not path:
-        path = sc._jsc.sc().getCheckpointDir().getOrElse(None) if sc._jsc.sc().getCheckpointDir().isDefined() else None
-    if not path:
+        if not (sc.master or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         path = tempfile.mkdtemp(prefix="loomgraph-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not here.isDefined():
         sc.setCheckpointDir(path)
     return path
 
 
 class Scratch:
-    """Parquet tables in the shared folder, deleted when the work is over."""
+    """Parquet tables in the shared folder; as a context manager they go with the block,
+    however it ends.  Tables that a lazy result still reads belong to one that is not entered."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/loomgraph-{uuid.uuid4().hex}"
         self.n = 0
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failed) -> None:
+        self.drop()
+
     def table(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and read it back: cuts lineage and survives lost executors."""
         self.n += 1
         path = f"{self.root}/t{self.n}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         self.release()
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
 
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished steps now, not when the
@@ -67,25 +78,44 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.root)
+    def drop(self, table: DataFrame | None = None) -> None:
+        """Delete one table, or all."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root if table is None else table.scratch_path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a small table; the files go when it is collected."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is Parquet files with nothing but projections and filters on top."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().toString() == "Parquet"
 
 
-def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """A row key that holds for duplicate and null ids alike.
+def with_row_id(df: DataFrame, scratch: Scratch, name: str = "__rid") -> DataFrame:
+    """``df`` with a key of each row that holds for duplicate and null ids alike.
 
-    The key comes from the scan position, so ``df`` must be a stored table (or a
-    narrow projection of one): a re-run task then numbers its rows the same way.
+    The key is made of the row's file and its place in that file, so every scan gives
+    the same keys, however files are packed into partitions.  What is no plain scan
+    is stored in ``scratch`` first, which must outlive the result.  A few hash
+    functions are tried until no two files share the upper bits.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    if not is_scan(df):
+        df = scratch.table(df)
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    salt = 0
+    files = df.select(path.alias("p"), row.alias("r")).groupBy("p").agg(F.max("r").alias("r"))
+    while True:
+        got = files.select("r", *[F.xxhash64("p", F.lit(salt + i)).alias(f"h{i}") for i in range(8)]).collect()
+        bits = max([1, *(int(x["r"]).bit_length() for x in got)])
+        fine = [i for i in range(8) if len({(x[f"h{i}"] & ((1 << 64) - 1)) >> (bits + 1) for x in got}) == len(got)]
+        if fine:
+            break
+        salt += 8
+    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(path, F.lit(salt + fine[0])), bits + 1), bits)
+    return df.select("*", high.bitwiseOR(row).alias(name))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,12 +148,13 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes each; a longer row is a range of its own."""
+def slices(offs: np.ndarray, most: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes and at most ``rows`` rows each; a longer row is a
+    range of its own."""
     at, n = 0, len(offs) - 1
     while at < n:
         to = int(np.searchsorted(offs, offs[at] + most, side="right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), at + rows, n)
         yield at, to
         at = to
 
@@ -131,7 +162,6 @@ def slices(offs: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 # --------------------------------------------------------------- hashing
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_CODE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
-BYTE_CODE2 = _rng.integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = _rng.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
@@ -161,11 +191,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray, code: np.ndarray = BYTE_CODE) -> np.ndarray:
+def prefix_hash(data: np.ndarray) -> np.ndarray:
     """h with h[j] - h[i] == hash of data[i:j] times BASE**i."""
     pw, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code[data] * pw[: len(data)], out=out[1:])
+    np.cumsum(BYTE_CODE[data] * pw[: len(data)], out=out[1:])
     return out
 
 
@@ -175,6 +205,25 @@ def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((h[end] - h[start]) * inv[start] + (end - start).astype(np.uint64) * MIX[0])
 
 
+#: A polynomial hash modulo 2**64 can be fooled by long strings of a certain making; spans
+#: beyond this size get another one.
+LONG = 256
+
+
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word data[start:end]."""
+    out = span_hash(prefix_hash(data), start, end)
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(spans, 2): a 128-bit digest of each data[start:end] as two 64-bit integers."""
+    raw, of = data.tobytes(), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([of(raw[a:z]) for a, z in zip(start.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -204,7 +253,7 @@ def word_shingles(data: np.ndarray, offs: np.ndarray, k: int = 5) -> list[np.nda
     A row of 1 to k-1 words has its whole sequence as one shingle; no word, none.
     """
     start, end, row = word_spans(data, offs)
-    h = span_hash(prefix_hash(LOWER[data]), start, end)
+    h = word_hash(LOWER[data], start, end)
     n, rows = len(h), len(offs) - 1
     at = np.searchsorted(row, np.arange(rows + 1))
     full = np.zeros(max(n - k + 1, 0), np.uint64)
@@ -228,34 +277,31 @@ def word_shingles(data: np.ndarray, offs: np.ndarray, k: int = 5) -> list[np.nda
 
 
 # ------------------------------------------------- connected components
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, a: str = "src", b: str = "dst") -> DataFrame:
     """(id, comp): the smallest id each node reaches, over the edges' nodes.
 
-    Alternating large-star and small-star steps on the edge table; every step is
-    a grouped minimum (combined before the shuffle) and a join back, and is
-    checkpointed.  No component is ever gathered in one task.
+    Each round hooks every node to its smallest neighbour, jumps one pointer, and
+    contracts the edges, so the graph shrinks by a constant factor a round; the
+    smallest node of a component never hooks away.  The maps of all rounds are
+    composed at the end.  Minima are combined before their shuffle, and joins by a
+    hub read plain tables on both sides, which lets Spark split its rows.
     """
-    e = checkpoint(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct()
-    )
-    mark = None
-    while True:
+    src, dst = F.col(a).cast("long"), F.col(b).cast("long")
+    e = scratch.table(edges.where(src != dst).select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).distinct())
+    maps: list[DataFrame] = []
+    while not maps or not e.isEmpty():
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpoint(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v")
-            .where("u <> v")
-            .distinct()
-        )
-        e = checkpoint(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark or now[0] == 0:
-            break
-        mark = tuple(now)
-    roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
-    return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionByName(roots)
+        hook = scratch.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
+        jump = hook.select(F.col("u").alias("m"), F.col("m").alias("to"))
+        maps.append(scratch.table(hook.join(jump, "m").select("u", F.col("to").alias("m"))))
+        x, y = maps[-1].select("u", F.col("m").alias("x")), maps[-1].select(F.col("u").alias("v"), F.col("m").alias("y"))
+        rest = e.join(x, "u").join(y, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+        after = scratch.table(rest)
+        scratch.drop(hook)
+        scratch.drop(e)
+        e = after
+    comp = maps.pop()
+    for m in reversed(maps):
+        up = comp.select(F.col("u").alias("m"), F.col("m").alias("to"))
+        comp = m.join(up, "m", "left").select("u", F.coalesce("to", "m").alias("m"))
+    return comp.select(F.col("u").alias("id"), F.col("m").alias("comp"))

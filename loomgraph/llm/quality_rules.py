@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, checkpoint, let, with_row_id
+from .common import Scratch, let, with_row_id
 
 WS = r"[\x20\x09-\x0D]"
 #: The most common short words of four languages, one histogram bin each.
@@ -147,6 +147,14 @@ def script(wide: Column, chars: Column) -> Column:
     return F.when(wide * 4 < chars, 0).when(wide * 4 < chars * 5, 1).otherwise(2)
 
 
+def _gaps(own: Column, known: Column, gap_to) -> Column:
+    return let(own, lambda v: F.transform(known, gap_to(v)))
+
+
+def _less(new: Column, old: Column) -> Column:
+    return let(new, lambda x: F.struct(F.least(x["any"], old["any"]).alias("any"), F.least(x["like"], old["like"]).alias("like")))
+
+
 def quality_rules(
     docs: DataFrame,
     *,
@@ -160,7 +168,7 @@ def quality_rules(
     max_js_class: float = 0.3,
     max_js_words: float = 0.275,
     min_ref_docs: int = 20,
-    max_langs: int = 1000,
+    ref_block: int = 1000,
 ) -> DataFrame:
     """``docs`` plus the base counts, base_failed, js_class, js_words (null below
     their guards and with no reference) and kept.
@@ -172,7 +180,8 @@ def quality_rules(
     """
     own = [c for c in docs.columns if c not in RESULTS]
     scratch = Scratch(docs.sparkSession)
-    src = with_row_id(docs.select(*own))
+    # without the join back the numbers are never used
+    src = with_row_id(docs.select(*own), scratch) if carry is None else docs.select(*own, F.lit(0).cast("long").alias("__rid"))
     side = [c for c in (carry or []) if c in own]
     need = list(dict.fromkeys([*side, *[c for c in (lang_col,) if c in own]]))
     df = with_counts(src.select("__rid", *dict.fromkeys([*need, text_col])), text_col)
@@ -190,7 +199,7 @@ def quality_rules(
             *[F.sum(F.col("__bins")[i]).alias(f"b{i}") for i in range(n_bins)],
         )
     )
-    sums = checkpoint(sums)
+    sums = scratch.table(sums)
     total = sums.agg(*[F.sum(x).alias(x) for x in sums.columns if x != "__lang"]).first().asDict()
     sum_of = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, y: s + y)
     share = lambda a: let(a, lambda v: F.transform(v, lambda x: x / sum_of(v)))
@@ -205,22 +214,39 @@ def quality_rules(
     lit = lambda v: F.array(*[F.lit(x) for x in v])
     level = lambda r: script(r[N_CLASS - 1], F.lit(1.0) - r[N_CLASS - 1])
     entry = lambda r, rc: F.struct(r.alias("ref"), level(rc).alias("script"))
-    known = refs.limit(max_langs + 1).collect()
-    if len(known) > max_langs:
-        df = df.join(refs, lang == F.col("__lang"), "left")
-        stated = F.col("__lang").isNotNull()
-        ref = lambda name, n: F.array(F.when(stated, entry(F.col(name), F.col("__rc"))).otherwise(entry(whole(name[3:], n), whole("c", N_CLASS))))
-    elif known:
-        stated = F.coalesce(lang.isin([r["__lang"] for r in known]), F.lit(False))
-        ref = lambda name, n: F.array(*[entry(lit(r[name]), lit(r["__rc"])) for r in known])
-    else:
-        stated = F.lit(False)
-        ref = lambda name, n: F.array(entry(whole(name[3:], n), whole("c", N_CLASS)))
     mine = script(F.col("__class")[N_CLASS - 1], F.col("__n"))
-    alike = lambda name, n: F.filter(ref(name, n), lambda r: stated | (r["script"] == mine))
-    nearest = lambda own, name, n: let(share(F.col(own)), lambda v: F.array_min(F.transform(alike(name, n), lambda r: distance(v, r["ref"]))))
-    js_class = F.when(F.col("__n") >= min_class_chars, nearest("__class", "__rc", N_CLASS))
-    js_words = F.when(w >= min_common_words, nearest("__bins", "__rb", n_bins))
+    parts = (("class", "__rc", N_CLASS, F.col("__n") >= min_class_chars), ("bins", "__rb", n_bins, w >= min_common_words))
+
+    def nearer(df: DataFrame, ref: dict[str, Column], stated: Column) -> DataFrame:
+        """Least distances so far to any reference and to those of like script, and whether the
+        stated language is among them."""
+        cols = {"__stated": F.col("__stated") | stated}
+        for own, name, _, guard in parts:
+            old, known = F.col(f"__near_{own}"), ref[name]
+            gap_to = lambda v: lambda r: F.struct(r["script"].alias("s"), distance(v, r["ref"]).alias("d"))
+            gaps = _gaps(share(F.col(f"__{own}")), known, gap_to)
+            least = let(gaps, lambda g: F.struct(F.array_min(g["d"]).alias("any"), F.array_min(F.filter(g, lambda x: x["s"] == mine)["d"]).alias("like")))
+            cols[f"__near_{own}"] = F.when(guard, _less(least, old))
+        return df.withColumns(cols)
+
+    none = F.lit(None).cast("struct<any:double,like:double>")
+    df = df.withColumns({"__stated": F.lit(False), "__near_class": none, "__near_bins": none})
+    # every document is held against every reference, a block of them at a time
+    block, n_refs = [], 0
+    for r in [*refs.toLocalIterator(), None]:
+        if r is not None:
+            block.append(r)
+            n_refs += 1
+        if block and (r is None or len(block) == ref_block):
+            if n_refs > len(block):
+                df = scratch.table(df)
+            here = {name: F.array(*[entry(lit(x[name]), lit(x["__rc"])) for x in block]) for _, name, _, _ in parts}
+            df = nearer(df, here, F.coalesce(lang.isin([x["__lang"] for x in block]), F.lit(False)))
+            block = []
+    if not n_refs:
+        df = nearer(df, {name: F.array(entry(whole(name[3:], n), whole("c", N_CLASS))) for _, name, n, _ in parts}, F.lit(False))
+    pick = lambda own: F.when(F.col("__stated"), F.col(f"__near_{own}.any")).otherwise(F.col(f"__near_{own}.like"))
+    js_class, js_words = pick("class"), pick("bins")
     df = df.select("__rid", *side, *RESULTS[:6], js_class.alias("js_class"), js_words.alias("js_words")).withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("js_class") <= max_js_class, F.lit(True)) & F.coalesce(F.col("js_words") <= max_js_words, F.lit(True))
     )

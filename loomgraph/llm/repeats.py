@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE2, Scratch, checkpoint, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
+from .common import Scratch, digests, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
 from .induced_sort import neighbours_share, suffix_order
 
 GRAM = 24
@@ -74,7 +74,7 @@ def window_runs(data: np.ndarray, offs: np.ndarray, length: int):
     at = np.searchsorted(names, value).astype(np.int64) * (n + 1)
     many = np.searchsorted(key, at + last - 1 + w - 1, side="right") - np.searchsorted(key, at + first) > 1
     end = last - 1 + length
-    return row, first - offs[row], last - first, value, many, span_hash(h, first, end), span_hash(prefix_hash(data, BYTE_CODE2), first, end)
+    return row, first - offs[row], last - first, value, many, *digests(data, first, end).T
 
 
 def _runs(length: int):
@@ -88,7 +88,7 @@ def _runs(length: int):
                     continue
                 row, start, size, v, many, g1, g2 = window_runs(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], length)
                 if len(row):
-                    i64 = [pa.array(x.view(np.int64)) for x in (v, g1, g2)]
+                    i64 = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (v, g1, g2)]
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).take(pa.array(row + lo)), pa.array(start.astype(np.int64)), pa.array(size.astype(np.int64)), i64[0], pa.array(many), *i64[1:]], names
                     )
@@ -265,11 +265,10 @@ def _remove(length: int, at: int, cover: int):
 
 
 def repeated_ranges(
-    docs: DataFrame, *, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot_bytes: int = 3 << 19, memory: int = 64 << 20
+    docs: DataFrame, scratch: Scratch, final: Scratch, *, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot_bytes: int = 3 << 19, memory: int = 64 << 20
 ) -> DataFrame:
     """(__rid, cuts): ranges [a, b) of starts of repeated windows, for rows that have any."""
-    scratch = Scratch(docs.sparkSession)
-    src = with_row_id(docs.select(text_col)).select(F.col("__rid").alias("rid"), F.col(text_col).alias("t"))
+    src = docs.select(F.col("__rid").alias("rid"), F.col(text_col).alias("t"))
     runs = scratch.table(src.mapInArrow(_runs(length), "rid long, start long, size long, v long, many boolean, g1 long, g2 long"))
     twice = runs.groupBy("v").agg((F.count("*") + F.max(F.col("many").cast("int"))).alias("occ")).where("occ > 1").select("v")
     cand = scratch.table(runs.join(twice, "v"))
@@ -301,15 +300,16 @@ def repeated_ranges(
     part = found.join(segs.where("copies > 1").select("seg"), "seg", "left_anti")
     cover = scratch.table(whole.unionByName(part)).join(segs.select("seg", "v", "g1", "g2"), "seg").select("v", "g1", "g2", "a", "b")
     cuts = cand.join(cover, ["v", "g1", "g2"]).select("rid", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("x"))
-    out = checkpoint(cuts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("x").alias("cuts")))
-    scratch.drop()
-    return out
+    return final.table(cuts.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("x").alias("cuts")))
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """``docs`` plus n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    cuts = repeated_ranges(docs, text_col=text_col, **options)
     keep = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    df = with_row_id(docs.select(*keep)).join(cuts, "__rid", "left").select(*keep, F.col("cuts").alias("__cuts"))
+    final = Scratch(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        rows = with_row_id(docs.select(*keep), final)
+        cuts = repeated_ranges(rows, scratch, final, text_col=text_col, **options)
+    df = rows.join(cuts, "__rid", "left").select(*keep, F.col("cuts").alias("__cuts"))
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return df.mapInArrow(_remove(length=options.get("length", 400), at=keep.index(text_col), cover=len(keep)), schema)

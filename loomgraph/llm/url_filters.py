@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence, native expressions only.
 
 Rules allow or block a host with its subdomains, under a path prefix; the
-longest fitting rule decides.  Pages whose addresses are tied by redirects
+longest fitting rule decides, and allow where two of one length disagree.  Pages whose addresses are tied by redirects
 (``<meta http-equiv=refresh>`` and an optional table of crawled redirects) or by
 canonical links are aliases: connected components over these edges.  A component
 with an address that a rule blocks is blocked; an address that a rule allows
@@ -11,7 +11,8 @@ An address is host, path and query: scheme and fragment make no difference.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no
 rule, has no aliases and is allowed.  Null html has no links.  Links to other
-schemes are ignored.  Repeated pages share their verdict.  Extra columns pass.
+schemes are ignored.  Repeated pages share their verdict.  Extra columns pass; results replace
+columns of their names, and ``__rid``, ``__u``, ``__to``, ``__node``, ``__bad`` are reserved.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, let, with_row_id
+from .common import Scratch, connected_components, let
 
 #: Fixed values of the default query: (verdict, rule).
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -43,7 +44,7 @@ def parts(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(size, rule, verdict) of the longest fitting rule, or null."""
-    known = F.array(*[F.struct(F.lit(len(r)).alias("size"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.split("/", 1)[0]).alias("h"), F.lit("/" + r.split("/", 1)[1]).alias("p")) for v, r in rules])
+    known = F.array(*[F.struct(F.lit(len(r)).alias("size"), F.lit(v == "allow").alias("first"), F.lit(r).alias("rule"), F.lit(v).alias("verdict"), F.lit(r.split("/", 1)[0]).alias("h"), F.lit("/" + r.split("/", 1)[1]).alias("p")) for v, r in rules])
     fits = lambda x: ((host == x["h"]) | host.endswith(F.concat(F.lit("."), x["h"]))) & path.startswith(x["p"])
     return F.array_max(F.filter(known, fits))
 
@@ -61,7 +62,7 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str]], key: str) -> DataFra
         .join(table, "h")
         .where(F.col("path").startswith(F.col("p")))
         .groupBy(key)
-        .agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("r"))
+        .agg(F.max(F.struct(F.length("rule").alias("size"), (F.col("verdict") == "allow").alias("first"), "rule", "verdict")).alias("r"))
     )
     return df.join(best, key, "left").withColumns({"rule": F.col("r.rule"), "rule_verdict": F.col("r.verdict")}).drop("r")
 
@@ -107,31 +108,40 @@ def filter_urls(
     """``pages`` less their html, plus host, path, rule and verdict.
 
     ``redirects`` may add (src, dst) pairs of urls that a crawler followed."""
-    scratch, final = Scratch(pages.sparkSession), Scratch(pages.sparkSession)
+    final = Scratch(pages.sparkSession)
     own = [c for c in pages.columns if c not in (html_col, "host", "path", "rule", "verdict")]
     url = F.col(url_col)
-    src = with_row_id(pages.select(*own, html_col)).select("__rid", *own, parts(url).alias("__u"), linked_urls(F.col(html_col)).alias("__to"))
+    src = pages.select(F.monotonically_increasing_id().alias("__rid"), *own, parts(url).alias("__u"), linked_urls(F.col(html_col)).alias("__to"))
     src = src.select("__rid", *own, "__u.host", "__u.path", F.col("__u.node").alias("__node"), "__to")
-    judged = with_rules(src, rules, "__rid")
-    judged = final.table(judged)
-    links = judged.where(F.size("__to") > 0).select("__node", F.explode("__to").alias("t"), url_col).select(F.col("__node").alias("a"), resolve(url, F.col("t")).alias("u"))
+    # stored, so that one numbering of the rows holds
+    judged = final.table(src) if len(rules) > MOST_INLINE else src
+    judged = final.table(with_rules(judged, rules, "__rid"))
+    with Scratch(pages.sparkSession) as scratch:
+        bad = blocked_addresses(judged, rules, redirects, url, scratch, final)
+    verdict = F.coalesce("rule_verdict", F.lit("allow"))
+    if bad is not None:
+        judged = judged.join(bad, "__node", "left")
+        verdict = F.coalesce("rule_verdict", F.when(F.col("__bad"), F.lit("block")), F.lit("allow"))
+    return judged.select(*own, "host", "path", "rule", verdict.alias("verdict"))
+
+
+def blocked_addresses(judged: DataFrame, rules: list, redirects: DataFrame | None, url: Column, scratch: Scratch, final: Scratch) -> DataFrame | None:
+    """(__node, __bad) of every address tied to one that a rule blocks; None without ties."""
+    links = judged.where(F.size("__to") > 0).select("__node", url.alias("__url"), F.explode("__to").alias("t"))
+    links = links.select(F.col("__node").alias("a"), resolve(F.col("__url"), F.col("t")).alias("u"))
     links = links.select("a", parts(F.col("u"))["node"].alias("b"), "u")
     if redirects is not None:
         links = links.unionByName(redirects.select(parts(F.col("src"))["node"].alias("a"), parts(F.col("dst"))["node"].alias("b"), F.col("dst").alias("u")))
-    links = scratch.table(links.where("a is not null and b is not null and a <> b").select("a", "b", F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), "u"))
-    verdict = F.coalesce("rule_verdict", F.lit("allow"))
+    links = scratch.table(links.where("a is not null and b is not null and a <> b").distinct())
     if links.isEmpty():
-        out = judged
-    else:
-        comp = connected_components(links)
-        # an alias that was never crawled can be blocked as well
-        targets = links.select(F.col("dst").alias("id"), parts(F.col("u")).alias("p")).select("id", "p.host", "p.path").distinct()
-        seen = judged.where("__node is not null").select(F.xxhash64("__node").alias("id"), "rule_verdict").unionByName(with_rules(targets, rules, "id").select("id", "rule_verdict"))
-        bad = comp.join(seen.where("rule_verdict = 'block'").select("id").distinct(), "id", "left_semi").select("comp").distinct()
-        bad = scratch.table(comp.join(bad, "comp", "left_semi").select(F.col("id").alias("__id"), F.lit(True).alias("__bad")))
-        # final holds what the lazy result still reads
-        bad = final.table(bad)
-        out = judged.join(bad, F.xxhash64("__node") == F.col("__id"), "left")
-        verdict = F.coalesce("rule_verdict", F.when(F.col("__bad"), F.lit("block")), F.lit("allow"))
-    scratch.drop()
-    return out.select(*own, "host", "path", "rule", verdict.alias("verdict"))
+        return None
+    # addresses get numbers of their own: a hash of 64 bits would tie strangers at scale
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()))
+    edges = links.join(nodes.select(F.col("node").alias("a"), F.col("id").alias("src")), "a").join(nodes.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b")
+    comp = scratch.table(connected_components(edges, scratch).join(nodes, "id").select("node", "comp"))
+    # an alias that was never crawled can be blocked as well
+    targets = links.select(F.col("b").alias("node"), parts(F.col("u")).alias("p")).select("node", "p.host", "p.path").distinct()
+    seen = judged.where("__node is not null").select(F.col("__node").alias("node"), "rule_verdict").unionByName(with_rules(targets, rules, "node").select("node", "rule_verdict"))
+    down = scratch.table(comp.join(seen.where("rule_verdict = 'block'").select("node").distinct(), "node", "left_semi").select("comp").distinct())
+    return final.table(comp.join(down, "comp", "left_semi").select(F.col("node").alias("__node"), F.lit(True).alias("__bad")))
