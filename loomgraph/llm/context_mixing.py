@@ -1,481 +1,481 @@
-"""Language-model scoring by logistic context mixing over bits.
-
-A text is the sequence of its words (A-Z lower-cased), each ended by a space, and
-one end token, a line feed; every token is coded bit by bit.  The predictors of a
-bit are its counts in hashed contexts of the last 0 to 5 bytes of the word and in
-the context of the word's whole beginning.  Their log odds are combined by
-weights, gated by bit position and longest known context, that are learned online
-on coding cost; an adaptive probability map refines the mix.  Bits of context end
-with the word, so a word costs the same wherever it stands: each distinct word is
-scored once, and a text's score is the sum over its tokens.
-
-All counts come from the table of training words, which covers every training
-text and grows with them.  The hashed tables have ``2 ** SLOT_BITS`` slots an
-order, the usual bounded memory of such models; beginnings are counted exactly,
-in shards of words that begin alike.  Mixing weights are fitted on about
-``mixer_words`` words, each with its own occurrence taken out of the counts.
-Token lookups ship packed blocks of (word code, row, count) to the shard that
-has the word; no vocabulary is ever broadcast.
-
-Edge cases: null and empty texts have the end token only.  Null ids are never
-learned from nor held out.  With nothing to learn from, all predictors are even.
+"""Language-model scoring by online logistic context mixing over bits.
+
+A text is coded as its words (A-Z lower-cased) with one space between, and a line feed
+as its end token; every byte is coded bit by bit, the highest first.  The predictors of
+a bit are the training counts of a one and a zero in hashed contexts of the last 0 to 5
+bytes, across words.  Their log odds are combined by weights that a gate picks (the
+longest known context, and how often it was seen).  The weights are learned online, in
+small steps on coding cost over the stream of every block of training events, and are
+merged over the blocks between epochs; an adaptive probability map refines the mix.
+As each bit's two probabilities sum to one, so do those of all texts.
+
+The model's last context has five bytes, so a prediction depends on six bytes: an event.
+Texts are dealt into groups of about ``GROUP`` bytes.  A group asks for its distinct
+events and words, packed, and looks its own text up in the answers; neither a vocabulary
+nor a table of events is ever broadcast.  Events with the same last three context bytes
+meet in one block, so the counts of orders 3 to 5 are exact there (a block of three bytes
+has at most 2**24 events, whatever the corpus); those of orders 0 to 2 come from the
+table of three-byte strings, of which there are at most 2**24.  All training texts count,
+all their events train the mixer.  Blocks depend on the input alone, not on partitions
+or settings, so scores don't change with them.
+
+Edge cases: null and empty texts have the end token only.  Null ids are never learned
+from nor held out.  With nothing to learn from, all predictors are even.  Repeated rows
+are scored each, and learned from as often as they occur.  Words are told apart by
+64-bit hashes.  Only the id column is carried; others do not matter.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from math import log10
+from collections.abc import Callable, Iterator
+from math import isqrt, log2, log10
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, Scratch, block_count, checkpoint, mix64, prefix_hash, slices, span_hash, text_bytes, with_row_id, word_spans
-
-ORDERS = 6
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
-INPUTS = ORDERS + 2  # with the beginning of the word, and a bias
-GATES = 8 * (ORDERS + 2)
-END = b"\n"
-TABLE = bytes(LOWER.tolist())
-#: Words up to this size share a shard by their first bytes; longer ones by more of them.
-SHORT, FEW, MANY = 16, 6, 16
+from .common import LOWER, MIX, SPACE, Scratch, input_bytes, mix64, slices, text_bytes, with_row_id, word_hash, word_spans
+
+ORDER = 5
+INPUTS = ORDER + 2  # with a bias
+#: Gates: longest known order (none, 0 to 5) by how often its context was seen.
+SEEN = np.array([1, 2, 4, 16, 256])
+GATES = (ORDER + 2) * len(SEEN)
+KNOTS = 33
+#: Bytes of text that ask together, and that one vectorised step handles.
+GROUP, STEP = 16 << 20, 1 << 21
+END = 10
+WORDS, GRAMS, TEXT = 0, 1, 2
+ASK = "kind int, block long, grp long, data binary, counts binary, rids binary, sizes binary"
+NAMES = ["kind", "block", "grp", "data", "counts", "rids", "sizes"]
+
+
+def coded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of all rows, and their offsets."""
+    start, end, row = word_spans(data, offs)
+    rows = len(offs) - 1
+    words = np.bincount(row, minlength=rows)
+    size = np.bincount(row, end - start, minlength=rows).astype(np.int64) + np.maximum(words, 1)
+    to = np.concatenate([[0], np.cumsum(size)])
+    out = np.full(to[-1], 32, np.uint8)
+    solid = np.ones(len(out), bool)
+    # a separator follows every word; a row without words is its end alone
+    lead = np.cumsum(end - start + 1) if len(start) else np.zeros(0, np.int64)
+    bare = np.concatenate([[0], np.cumsum(words == 0)])[:-1]
+    solid[lead - 1 + bare[row]] = False
+    out[to[1:] - 1], solid[to[1:] - 1] = END, False
+    out[solid] = LOWER[data[~SPACE[data]]]
+    return out, to
+
+
+def events(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each coded byte the six bytes that end with it, as one integer; line feeds stand
+    before a text's begin."""
+    x = np.concatenate([np.full(ORDER, END, np.uint8), text]).astype(np.uint64)
+    code = np.zeros(len(text), np.uint64)
+    for j in range(ORDER + 1):
+        code = (code << np.uint64(8)) | x[j : j + len(text)]
+    begin = offs[:-1]
+    for q in range(ORDER):
+        at = (begin + q)[begin + q < offs[1:]]
+        fixed = np.zeros(len(at), np.uint64)
+        for back in range(ORDER, -1, -1):
+            fixed = (fixed << np.uint64(8)) | (text[at - back].astype(np.uint64) if back <= q else np.uint64(END))
+        code[at] = fixed
+    return code
+
+
+def tokens(text: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every token of coded texts: the words, then each row's end."""
+    start, end, row = word_spans(text, offs)
+    last = word_hash(np.array([END], np.uint8), np.array([0]), np.array([1]))
+    rows = np.arange(len(offs) - 1)
+    return np.concatenate([word_hash(text, start, end), np.repeat(last, len(rows))]), np.concatenate([row, rows])
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted codes with the sums of their numbers."""
+    if not len(code):
+        return code, n
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[at], np.add.reduceat(n, at)
+
+
+def _distinct(code: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes with their occurrences where ``train``."""
+    if train.all():
+        u, n = np.unique(code, return_counts=True)
+        return u, n.astype(np.int64)
+    u, n = np.unique(code[train], return_counts=True)
+    other = np.unique(code[~train])
+    return np.concatenate([u, other]), np.concatenate([n, np.zeros(len(other), np.int64)]).astype(np.int64)
+
+
+def planes(code: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of each integer, all first bytes first: sorted ones compress."""
+    return np.ascontiguousarray(code.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes, width: int) -> np.ndarray:
+    own = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, :width] = own.T
+    return out.view(np.uint64).ravel()
+
+
+def block_of(code: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks of events: those with the same last three context bytes share one."""
+    return (mix64((code >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+
+
+def _dealt(code: np.ndarray, n: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    order = np.argsort(block, kind="stable")
+    code, n, block = code[order], n[order], block[order]
+    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+    for a, z in zip(cut, [*cut[1:], len(block)], strict=False):
+        yield int(block[a]), code[a:z], n[a:z]
+
+
+def _groups(blocks: int):
+    """(rid, train, text) to packed questions, and each group's coded texts."""
+
+    def flush(rids: list, texts: list, grams: list, words: list) -> Iterator[pa.RecordBatch]:
+        grp = rids[0]
+        out: list[tuple] = []
+        code, n = summed(*(np.concatenate(x) for x in zip(*grams, strict=True)))
+        out += [(GRAMS, b, grp, planes(c, 6), planes(k, 6), None, None) for b, c, k in _dealt(code, n, block_of(code, blocks))]
+        code, n = summed(*(np.concatenate(x) for x in zip(*words, strict=True)))
+        out += [(WORDS, b, grp, planes(c, 8), planes(k, 6), None, None) for b, c, k in _dealt(code, n, (code % np.uint64(blocks)).astype(np.int64))]
+        sizes = np.concatenate([np.diff(to) for _, to in texts])
+        out.append((TEXT, grp % blocks, grp, b"".join(t.tobytes() for t, _ in texts), None, np.array(rids, np.int64).tobytes(), sizes.tobytes()))
+        types = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], NAMES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rids, texts, grams, words, total = [], [], [], [], 0
+        for b in batches:
+            all_rids, all_train = b.column(0).to_pylist(), np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+            data, offs = text_bytes(b.column(2))
+            for lo, hi in slices(offs, STEP):
+                text, to = coded(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                train = all_train[lo:hi]
+                rids += all_rids[lo:hi]
+                texts.append((text, to))
+                grams.append(_distinct(events(text, to), np.repeat(train, np.diff(to))))
+                token, row = tokens(text, to)
+                words.append(_distinct(token, train[row]))
+                total += len(text)
+                if total >= GROUP:
+                    yield from flush(rids, texts, grams, words)
+                    rids, texts, grams, words, total = [], [], [], [], 0
+        if rids:
+            yield from flush(rids, texts, grams, words)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(train, text) to (word, c): occurrences in training texts (0: in others only)."""
+    return run
 
-    def rows(seen: Counter, other: set) -> pa.RecordBatch:
-        words = [*seen, *(other - seen.keys())]
-        counts = np.zeros(len(words), np.int64)
-        counts[: len(seen)] = list(seen.values())
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts)], ["word", "c"])
 
-    seen, other = Counter(), set()
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each block, of what was dealt by block."""
+    found: dict[int, list[dict]] = {}
     for b in batches:
-        for train, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = (t.as_py() or "").encode().translate(TABLE).split()
-            words.append(END)
-            if train:
-                seen.update(words)
-            else:
-                other.update(words)
-            if len(seen) + len(other) > 200_000:
-                yield rows(seen, other)
-                seen, other = Counter(), set()
-    if seen or other:
-        yield rows(seen, other)
-
-
-class Bits:
-    """All bytes of some words, with their contexts."""
-
-    def __init__(self, words: list[bytes]):
-        raw = b" ".join(words) + b" "
-        self.data = np.frombuffer(raw, np.uint8)
-        size = np.array([len(w) + 1 for w in words], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        self.size = size
-        self.word = np.repeat(np.arange(len(words)), size)
-        place = np.arange(len(self.data)) - self.begin[self.word]
-        ctx = np.full(len(self.data), MIX[40])
-        self.contexts = [mix64(ctx)]
-        for o in range(1, ORDERS):
-            prev = np.zeros(len(self.data), np.uint64)
-            prev[o:] = self.data[:-o]
-            ctx = ctx * MIX[41] + np.where(place >= o, prev + np.uint64(1), np.uint64(0))
-            self.contexts.append(mix64(ctx + MIX[42:43] * np.uint64(o)))
-        h = prefix_hash(self.data)
-        self.prefix = span_hash(h, self.begin[self.word], np.arange(len(self.data)))
-
-    def nodes(self, j: int) -> tuple[np.ndarray, np.ndarray]:
-        """The node of bit j (0: highest) in the byte's tree, and the bit."""
-        d = self.data.astype(np.uint64)
-        return (d >> np.uint64(8 - j)) | np.uint64(1 << j), (self.data >> (7 - j)) & 1
-
-    def slot(self, o: int, node: np.ndarray) -> np.ndarray:
-        return (mix64(self.contexts[o] + node * MIX[43]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-
-def _chunks(words: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    at = total = 0
-    for i, w in enumerate(words):
-        total += len(w) + 1
-        if total >= most:
-            yield at, i + 1
-            at, total = i + 1, 0
-    if at < len(words):
-        yield at, len(words)
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, c) to sparse sums of the hashed tables: (part, slots, n0, n1)."""
-    total = np.zeros((2, ORDERS * SLOTS))
-    for b in batches:
-        words, c = b.column(0).to_pylist(), np.asarray(b.column(1)).astype(float)
-        for lo, hi in _chunks(words):
-            x = Bits(words[lo:hi])
-            weight = c[lo:hi][x.word]
-            for j in range(8):
-                node, bit = x.nodes(j)
-                for o in range(ORDERS):
-                    slot = x.slot(o, node)
-                    for v in (0, 1):
-                        at = bit == v
-                        total[v, o * SLOTS : (o + 1) * SLOTS] += np.bincount(slot[at], weight[at], minlength=SLOTS)
-    part = ORDERS * SLOTS // 32
-    for p in range(32):
-        here = total[:, p * part : (p + 1) * part]
-        at = np.flatnonzero(here.any(axis=0))
-        if len(at):
-            cols = [pa.array([p], pa.int32()), *(pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in ((at, np.int32), (here[0, at], np.float64), (here[1, at], np.float64)))]
-            yield pa.RecordBatch.from_arrays(cols, ["part", "at", "n0", "n1"])
-
-
-def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = ORDERS * SLOTS // 32
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for p, at, n0, n1 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            at = np.frombuffer(at, np.int32)
-            t = sums.setdefault(p, np.zeros((2, part)))
-            t[0, at] += np.frombuffer(n0)
-            t[1, at] += np.frombuffer(n1)
-    for p, t in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([t.astype(np.float32).tobytes()], pa.binary())], ["part", "n"])
-
-
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
+        for r in b.to_pylist():
+            found.setdefault(r["block"], []).append(r)
+    for block in sorted(found):
+        yield block, found.pop(block)
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's distinct events with their training counts."""
+    for block, rows in _by_block(batches):
+        code, n = summed(np.concatenate([unplanes(r["data"], 6) for r in rows]), np.concatenate([unplanes(r["counts"], 6) for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([planes(code, 6)]), pa.array([planes(n, 6)])], ["block", "data", "counts"])
 
-def _odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Log odds of a one; 0 for a context never seen."""
-    return np.log((n1 + 0.2) / (n0 + 0.2)) * ((n0 + n1) > 0)
 
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training counts of three-byte strings."""
+    for b in batches:
+        for data, counts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            code, n = summed(unplanes(data, 6) & np.uint64(0xFFFFFF), unplanes(counts, 6))
+            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
+
+
+class Counts:
+    """Training counts of both values of each bit, in hashed contexts of ``order`` bytes."""
+
+    def __init__(self, order: int, code: np.ndarray, n: np.ndarray):
+        self.order, self.bits = order, []
+        code, n = summed(code & np.uint64((1 << (8 * order + 8)) - 1), n.astype(float))
+        for j in range(8):
+            key, at = np.unique(self.hashed(code, j), return_inverse=True)
+            one = ((code >> np.uint64(7 - j)) & np.uint64(1)) == 1
+            self.bits.append((key, np.stack([np.bincount(at, n * ~one, minlength=len(key)), np.bincount(at, n * one, minlength=len(key))])))
+
+    def hashed(self, code: np.ndarray, j: int) -> np.ndarray:
+        """The context with the bits of the byte before bit j."""
+        code = code & np.uint64((1 << (8 * self.order + 8)) - 1)
+        return mix64((code >> np.uint64(8 - j)) * MIX[43] + MIX[44 + self.order : 45 + self.order] * np.uint64(j + 1))
+
+    def __call__(self, code: np.ndarray, j: int) -> np.ndarray:
+        key, n = self.bits[j]
+        if not len(key):
+            return np.zeros((2, len(code)))
+        want = self.hashed(code, j)
+        at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return n[:, at] * (key[at] == want)
+
+
+class Model:
+    """The counts of one block's events, low orders included."""
+
+    def __init__(self, low: tuple[np.ndarray, np.ndarray], code: np.ndarray, n: np.ndarray):
+        known = n > 0
+        self.counts = [Counts(o, *low) if o < 3 else Counts(o, code[known], n[known]) for o in range(ORDER + 1)]
+
+    def inputs(self, code: np.ndarray, j: int, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bit, predictor inputs and gate of bit j of each event.  ``own``: one occurrence of
+        the event itself is taken out of the counts."""
+        bit = ((code >> np.uint64(7 - j)) & np.uint64(1)).astype(np.int64)
+        ins, gate = np.zeros((len(code), INPUTS)), np.zeros(len(code), np.int64)
+        for o, counts in enumerate(self.counts):
+            n = counts(code, j)
+            if own:
+                n = n.copy()
+                n[bit, np.arange(len(code))] -= 1
+            total = n.sum(axis=0)
+            met = total > 0
+            ins[:, o] = np.log((n[1] + 0.2) / (n[0] + 0.2)) * met
+            gate[met] = (o + 1) * len(SEEN) + np.searchsorted(SEEN, total[met], side="right") - 1
+        ins[:, -1] = 0.3
+        return bit, ins, gate
 
-def bit_inputs(x: Bits, c: np.ndarray, prefix_counts, tables: np.ndarray, own: np.ndarray | None):
-    """For each bit position: bit, predictor inputs and gate of every byte of ``x``.
 
-    ``own`` (1 for each word in training) is taken out of the counts."""
-    for j in range(8):
-        node, bit = x.nodes(j)
-        ins = np.empty((len(bit), INPUTS), np.float32)
-        known = np.zeros(len(bit), np.int64)
-        out = own[x.word] if own is not None else 0.0
-        for o in range(ORDERS + 1):
-            if o < ORDERS:
-                slot = x.slot(o, node) + o * SLOTS
-                n0, n1 = tables[0, slot].astype(float), tables[1, slot].astype(float)
-            else:
-                n0, n1 = prefix_counts(x, j, node)
-            if own is not None:
-                n0, n1 = np.maximum(n0 - out * (bit == 0), 0), np.maximum(n1 - out * (bit == 1), 0)
-            ins[:, o] = _odds(n0, n1)
-            known[(n0 + n1) > 0] = o + 1
-        ins[:, -1] = 0.3
-        yield bit, ins, known * 8 + j
-
-
-class PrefixCounts:
-    """Exact counts of the next bit after each beginning, over one shard's training words."""
-
-    def __init__(self, words: list[bytes], c: np.ndarray):
-        parts: list[list] = [[] for _ in range(8)]
-        for lo, hi in _chunks(words):
-            x = Bits(words[lo:hi])
-            weight = c[lo:hi][x.word]
-            for j in range(8):
-                node, bit = x.nodes(j)
-                parts[j].append((mix64(x.prefix + node * MIX[44]), weight * (bit == 0), weight * (bit == 1)))
-        self.keys, self.counts = [], []
-        for p in parts:
-            key, n0, n1 = (np.concatenate([q[i] for q in p]) if p else np.zeros(0, np.uint64 if i == 0 else float) for i in range(3))
-            keys, at = np.unique(key, return_inverse=True)
-            self.keys.append(keys)
-            self.counts.append((np.bincount(at, n0, minlength=len(keys)), np.bincount(at, n1, minlength=len(keys))))
-            p.clear()
-
-    def __call__(self, x: Bits, j: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, (n0, n1) = self.keys[j], self.counts[j]
-        if not len(keys):
-            z = np.zeros(len(node))
-            return z, z
-        key = mix64(x.prefix + node * MIX[44])
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        hit = keys[at] == key
-        return n0[at] * hit, n1[at] * hit
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 class Mixer:
     """Gated weights and the adaptive probability map."""
 
     def __init__(self):
-        self.w = np.full((GATES, INPUTS), 0.3)
-        self.w[:, -1] = 0
-        self.map = np.tile(squash((np.arange(33) - 16) / 2.0), (GATES, 1))
+        self.w = np.zeros((GATES, INPUTS))
+        for g in range(GATES):
+            # at first the longest known context and the one below it count most
+            top = g // len(SEEN) - 1
+            self.w[g, : max(top + 1, 0)] = 0.15
+            if top >= 0:
+                self.w[g, top] = 0.5
+        self.map = np.tile(squash((np.arange(KNOTS) - KNOTS // 2) / 2.0), (GATES, 1))
 
     def mixed(self, ins: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip((ins * self.w[gate]).sum(axis=1), -14, 14)
 
     def refined(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        at = np.clip(dot, -7.99, 7.99) * 2 + 16
+        at = np.clip(dot, -7.99, 7.99) * 2 + KNOTS // 2
         low = at.astype(np.int64)
         frac = at - low
         mapped = self.map[gate, low] * (1 - frac) + self.map[gate, low + 1] * frac
-        return np.clip((3 * squash(dot) + mapped) / 4, 1e-6, 1 - 1e-6)
-
-    def learn(self, bit: np.ndarray, ins: np.ndarray, gate: np.ndarray, weight: np.ndarray, *, rate: float = 0.02, epochs: int = 4) -> None:
-        rng = np.random.Generator(np.random.PCG64(9))
-        for e in range(epochs):
-            order = rng.permutation(len(bit))
-            for a in range(0, len(order), 128):
-                i = order[a : a + 128]
-                dot = self.mixed(ins[i], gate[i])
-                err = (bit[i] - squash(dot)) * weight[i]
-                np.add.at(self.w, gate[i], rate / (1 + e) * err[:, None] * ins[i])
-                if e == epochs - 1:
-                    at = np.rint(np.clip(dot, -8, 8) * 2 + 16).astype(np.int64)
-                    np.add.at(self.map, (gate[i], at), 0.02 * (bit[i] - self.map[gate[i], at]))
-        self.map = np.clip(self.map, 1e-6, 1 - 1e-6)
-
-
-def _shard(b_iter: Iterator[pa.RecordBatch]) -> tuple[list[bytes], np.ndarray]:
-    words, counts = [], []
-    for b in b_iter:
-        words += b.column(0).to_pylist()
-        counts.append(np.asarray(b.column(1)).astype(float))
-    return words, np.concatenate(counts) if counts else np.zeros(0)
-
-
-def _sample_inputs(tables_bc):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c = _shard(batches)
-        if not words:
-            return
-        prefix = PrefixCounts(words, c)
-        for lo, hi in _chunks(words):
-            seen = c[lo:hi] > 0
-            x = Bits(words[lo:hi])
-            for bit, ins, gate in bit_inputs(x, c, prefix, tables_bc.value, seen.astype(float)):
-                use = seen[x.word]
-                cols = [bit[use].astype(np.uint8), ins[use].astype(np.float16), gate[use].astype(np.uint8), np.sqrt(c[lo:hi])[x.word][use].astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in cols], ["bit", "ins", "gate", "weight"])
+        return np.clip((squash(dot) + mapped) / 2, 1e-6, 1 - 1e-6)
 
-    return run
+    def step(self, bit: np.ndarray, ins: np.ndarray, gate: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        """One online step against the gradient of coding cost, in each gate that is met."""
+        err = (bit - squash(self.mixed(ins, gate))) * weight
+        move, mass = np.zeros_like(self.w), np.bincount(gate, weight, minlength=GATES)
+        np.add.at(move, gate, err[:, None] * ins)
+        self.w += rate * move / (mass + weight.mean())[:, None]
 
 
-def _score_words(tables_bc, mixer: Mixer, code_names=("code", "c", "lp")):
+def _learn(low, state: bytes, rate: float, last: bool, batch: int = 256):
+    """Each block's events to its weights after one online pass from ``state``, times its
+    number of bits in each gate, and (in the last epoch) sums for the probability map."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c = _shard(batches)
-        if not words:
-            return
-        prefix = PrefixCounts(words, c)
-        for lo, hi in _chunks(words):
-            x = Bits(words[lo:hi])
-            cost = np.zeros(len(x.data))
-            for bit, ins, gate in bit_inputs(x, c, prefix, tables_bc.value, None):
-                p = mixer.refined(mixer.mixed(ins, gate), gate)
-                cost += np.log10(np.where(bit == 1, p, 1 - p))
-            lp = np.add.reduceat(cost, x.begin)
-            h = prefix_hash(x.data)
-            code = span_hash(h, x.begin, x.begin + x.size - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(c[lo:hi].astype(np.int64)), pa.array(lp)], list(code_names))
+        for block, rows in _by_block(batches):
+            code, n = unplanes(rows[0]["data"], 6), unplanes(rows[0]["counts"], 6).astype(np.int64)
+            model, mixer = Model(low.value, code, n), Mixer()
+            mixer.w = np.frombuffer(state).reshape(GATES, INPUTS).copy()
+            seen = n > 0
+            code, weight = code[seen], n[seen].astype(float)
+            order = np.argsort(mix64(code + MIX[42]), kind="stable")
+            code, weight = code[order], weight[order]
+            mass, ones, all_ = np.zeros(GATES), np.zeros((GATES, KNOTS)), np.zeros((GATES, KNOTS))
+            for a in range(0, len(code), 1 << 14):
+                part, wt = code[a : a + (1 << 14)], weight[a : a + (1 << 14)]
+                for j in range(8):
+                    bit, ins, gate = model.inputs(part, j, True)
+                    mass += np.bincount(gate, wt, minlength=GATES)
+                    if last:
+                        at = np.rint(np.clip(mixer.mixed(ins, gate), -8, 8) * 2 + KNOTS // 2).astype(np.int64)
+                        np.add.at(ones, (gate, at), wt * bit)
+                        np.add.at(all_, (gate, at), wt)
+                    for i in range(0, len(part), batch):
+                        x = slice(i, i + batch)
+                        mixer.step(bit[x], ins[x], gate[x], wt[x], rate)
+            sums = np.concatenate([(mixer.w * mass[:, None]).ravel(), mass, ones.ravel(), all_.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sums.tobytes()])], ["block", "sums"])
 
     return run
 
 
-REC = np.dtype([("code", np.uint64), ("row", np.uint32), ("count", np.uint32)])
-
-
-def _ask(blocks: int):
-    """(rid, id, held, text) to packed blocks of (word code, row in group, count), and
-    one row with the group's ids and token counts."""
-    names = ["block", "grp", "data", "rids", "tokens"]
-
-    def flush(rids: list[int], codes: list[np.ndarray], tokens: list[int]) -> pa.RecordBatch:
-        code = np.concatenate(codes)
-        row = np.repeat(np.arange(len(rids)), [len(x) for x in codes])
-        order = np.lexsort((row, code))
-        code, row = code[order], row[order]
-        new = np.ones(len(code), bool)
-        new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-        at = np.flatnonzero(new)
-        rec = np.empty(len(at), REC)
-        rec["code"], rec["row"], rec["count"] = code[at], row[at], np.diff(np.append(at, len(code)))
-        block = (rec["code"] % np.uint64(blocks)).astype(np.int64)
-        by = np.argsort(block, kind="stable")
-        rec, block = rec[by], block[by]
-        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        data = [rec[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(block)), strict=True)]
-        m, grp = len(data), rids[0]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*block[cut].tolist(), -1], pa.int64()),
-                pa.array([grp] * (m + 1), pa.int64()),
-                pa.array([*data, b""], pa.binary()),
-                pa.array([None] * m + [rids], pa.list_(pa.int64())),
-                pa.array([None] * m + [tokens], pa.list_(pa.int64())),
-            ],
-            names,
-        )
+def _merge(width: int):
+    """(block, sums) added up by block modulo ``width``, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = span_hash(prefix_hash(np.frombuffer(END, np.uint8)), np.array([0]), np.array([1]))
-        rids, codes, tokens, total = [], [], [], 0
+        found: dict[int, list] = {}
         for b in batches:
-            data, offs = text_bytes(b.column(1))
-            all_rids = b.column(0).to_pylist()
-            for lo, hi in slices(offs):
-                part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                start, stop, row = word_spans(part, at)
-                h = span_hash(prefix_hash(LOWER[part]), start, stop)
-                cut = np.searchsorted(row, np.arange(hi - lo + 1))
-                for i in range(hi - lo):
-                    rids.append(all_rids[lo + i])
-                    codes.append(np.append(h[cut[i] : cut[i + 1]], end))
-                    tokens.append(len(codes[-1]))
-                    total += tokens[-1]
-                if total >= 1 << 20:
-                    yield flush(rids, codes, tokens)
-                    rids, codes, tokens, total = [], [], [], 0
-        if rids:
-            yield flush(rids, codes, tokens)
+            for block, sums in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found.setdefault(block % width, []).append((block, sums))
+        for part in sorted(found):
+            rows = sorted(found.pop(part))
+            total = np.zeros(len(rows[0][1]) // 8)
+            for _, sums in rows:
+                total += np.frombuffer(sums)
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([total.tobytes()])], ["block", "sums"])
 
     return run
 
 
-def _answer(n_train: int, n_words: int):
-    """A shard's words (no data) and questions to (grp, rows, known, base, score)."""
-    names = ["grp", "rows", "sums", "rids", "tokens"]
+def trained(blocks: int, learn_pass: Callable, rates=(0.05, 0.02)) -> Mixer:
+    """The mixer after an epoch for each rate.  learn_pass(state, rate, last): a frame of sums."""
+    mixer = Mixer()
+    for i, rate in enumerate(rates):
+        last = i == len(rates) - 1
+        width = max(1, isqrt(blocks))
+        merged = learn_pass(mixer.w.tobytes(), rate, last).select(F.pmod("block", F.lit(width)).alias("part"), "block", "sums")
+        rows = merged.repartition(width, "part").select("block", "sums").mapInArrow(_merge(width), "block long, sums binary").collect()
+        if not rows:
+            return mixer
+        total = sum(np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"]))
+        n = GATES * INPUTS
+        w, mass = total[:n].reshape(GATES, INPUTS), total[n : n + GATES]
+        met = mass > 0
+        mixer.w[met] = w[met] / mass[met][:, None]
+        if last:
+            ones, all_ = total[n + GATES :].reshape(2, GATES, KNOTS)
+            mixer.map = (ones + 4 * mixer.map) / (all_ + 4)
+    return mixer
+
+
+def log_probabilities(model: Model, mixer: Mixer, code: np.ndarray) -> np.ndarray:
+    """log10 of each event's probability, given its context."""
+    out = np.zeros(len(code))
+    for j in range(8):
+        bit, ins, gate = model.inputs(code, j, False)
+        p = mixer.refined(mixer.mixed(ins, gate), gate)
+        out += np.log10(np.where(bit == 1, p, 1 - p))
+    return out
+
 
+def _score_events(low, mixer: Mixer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, c, lp, asked = [], [], [], []
-        for b in batches:
-            for kind, grp, data, count, cost in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4, 5)), strict=True):
-                if kind == 0:
-                    codes.append(np.frombuffer(data, np.uint64))
-                    c.append(np.frombuffer(count, np.int64))
-                    lp.append(np.frombuffer(cost))
-                else:
-                    asked.append((grp, data))
-        if not asked:
-            return
-        code, c, lp = np.concatenate(codes), np.concatenate(c), np.concatenate(lp)
-        order = np.argsort(code)
-        code, c, lp = code[order], c[order], lp[order]
-        base = np.log10((c + 0.1) / (n_train + 0.1 * (n_words + 1)))
-        for grp, data in asked:
-            rec = np.frombuffer(data, REC)
-            at = np.searchsorted(code, rec["code"])
-            n = rec["count"].astype(float)
-            rows, row = np.unique(rec["row"], return_inverse=True)
-            sums = np.stack([np.bincount(row, n * v, minlength=len(rows)) for v in (c[at] > 0, base[at], lp[at])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([grp]), pa.array([rows.astype(np.uint32).tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int64()))],
-                names,
-            )
+        for block, rows in _by_block(batches):
+            code, n = unplanes(rows[0]["data"], 6), unplanes(rows[0]["counts"], 6).astype(np.int64)
+            model = Model(low.value, code, n)
+            lp = np.concatenate([np.zeros(0), *(log_probabilities(model, mixer, code[a : a + (1 << 15)]) for a in range(0, len(code), 1 << 15))])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([planes(code, 6)]), pa.array([lp.astype(np.float32).tobytes()])], ["block", "data", "lp"])
 
     return run
 
 
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every shard's sums of a group to one row a text."""
-    parts: dict[int, list] = {}
-    heads: dict[int, tuple] = {}
-    for b in batches:
-        for i, grp in enumerate(b.column(0).to_pylist()):
-            if b.column(3)[i].is_valid:
-                heads[grp] = (b.column(3)[i].values, b.column(4)[i].values)
-            else:
-                parts.setdefault(grp, []).append((b.column(1)[i].as_py(), b.column(2)[i].as_py()))
-    for grp, (rids, tokens) in heads.items():
-        total = np.zeros((3, len(rids)))
-        for rows, sums in sorted(parts.pop(grp, [])):
-            rows = np.frombuffer(rows, np.uint32)
-            total[:, rows] += np.frombuffer(sums).reshape(3, -1)
-        yield pa.RecordBatch.from_arrays(
-            [rids, tokens, pa.array(np.rint(total[0]).astype(np.int64)), pa.array(total[1]), pa.array(total[2])], ["rid", "n_tokens", "n_known", "base_score", "score"]
-        )
-
-
-def _pack_words(blocks: int):
-    """(code, c, lp) to packed rows of each block."""
+ANSWER = "kind int, grp long, data binary, value binary, rids binary, sizes binary, n long, v long"
+ANSWERS = ["kind", "grp", "data", "value", "rids", "sizes", "n", "v"]
+
+
+def _answer(kind: int, grp: int | None, data: bytes | None, value: bytes | None, n: int | None = None, v: int | None = None) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((kind, grp, data, value, None, None, n, v), types, strict=True)], ANSWERS)
+
+
+def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each group's words with their training counts; a row without a group has the block's
+    number of training tokens and of distinct ones."""
+    for _, rows in _by_block(batches):
+        codes = [unplanes(r["data"], 8) for r in rows]
+        code, n = summed(np.concatenate(codes), np.concatenate([unplanes(r["counts"], 6) for r in rows]))
+        yield _answer(WORDS, None, None, None, int(n.sum()), int((n > 0).sum()))
+        for r, own in zip(rows, codes, strict=True):
+            yield _answer(WORDS, r["grp"], r["data"], planes(n[np.searchsorted(code, own)], 6))
+
+
+def _answer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, rows in _by_block(batches):
+        table = next(r for r in rows if r["lp"] is not None)
+        code, lp = unplanes(table["data"], 6), np.frombuffer(table["lp"], np.float32)
+        for r in rows:
+            if r["lp"] is None:
+                yield _answer(GRAMS, r["grp"], r["data"], lp[np.searchsorted(code, unplanes(r["data"], 6))].tobytes())
+
+
+def _total(n_train: int, n_words: int):
+    """Groups' coded texts and answers to one row a text."""
+    base = log10(n_train + 0.1 * (n_words + 1))
+
+    def table(rows: list[dict], width: int, read) -> tuple[np.ndarray, np.ndarray]:
+        code = np.concatenate([unplanes(r["data"], width) for r in rows])
+        value = np.concatenate([read(r["value"]) for r in rows])
+        order = np.argsort(code)
+        return code[order], value[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[dict]] = {}
         for b in batches:
-            code = np.asarray(b.column(0)).view(np.uint64)
-            block = (code % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cut = np.flatnonzero(np.append(True, block[order][1:] != block[order][:-1])) if len(order) else []
-            ends = [*cut[1:], len(order)] if len(order) else []
-            own = [order[a:z] for a, z in zip(cut, ends, strict=True)]
-            cols = [np.asarray(b.column(i)) for i in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(block[o[0]]) for o in own], pa.int64()),
-                    *(pa.array([v[o].tobytes() for o in own], pa.binary()) for v in (code, cols[1].astype(np.int64), cols[2].astype(float))),
-                ],
-                ["block", "data", "count", "cost"],
-            )
+            for r in b.to_pylist():
+                found.setdefault(r["grp"], []).append(r)
+        for grp in list(found):
+            rows = found.pop(grp)
+            head = next(r for r in rows if r["kind"] == TEXT)
+            text, size = np.frombuffer(head["data"], np.uint8), np.frombuffer(head["sizes"], np.int64)
+            gram, lp = table([r for r in rows if r["kind"] == GRAMS], 6, lambda x: np.frombuffer(x, np.float32).astype(float))
+            word, count = table([r for r in rows if r["kind"] == WORDS], 8, lambda x: unplanes(x, 6).astype(np.int64))
+            logs = np.log10(count + 0.1)
+            offs = np.concatenate([[0], np.cumsum(size)])
+            parts = []
+            for lo, hi in slices(offs, STEP):
+                own, to = text[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+                score = np.add.reduceat(lp[np.searchsorted(gram, events(own, to))], to[:-1])
+                token, row = tokens(own, to)
+                at = np.searchsorted(word, token)
+                m = np.bincount(row, minlength=hi - lo)
+                known = np.bincount(row, count[at] > 0, minlength=hi - lo)
+                parts.append((m, known, np.bincount(row, logs[at], minlength=hi - lo) - m * base, score))
+            m, known, plain, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            cols = [np.frombuffer(head["rids"], np.int64), m.astype(np.int64), known.astype(np.int64), plain, score, -score * log2(10) / size]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], ["rid", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     return run
 
 
-def mixing_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mixer_words: int = 6000) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def mixing_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row."""
     spark = docs.sparkSession
-    scratch, final = Scratch(spark), Scratch(spark)
-    fold = F.crc32(F.col(id_col).cast("string")) % 10
-    train = F.coalesce(fold != 0, F.lit(False))
-    size = block_count(docs.select(text_col))
-    words = docs.select(train.alias("train"), text_col).mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    head = F.substring("word", F.lit(1), F.when(F.length("word") <= SHORT, FEW).otherwise(MANY).cast("int"))
-    words = scratch.table(words.withColumn("grp", F.xxhash64(head)))
-    sums = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count("*").alias("all")).first()
-    n_train, n_words, n_all = int(sums["n"] or 0), int(sums["v"] or 0), int(sums["all"] or 0)
-
-    known = words.where("c > 0").select("word", "c")
-    parts = known.coalesce(max(1, n_words // 400_000)).mapInArrow(_tables, "part int, at binary, n0 binary, n1 binary").repartition(32, "part").mapInArrow(_add_tables, "part int, n binary")
-    tables = np.zeros((2, ORDERS * SLOTS), np.float32)
-    width = ORDERS * SLOTS // 32
-    for r in parts.toLocalIterator():
-        tables[:, r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["n"], np.float32).reshape(2, width)
-    tables_bc = spark.sparkContext.broadcast(tables)
-
-    mixer = Mixer()
-    some = words.where(F.pmod(F.col("grp"), F.lit(max(1, n_all // mixer_words))) == 0).select("word", "c", "grp")
-    got = some.repartition(4, "grp").select("word", "c").mapInArrow(_sample_inputs(tables_bc), "bit binary, ins binary, gate binary, weight binary").collect()
-    if got:
-        bit = np.concatenate([np.frombuffer(r["bit"], np.uint8) for r in got]).astype(float)
-        ins = np.concatenate([np.frombuffer(r["ins"], np.float16) for r in got]).astype(np.float32).reshape(-1, INPUTS)
-        gate = np.concatenate([np.frombuffer(r["gate"], np.uint8) for r in got]).astype(np.int64)
-        weight = np.concatenate([np.frombuffer(r["weight"], np.float32) for r in got]).astype(float)
-        order = np.lexsort((weight, *ins.T, gate, bit))  # the collected order is not fixed
-        mixer.learn(bit[order], ins[order], gate[order], np.minimum(weight[order], 8))
-
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), n_all // 100_000)
-    scored = scratch.table(words.repartition(shards, "grp").select("word", "c").mapInArrow(_score_words(tables_bc, mixer), "code long, c long, lp double"))
-    packed = scored.mapInArrow(_pack_words(size), "block long, data binary, count binary, cost binary")
-    src = with_row_id(docs.select(id_col, text_col))
-    asked = scratch.table(src.select("__rid", text_col).mapInArrow(_ask(size), "block long, grp long, data binary, rids array<long>, tokens array<long>"))
-    none = F.lit(None).cast("binary")
-    both = packed.select("block", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("grp"), "data", "count", "cost").unionByName(
-        asked.where("block >= 0").select("block", F.lit(1).alias("kind"), "grp", "data", none.alias("count"), none.alias("cost"))
-    )
-    kind = "grp long, rows binary, sums binary, rids array<long>, tokens array<long>"
-    answers = both.repartition(size, "block").mapInArrow(_answer(n_train, n_words), kind)
-    heads = asked.where("block < 0").select("grp", none.alias("rows"), none.alias("sums"), "rids", "tokens")
-    done = answers.unionByName(heads).repartition(size, "grp").mapInArrow(_total, "rid long, n_tokens long, n_known long, base_score double, score double")
-    done = final.table(done)
-    scratch.drop()
+    final = Scratch(spark)
+    fold = F.crc32(F.col("id").cast("string")) % 10
+    rows = with_row_id(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), final, "rid")
+    bytes_in = input_bytes(rows)
+    blocks = max(8, -(-bytes_in // block_bytes))
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_in // GROUP))
+    with Scratch(spark) as scratch:
+        train = F.coalesce(fold != 0, F.lit(False))
+        asked = scratch.table(rows.select("rid", train.alias("train"), "t").mapInArrow(_groups(blocks), ASK))
+        grams = asked.where(F.col("kind") == GRAMS)
+        seen = scratch.table(grams.select("block", "data", "counts").repartition(wide, "block").mapInArrow(_events, "block long, data binary, counts binary"))
+        low = seen.mapInArrow(_triples, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+        low = spark.sparkContext.broadcast((np.asarray(low["code"]).astype(np.uint64), np.asarray(low["n"]).astype(np.int64)))
+        sums = "block long, sums binary"
+        mixer = trained(blocks, lambda state, rate, last: seen.mapInArrow(_learn(low, state, rate, last), sums))
+        scored = seen.mapInArrow(_score_events(low, mixer), "block long, data binary, lp binary")
+        questions = grams.select("block", "grp", "data", F.lit(None).cast("binary").alias("lp"))
+        both = questions.unionByName(scored.select("block", F.lit(None).cast("long").alias("grp"), "data", "lp"))
+        words = asked.where(F.col("kind") == WORDS).select("block", "grp", "data", "counts").repartition(wide, "block").mapInArrow(_answer_words, ANSWER)
+        words = scratch.table(words)
+        n_train, n_words = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v")).first())
+        answers = both.repartition(wide, "block").mapInArrow(_answer_grams, ANSWER).unionByName(words.where("grp is not null")).drop("n", "v")
+        texts = asked.where(F.col("kind") == TEXT).select("kind", "grp", "data", F.lit(None).cast("binary").alias("value"), "rids", "sizes")
+        got = "rid long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
+        done = final.table(texts.unionByName(answers).repartition(wide, "grp").mapInArrow(_total(n_train, n_words), got))
+        low.unpersist()
     held = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
-    rows = src.select("__rid", id_col, held)
-    return rows.join(done, rows["__rid"] == done["rid"]).select(id_col, "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    out = rows.select("rid", "id", held).join(done, "rid")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
