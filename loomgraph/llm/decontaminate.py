@@ -5,13 +5,16 @@ letters, digits and non-ASCII characters).  Every window of ``window``
 consecutive item words goes into one automaton, which reads each normalised
 document once; hits are mapped back to code-point offsets of the original text.
 
-The automaton's input is bounded: the distinct windows are dealt by hash into
-blocks of at most about ``block_bytes``; each block is one broadcast and one
-narrow pass, and a further block's pass reads the stored result of the last.
+The automaton's input is bounded: the distinct windows with their item ids are dealt
+by hash into blocks of at most about ``block_bytes``; each block is one broadcast and
+one narrow pass, and a further block's pass reads the stored result of the last.  The
+ids of a window that very many items have are dealt in parts of ``PART`` ids.
 
 Edge cases: null or empty text, or text without words: n_words 0 and clean.
 Null or word-less items match nothing.  Items shorter than a window are one
-window.  Repeated items all count.  Extra columns pass through untouched.
+window.  Repeated items all count.  An item without an id hits words but is in no list
+and no number of items.  Extra columns pass through untouched; ``__words``, ``__hits``,
+``__items`` and ``__spans`` are reserved names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 IS_WORD = np.array([c != 32 for c in TABLE])
+#: Ids of a window that go into one block.
+PART = 10_000
 COLUMNS = ("n_words", "n_hit", "n_items", "item_ids", "spans", "contaminated")
 
 
@@ -47,12 +52,18 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(wins, pa.string())], ["item", "window"])
 
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, window string")
-    return rows.where("item is not null").groupBy("window").agg(F.collect_set("item").alias("items"))
+    rows = rows.distinct()
+    # (window, part): a window's ids are never one unbounded list
+    parts = rows.groupBy("window").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64(F.coalesce("item", F.lit(""))), F.col("parts")).alias("part")
+    return rows.join(parts, "window").groupBy("window", part).agg(F.collect_list("item").alias("items"))
 
 
 def _automaton(rows: list[tuple[str, list[str]]]):
-    auto = ahocorasick.Automaton()
+    auto, known = ahocorasick.Automaton(), {}
     for win, items in rows:
+        known.setdefault(win, []).extend(items)
+    for win, items in known.items():
         auto.add_word(f" {win} ", (win.count(" ") + 1, items))
     auto.make_automaton()
     return auto
@@ -135,7 +146,7 @@ def decontaminate(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 4 << 20,
     spans: bool = True,
 ) -> DataFrame:
     """``docs`` plus n_words, n_hit (words inside an occurring window), n_items,
@@ -144,18 +155,19 @@ def decontaminate(
     spark = docs.sparkSession
     shared_dir(spark)
     wins = item_windows(benchmark, window, item_col, item_text_col)
-    size = wins.agg(F.sum(F.length("window")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
     scratch = Scratch(spark)
-    if blocks > 1:
-        wins = scratch.table(wins.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks))))
+    wins = scratch.table(wins)
+    weight = F.length("window") + F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 8)
+    size = wins.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    wins = wins.withColumn("block", F.pmod(F.xxhash64("window", "part"), F.lit(blocks)))
     keep = [c for c in docs.columns if c not in COLUMNS]
     out = docs.select(*keep)
     base = out.schema
     schema = f"{base.simpleString()[7:-1]},__words:bigint,__hits:array<struct<a:bigint,b:bigint>>,__items:array<string>"
     struct = spark.createDataFrame([], f"struct<{schema}>").schema
     for k in range(blocks):
-        part = wins.where(F.col("block") == k) if blocks > 1 else wins
+        part = wins.where(F.col("block") == k)
         rows = spark.sparkContext.broadcast([(r["window"], r["items"]) for r in part.toLocalIterator()])
         out = out.mapInArrow(_pass(rows, k > 0, text_col), struct)
         if k + 1 < blocks:

@@ -4,13 +4,18 @@ The language family is predicted first, then one-versus-one linear support
 vector machines separate the languages within it.  Inputs are hashed byte
 trigrams and words of the whole text, nothing else.
 
-Training takes at most about ``max_train`` rows, dealt evenly over the labels
-and drawn by a hash of the id; their sparse counts (not texts) go to the driver.
-Languages of the fixed table share a family; any other label is its own family.
+Training takes at most about ``max_train`` rows (one a label at least), dealt evenly
+over the labels and drawn by a hash of the id; their sparse counts (not texts) go to
+the driver.  Languages of the fixed table share a family; other labels join the family
+of their kind, up to ``KIN`` labels whose mean counts are nearest.  A family has one
+machine against all others, so the number of machines grows with the labels and not
+with their square.
 
 Edge cases: null text and text without a letter: ``und`` with score 0.  With no
 labelled row nothing can be learned, and every row is ``und``.  With one label
-every text with a letter gets it.  Null labels are never learned from.
+every text with a letter gets it.  Null labels are never learned from.  Columns but the
+id are not carried; the id column may have any name but those of the results.  Repeated
+rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -44,8 +49,22 @@ LETTER[128:] = np.arange(128, 256)
 NOT_LETTER = LETTER == 32
 
 
-def family_of(lang: str) -> str:
-    return next((f for f, ls in FAMILIES.items() if lang in ls), lang)
+#: Most labels of a family beside those of the table.
+KIN = 12
+#: Rows that are counted at once: each takes DIM numbers.
+ROWS = 1024
+
+
+def families(means: dict[str, np.ndarray]) -> dict[str, list[str]]:
+    """Family to languages: by the table, others with those of the nearest mean counts."""
+    tree = {f: [a for a in ls if a in means] for f, ls in FAMILIES.items()}
+    tree = {f: sorted(ls) for f, ls in tree.items() if ls}
+    rest = sorted(set(means) - {a for ls in tree.values() for a in ls})
+    while rest:
+        near = sorted(rest, key=lambda a: (float(((means[a] - means[rest[0]]) ** 2).sum()), a))[:KIN]
+        tree[f"kin of {rest[0]}"] = sorted(near)
+        rest = [a for a in rest if a not in near]
+    return dict(sorted(tree.items()))
 
 
 def count_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -104,43 +123,51 @@ class Model:
     """Family machines and, for each family, machines between its languages."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
-        self.labels = sorted(set(langs))
-        self.tree = {f: [a for a in self.labels if family_of(a) == f] for f in sorted({family_of(a) for a in self.labels})}
         lang = np.array(langs, object)
-        fam = np.array([family_of(a) for a in langs], object)
-        self.pairs = [("family", a, b) for a, b in combinations(sorted(self.tree), 2)]
-        self.pairs += [("lang", a, b) for ls in self.tree.values() for a, b in combinations(ls, 2)]
-        w = []
-        for kind, a, b in self.pairs:
-            of = fam if kind == "family" else lang
-            use = (of == a) | (of == b)
-            w.append(linear_svm(x[use], np.where(of[use] == a, 1.0, -1.0)))
-        self.w = np.array(w, np.float32).T if w else np.zeros((DIM + 1, 0), np.float32)
-
-    def _vote(self, kind: str, names: list[str], margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.tree = families({a: x[lang == a].mean(axis=0) for a in sorted(set(langs))})
+        fam = np.array([{a: f for f, ls in self.tree.items() for a in ls}[a] for a in langs], object)
+        # two families need one machine
+        tops = list(self.tree)[: 1 if len(self.tree) == 2 else None] if len(self.tree) > 1 else []
+        self.top = self._stack([linear_svm(x, np.where(fam == f, 1.0, -1.0)) for f in tops])
+        self.pairs = {f: list(combinations(range(len(ls)), 2)) for f, ls in self.tree.items()}
+        self.low = {}
+        for f, ls in self.tree.items():
+            use = [(lang == ls[a]) | (lang == ls[b]) for a, b in self.pairs[f]]
+            self.low[f] = self._stack([linear_svm(x[u], np.where(lang[u] == ls[a], 1.0, -1.0)) for (a, _), u in zip(self.pairs[f], use, strict=True)])
+
+    @staticmethod
+    def _stack(w: list[np.ndarray]) -> np.ndarray:
+        return np.array(w, np.float32).T if w else np.zeros((DIM + 1, 0), np.float32)
+
+    def _vote(self, family: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Most wins, then the largest sum of margins; score: how sure the closest win is."""
-        n = len(margin)
-        wins, total, least = np.zeros((n, len(names))), np.zeros((n, len(names))), np.full((n, len(names)), 50.0)
-        at = {a: i for i, a in enumerate(names)}
-        for j, (k, a, b) in enumerate(self.pairs):
-            if k == kind and a in at and b in at:
-                for c, m in ((at[a], margin[:, j]), (at[b], -margin[:, j])):
-                    wins[:, c] += m > 0
-                    total[:, c] += m
-                    least[:, c] = np.minimum(least[:, c], m)
+        w, n, names = self.low[family], len(x), len(self.tree[family])
+        margin = x @ w[:-1] + w[-1]
+        wins, total, least = np.zeros((n, names)), np.zeros((n, names)), np.full((n, names), 50.0)
+        for j, (a, b) in enumerate(self.pairs[family]):
+            for c, m in ((a, margin[:, j]), (b, -margin[:, j])):
+                wins[:, c] += m > 0
+                total[:, c] += m
+                least[:, c] = np.minimum(least[:, c], m)
         best = np.argmax(wins + 1e-3 * np.tanh(total / 10), axis=1)
         return best, 1 / (1 + np.exp(-4 * least[np.arange(n), best]))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        margin = x @ self.w[:-1] + self.w[-1]
-        fams = sorted(self.tree)
-        best, score = self._vote("family", fams, margin)
+        margin = x @ self.top[:-1] + self.top[-1]
+        if margin.shape[1] == 0:
+            best, score = np.zeros(len(x), np.int64), np.ones(len(x))
+        elif margin.shape[1] == 1:
+            best, score = (margin[:, 0] <= 0).astype(np.int64), 1 / (1 + np.exp(-4 * np.abs(margin[:, 0])))
+        else:
+            best = np.argmax(margin, axis=1)
+            two = np.sort(margin, axis=1)[:, -2:]
+            score = 1 / (1 + np.exp(-4 * (two[:, 1] - two[:, 0])))
         lang = np.empty(len(x), object)
-        for f, name in enumerate(fams):
+        for f, (name, ls) in enumerate(self.tree.items()):
             at = np.flatnonzero(best == f)
             if len(at):
-                own, sure = self._vote("lang", self.tree[name], margin[at])
-                lang[at] = np.array(self.tree[name], object)[own]
+                own, sure = self._vote(name, x[at])
+                lang[at] = np.array(ls, object)[own]
                 score[at] *= sure
         return lang, score
 
@@ -148,7 +175,7 @@ class Model:
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offs = text_bytes(b.column(1))
-        for lo, hi in slices(offs):
+        for lo, hi in slices(offs, rows=ROWS):
             x = count_features(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             at = [np.flatnonzero(r).astype(np.int32) for r in x]
             yield pa.RecordBatch.from_arrays(
@@ -157,17 +184,15 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_train: int, max_langs: int) -> Model | None:
+def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_train: int) -> Model | None:
     rows = docs.where(train_rows(F.col(id_col)) & F.col(lang_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()
     if not counts:
         return None
     share = max(1, max_train // len(counts))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("language id")), F.lit(1_000_000))
-    cond = F.lit(False)
-    for r in counts:
-        cond = cond | ((F.col(lang_col) == r["lang"]) & (part < int(min(1.0, share / r["count"]) * 1_000_000)))
-    got = rows.where(cond).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(_sparse, "lang string, at array<int>, v array<float>").collect()
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, int(min(1.0, share / r["count"]) * 1_000_000)))])
+    got = rows.where(part < F.element_at(shares, F.col(lang_col))).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(_sparse, "lang string, at array<int>, v array<float>").collect()
     got = sorted({(r["lang"], tuple(r["at"]), tuple(r["v"])) for r in got if r["at"]})
     if not got:
         return None
@@ -178,16 +203,18 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_tra
 
 
 def language_id(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 3000, max_langs: int = 200
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = 3000
 ) -> DataFrame:
     """id, held_out, lang_pred, score for every row of ``docs``."""
-    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, max_train=max_train, max_langs=max_langs)
+    model = train(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, max_train=max_train)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for b in batches:
             data, offs = text_bytes(b.column(b.num_columns - 1))
             text = b.column(b.num_columns - 1)
-            for lo, hi in slices(offs):
+            for lo, hi in slices(offs, rows=ROWS):
                 part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                 ascii_letter = np.add.reduceat(np.append(((part | 32) >= 97) & ((part | 32) <= 122), False), at[:-1]) > 0
                 ascii_letter &= np.diff(at) > 0

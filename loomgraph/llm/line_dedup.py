@@ -1,22 +1,24 @@
 """Fuzzy line dedup by MinHash: one line of each component of near-equal lines stays.
 
-Lines (split at ``\\n``) are compared trimmed and with A-Z lower-cased, as sets
+Lines (split at ``\n``) are compared trimmed and with A-Z lower-cased, as sets
 of ``gram``-byte shingles.  Equal lines form a class first (128-bit digest).
-Each class has ``bands`` x ``rows`` MinHash values; classes that share a band
-are candidates, verified by exact Jaccard on their shingle sets, and linked by a
-distributed union-find.  With 8 bands of 3 rows a pair at similarity 0.8 is a
-candidate with probability 0.997, one at 0.9 with more than 0.99999.  Band keys
-are never stored: they are shipped packed to the block of their key, where only
-keys of two classes or more are kept.  Candidates whose set sizes or sketches rule
+Each class has ``HASHES`` MinHash values, and ``BANDS`` sets of ``ROWS`` of them are its
+bands; classes that share a band are candidates, verified by exact Jaccard on their
+shingle sets, and linked by a distributed union-find.  A pair at similarity 0.8 is a
+candidate with probability 0.995, one at 0.9 with more than 0.9999; strangers at 0.05
+with 6 in a million, so few meet in a large corpus.  Band keys are never stored: they
+are shipped packed to the block of their key, where only keys of two classes or more are
+kept; of a key that a mapper meets in several lines the block gets one record.  Candidates whose set sizes or sketches rule
 the threshold out are dropped before their texts are shipped; that loses none.
 
 The first line of a component, by (id, row, line number), stays; the others
-are removed.  Blank lines and lines of fewer than ``min_chars`` bytes (trimmed)
-are never touched.
+are removed.  Lines of fewer than ``gram`` bytes (trimmed) have no shingles and are
+duplicates only where they are equal.  Blank lines are never touched.
 
-Edge cases: null text stays null, with no lines; a text may become empty.  Null
-ids come last in the order of rows.  Repeated rows are duplicates of the first.
-Columns named like a result are replaced.
+Edge cases: null text stays null, with no lines; a text may become empty.  Ids may
+be of any ordered type; null ids come last in the order of rows.  Repeated rows are
+duplicates of the first.  Columns named like a result (n_lines, n_removed) are
+replaced; ``__rid`` and ``__lines`` are reserved names.
 """
 
 from __future__ import annotations
@@ -28,10 +30,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE2, LOWER, SPACE, Scratch, block_count, checkpoint, mix64, prefix_hash, slices, span_hash, text_bytes, with_row_id
+from .common import LOWER, SPACE, Scratch, block_count, digests, mix64, slices, text_bytes, with_row_id
 from .linking import link_components
 
-_seeds = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 32, (2, 256), dtype=np.uint32)
+HASHES, BANDS, ROWS = 48, 18, 5
+_rng = np.random.Generator(np.random.PCG64(77))
+_seeds = _rng.integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
+
+
+def _picks() -> np.ndarray:
+    """(BANDS, ROWS): each band's MinHash values; all are used before one is used again."""
+    deck: list[int] = []
+    while len(deck) < BANDS * ROWS:
+        new = _rng.permutation(HASHES).tolist()
+        # the band that runs over the end of the deck takes none twice
+        part = deck[len(deck) - len(deck) % ROWS :]
+        deck += [x for x in new if x not in part] + [x for x in new if x in part]
+    return np.array(deck[: BANDS * ROWS]).reshape(BANDS, ROWS)
+
+
+PICKS = _picks()
 
 
 def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,29 +83,34 @@ def gram_codes(low: np.ndarray, gram: int) -> np.ndarray:
     return x
 
 
-def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int, bands: int, rows: int) -> np.ndarray:
-    """(lines, bands) 64-bit band keys; lines must be of ``gram`` bytes or more."""
+def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
+    """(lines, BANDS) 64-bit band keys; lines must be of ``gram`` bytes or more."""
     codes = gram_codes(low, gram)
     cuts = np.empty(2 * len(start), np.int64)
     cuts[::2], cuts[1::2] = start, end - gram + 1
     trim = len(cuts) - (cuts[-1] >= len(codes))
-    out = np.empty((len(start), bands), np.uint64)
-    for b in range(bands):
+    least = np.empty((HASHES, len(start)), np.uint64)
+    for p in range(HASHES):
+        least[p] = np.minimum.reduceat((codes ^ _seeds[0, p]) * (_seeds[1, p] | np.uint32(1)), cuts[:trim])[::2]
+    out = np.empty((len(start), BANDS), np.uint64)
+    for b, picks in enumerate(PICKS):
         key = np.full(len(start), b + 1, np.uint64)
-        for r in range(rows):
-            p = b * rows + r
-            low_hash = np.minimum.reduceat((codes ^ _seeds[0, p]) * (_seeds[1, p] | np.uint32(1)), cuts[:trim])[::2]
-            key = mix64(key * np.uint64(31) + low_hash.astype(np.uint64))
+        for p in picks:
+            key = mix64(key * np.uint64(31) + least[p])
         out[:, b] = key
     return out
 
 
+#: Bytes of a vectorised step: its arrays stay in a core's cache.
+SLICE = 1 << 18
+
+
 def _spans(batches: Iterator[pa.RecordBatch], least: int, text_at: int):
     """Slices of batches: batch, lower-cased bytes, and start, end, row in batch and
     number of their lines of ``least`` bytes or more."""
     for b in batches:
         all_data, all_offs = text_bytes(b.column(text_at))
-        for lo, hi in slices(all_offs):
+        for lo, hi in slices(all_offs, SLICE):
             data, offs = all_data[all_offs[lo] : all_offs[hi]], all_offs[lo : hi + 1] - all_offs[lo]
             start, end, row, line = line_spans(data, offs)
             keep = end - start >= least
@@ -95,78 +118,104 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int, text_at: int):
                 yield b, LOWER[data], start[keep], end[keep], row[keep] + lo, line[keep]
 
 
-def _lines(least: int):
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rid, id, text) to (rid, id, line, h1, h2)."""
-    names = ["rid", "id", "line", "h1", "h2"]
+    for b, low, start, end, row, line in _spans(batches, 1, 2):
+        h, at = digests(low, start, end), pa.array(row)
+        cols = [b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in h.T)]
+        yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "line", "h1", "h2"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, low, start, end, row, line in _spans(batches, least, 2):
-            h1 = span_hash(prefix_hash(low), start, end).view(np.int64)
-            h2 = span_hash(prefix_hash(low, BYTE_CODE2), start, end).view(np.int64)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(line.astype(np.int32)), pa.array(h1), pa.array(h2)], names)
 
-    return run
+#: A packed band: the key's upper half (its block tells the rest) and 48 bits of the line's
+#: digest; a stranger of the same 48 bits is one candidate more, which the check rules out.
+REC = np.dtype([("key", np.uint32), ("low", np.uint32), ("high", np.uint16)])
+#: What a packed row holds: band keys of one line, keys that stand for several, pairs for all.
+ONE, STANDS, SEVERAL = 0, 1, 2
 
 
-REC = np.dtype([("key", np.uint64), ("h1", np.int64)])
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cut = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
+    return cut, np.append(cut[1:], len(x))[: len(cut)].astype(int)
 
 
-def _bands(least: int, gram: int, bands: int, rows: int, blocks: int, most: int = 1 << 20):
+def _packed(key: np.ndarray, h: np.ndarray) -> bytes:
+    rec = np.empty(len(key), REC)
+    rec["key"], rec["low"], rec["high"] = key >> np.uint64(32), h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    return rec.tobytes()
+
+
+def _bands(gram: int, blocks: int, most: int = 1 << 20):
     """(text) to packed band keys with the line's digest, by block of the key; a digest
     that the task remembers is not sent again."""
 
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        rec = np.concatenate(parts)
-        block = (rec["key"] % np.uint64(blocks)).astype(np.int64)
-        by = np.argsort(block, kind="stable")
-        rec, block = rec[by], block[by]
-        cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        data = [rec[a:z].tobytes() for a, z in zip(cut, np.append(cut[1:], len(block)), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(block[cut]), pa.array(data, pa.binary())], ["block", "data"])
+    def flush(keys: list[np.ndarray], lines: list[np.ndarray]) -> pa.RecordBatch:
+        key, h = np.concatenate(keys), np.concatenate(lines)
+        order = np.lexsort((h, key))
+        key, h = key[order], h[order]
+        block = (key % np.uint64(blocks)).astype(np.int64)
+        begin, end = _runs(key)
+        many = np.repeat(end - begin > 1, end - begin)
+        out: list[tuple[int, bytes, int]] = []
+        for kind, at in ((ONE, np.flatnonzero(~many)), (STANDS, begin[end - begin > 1]), (SEVERAL, np.flatnonzero(many))):
+            at = at[np.argsort(block[at], kind="stable")]
+            out += [(int(block[at[a]]), _packed(key[at[a:z]], h[at[a:z]]), kind) for a, z in zip(*_runs(block[at]), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["block", "data", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, parts, total = np.zeros(0, np.int64), [], 0
-        for _, low, start, end, _, _ in _spans(batches, least, 0):
-            h1, one = np.unique(span_hash(prefix_hash(low), start, end).view(np.int64), return_index=True)
-            new = ~np.isin(h1, seen, assume_unique=True)
-            h1, one = h1[new], one[new]
+        seen, keys, lines, total = np.zeros(0, np.uint64), [], [], 0
+        for _, low, start, end, _, _ in _spans(batches, gram, 0):
+            h, one = np.unique(digests(low, start, end)[:, 0].view(np.uint64) >> np.uint64(16), return_index=True)
+            new = ~np.isin(h, seen, assume_unique=True)
+            h, one = h[new], one[new]
             if not len(one):
                 continue
-            seen = np.concatenate([seen, h1]) if len(seen) < most else h1
+            seen = np.concatenate([seen, h]) if len(seen) < most else h
             by = np.argsort(one)
-            rec = np.empty((len(one), bands), REC)
-            rec["key"] = signatures(low, start[one[by]], end[one[by]], gram, bands, rows)
-            rec["h1"] = h1[by][:, None]
-            parts.append(rec.ravel())
-            total += rec.size
+            keys.append(signatures(low, start[one[by]], end[one[by]], gram).ravel())
+            lines.append(np.repeat(h[by], BANDS))
+            total += len(keys[-1])
             if total >= most:
-                yield flush(parts)
-                parts, total = [], 0
-        if parts:
-            yield flush(parts)
+                yield flush(keys, lines)
+                keys, lines, total = [], [], 0
+        if keys:
+            yield flush(keys, lines)
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's packed band keys to (key, h1) of the keys that two digests or more have."""
-    parts = [np.frombuffer(x, REC) for b in batches for x in b.column(1).to_pylist()]
-    if not parts:
+    """A block's packed band keys to (key, h) of the keys that two lines or more have."""
+
+    def read(block: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        rec = np.frombuffer(data, REC)
+        return rec["key"].astype(np.int64) | block % (1 << 31) << 32, rec["low"].astype(np.int64) | rec["high"].astype(np.int64) << 32
+
+    def rows(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(h[a : a + (1 << 16)])], ["key", "h"])
+
+    keys, lines, stands = [], [], []
+    for b in batches:
+        for block, data, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            key, h = read(block, data)
+            if kind == SEVERAL:
+                yield from rows(key, h)
+            else:
+                keys.append(key)
+                lines.append(h)
+                stands.append(np.full(len(key), kind == STANDS))
+    if not keys:
         return
-    rec = np.concatenate(parts)
-    parts.clear()
-    key, h1 = rec["key"], rec["h1"]
-    order = np.lexsort((h1, key))
-    key, h1 = key[order], h1[order]
-    same = key[1:] == key[:-1]
-    new = np.append(True, ~same | (h1[1:] != h1[:-1]))
-    key, h1 = key[new], h1[new]
-    same = np.concatenate([[False], key[1:] == key[:-1], [False]])
-    at = np.flatnonzero(same[1:] | same[:-1])
-    for a in range(0, len(at), 1 << 16):
-        i = at[a : a + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[i].view(np.int64)), pa.array(h1[i])], ["key", "h1"])
+    key, h, several = np.concatenate(keys), np.concatenate(lines), np.concatenate(stands)
+    keys.clear()
+    lines.clear()
+    order = np.lexsort((h, key))
+    key, h, several = key[order], h[order], several[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
+    begin, end = _runs(key)
+    more = (np.add.reduceat(new.astype(np.int64), begin) > 1) | (np.add.reduceat(several.astype(np.int64), begin) > 0)
+    keep = np.repeat(more, end - begin) & new
+    yield from rows(key[keep], h[keep])
 
 
 def gram_set(text: str, gram: int) -> np.ndarray:
@@ -182,7 +231,7 @@ def gram_set(text: str, gram: int) -> np.ndarray:
 
 
 #: Longs of a sketch: each shingle of a line sets one of their bits.
-SKETCH = 4
+SKETCH = 16
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
@@ -281,35 +330,22 @@ def _rebuild(text_at: int, drop_at: int):
     return run
 
 
-def removed_lines(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    pct: int = 80,
-    min_chars: int = 10,
-    gram: int = 5,
-    bands: int = 8,
-    rows: int = 3,
-) -> DataFrame:
-    """(__rid, lines): the numbers of the lines to remove, for rows that lose any."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    src = with_row_id(docs.select(id_col, text_col)).select(F.col("__rid").alias("rid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    least, blocks = max(min_chars, gram), block_count(docs.select(text_col))
-    lines = scratch.table(src.mapInArrow(_lines(least), "rid long, id long, line int, h1 long, h2 long"))
-    place = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("o"), "rid", "line")
+def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: int) -> DataFrame:
+    """src: (rid, id, t).  (__rid, lines): the numbers of the lines to remove, for rows that lose any."""
+    kind, blocks = src.schema["id"].dataType.simpleString(), block_count(src)
+    lines = scratch.table(src.select("rid", "id", "t").mapInArrow(_lines, f"rid long, id {kind}, line int, h1 long, h2 long"))
+    place = F.struct(F.col("id").isNull().alias("o"), "id", "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    packed = src.select("t").mapInArrow(_bands(least, gram, bands, rows, blocks), "block long, data binary")
-    shared = packed.repartition(blocks, "block").mapInArrow(_shared, "key long, h1 long")
-    buckets = shared.join(classes.select("h1", "cid", "m"), "h1").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
+    packed = src.select("t").mapInArrow(_bands(gram, blocks), "block long, data binary, kind int")
+    shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(_shared, "key long, h long").distinct())
+    buckets = shared.join(classes.select(F.shiftrightunsigned("h1", 16).alias("h"), "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
     buckets = scratch.table(buckets)
     names = [f"s{i}" for i in range(SKETCH)]
     longs = ", ".join(f"{x} long" for x in names)
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
-    texts = scratch.table(src.join(want, "rid").select("t", "w").mapInArrow(_pick(gram), f"cid long, t string, size long, {longs}"))
+    texts = scratch.table(src.select("rid", "t").join(want, "rid").select("t", "w").mapInArrow(_pick(gram), f"cid long, t string, size long, {longs}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("t").alias("ta"))
@@ -317,23 +353,35 @@ def removed_lines(
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(gram, pct), "src long, dst long")
 
     shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *names).alias("n"))
-    labels = link_components(buckets.join(shapes, "id").select("key", "id", "n", "score"), verify, may_match(pct), scratch)
+    labels = link_components(buckets, shapes, verify, may_match(pct), scratch)
+    alike = classes.where("m > 1")
     if labels is not None:
-        tied = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        alike = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left").where("m > 1 or comp is not null")
+        alike = alike.withColumn("comp", F.coalesce("comp", "cid"))
     else:
-        tied = classes.withColumn("comp", F.col("cid"))
-    best = tied.groupBy("comp").agg(F.min("first").alias("best"), F.sum("m").alias("all")).where(F.col("all") > 1)
-    rule = tied.join(best, "comp").select("h1", "h2", "best")
-    gone = lines.join(rule, ["h1", "h2"]).where((F.col("rid") != F.col("best.rid")) | (F.col("line") != F.col("best.line")))
-    out = checkpoint(gone.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("lines")))
-    scratch.drop()
-    return out
+        alike = alike.withColumn("comp", F.col("cid"))
+    alike = scratch.table(alike.select("h1", "h2", "comp", "first"))
+    best = scratch.table(alike.groupBy("comp").agg(F.min("first").alias("best")).select("comp", F.col("best.rid").alias("r"), F.col("best.line").alias("l")))
+    rule = scratch.table(alike.join(best, "comp").select("h1", "h2", "r", "l"))
+    gone = lines.join(rule, ["h1", "h2"]).where("rid <> r or line <> l")
+    return final.table(gone.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("__lines")))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    pct: int = 80,
+    gram: int = 5,
+) -> DataFrame:
     """``docs`` with the text less its removed lines, plus n_lines and n_removed."""
-    gone = removed_lines(docs, id_col=id_col, text_col=text_col, **options)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    df = with_row_id(docs.select(*keep)).join(gone, "__rid", "left").select(*keep, F.col("lines").alias("__lines"))
+    final = Scratch(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        own = with_row_id(docs.select(*keep), final)
+        src = own.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        gone = _removed(src, scratch, final, pct, gram)
+    df = own.join(gone, "__rid", "left").select(*keep, "__lines")
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_removed", "long")
     return df.mapInArrow(_rebuild(keep.index(text_col), len(keep)), schema)

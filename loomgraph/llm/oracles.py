@@ -67,15 +67,24 @@ def item_words(x: str) -> str:
 
 
 OP2 = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {item_words("coalesce(text, '')")} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, {item_words("coalesce(text, '')")} AS ws FROM documents),
 i AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM (SELECT item_id, {item_words("coalesce(text, '')")} AS ws FROM benchmark) WHERE len(ws) > 0),
 iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM i)),
 dw AS (SELECT rid, k, p, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw))),
 m AS (SELECT rid, p, dw.k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
-hit AS (SELECT rid, count(DISTINCT p + o) AS n_hit FROM (SELECT rid, p, unnest(range(0, k)) AS o FROM m) GROUP BY rid),
+word AS (SELECT DISTINCT rid, p + o AS w FROM (SELECT rid, p, unnest(range(0, k)) AS o FROM m)),
+hit AS (SELECT rid, count(*) AS n_hit FROM word GROUP BY rid),
+run AS (SELECT rid, min(w) AS a, max(w) AS b FROM (SELECT rid, w, w - row_number() OVER (PARTITION BY rid ORDER BY w) AS r FROM word) GROUP BY rid, r),
+sep AS (SELECT rid, ws, list_filter(regexp_extract_all(x, '{NOT_WORD}'), lambda v: v <> '') AS ss, regexp_matches(x, '^{NOT_WORD}')::INT AS lead FROM d WHERE rid IN (SELECT rid FROM word)),
+span AS (
+  SELECT rid, coalesce(list_sum(list_transform(ws[1 : a - 1], lambda v: length(v))), 0) + coalesce(list_sum(list_transform(ss[1 : a - 1 + lead], lambda v: length(v))), 0) AS s,
+         list_sum(list_transform(ws[1 : b], lambda v: length(v))) + coalesce(list_sum(list_transform(ss[1 : b - 1 + lead], lambda v: length(v))), 0) AS e
+  FROM run JOIN sep USING (rid)),
+spans AS (SELECT rid, count(*) AS n_spans, string_agg(s::BIGINT || '-' || e::BIGINT, ',' ORDER BY s) AS said FROM span GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM m) GROUP BY rid)
-SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_spans, 0) AS n_spans, sha256(coalesce(said, '')) AS spans_sha256
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN spans USING (rid)"""
 
 REST = "CASE WHEN contains({u}, '://') THEN substr({u}, instr({u}, '://') + 3) ELSE '' END"
 

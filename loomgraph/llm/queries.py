@@ -24,7 +24,8 @@ def vocabulary() -> str:
 def bpe_digest(encoded: DataFrame, path: str) -> DataFrame:
     """n_tokens and the two digests, from token_ids through the decoder."""
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
-    df = encoded.select("*", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"))
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    df = encoded.drop(*new).withColumns({"n_tokens": F.size("token_ids").cast("long"), "ids_sha256": F.sha2(ids, 256)})
     return bpe.decode(df, path).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded", "token_ids")
 
 
@@ -36,9 +37,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), spans=False)
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join("item_ids", ","), 256)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+    spans = F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"]))
+    digest = F.sha2(F.array_join(spans, ","), 256).alias("spans_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated", F.size("spans").cast("long").alias("n_spans"), digest)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
