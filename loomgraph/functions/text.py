@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import html
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +23,7 @@ UNKNOWN = "UNKNOWN"
 SOURCES_MARK = "-----Sources-----"
 CHUNK_JOIN = "--New Chunk--\n"
 
-STRIP = r"[\s\x1c-\x1f\x85\p{Z}]+"
+BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 TOKEN_SPLIT = r"[ \t\n\r\f]+"
 
 
@@ -32,7 +34,8 @@ def quote(marker: str) -> str:
 
 def strip(x: Column) -> Column:
     """Strips Unicode white space at both ends."""
-    return F.regexp_replace(x, f"^{STRIP}|{STRIP}$", "")
+    # possessive, and tried once a run: linear on long blank runs
+    return F.regexp_replace(x, f"^{BLANK}++|(?<!{BLANK}){BLANK}++$", "")
 
 
 @F.pandas_udf(StringType())
@@ -78,7 +81,7 @@ def token_count(x: Column) -> Column:
 
 
 def weight(x: Column, default: float = 0.75) -> Column:
-    """A decimal without exponent, or the default."""
+    """A decimal without exponent, or the default (fixed values: the pattern, 0.75)."""
     return F.when(x.rlike(r"^[-+]?[0-9]*\.?[0-9]+$"), x.cast("double")).otherwise(F.lit(default))
 
 
@@ -129,7 +132,7 @@ def question_of(answer: Column) -> Column:
 def database_name(file_name: Column) -> Column:
     """At most five word characters of a file name without its extension."""
     stem = F.regexp_replace(file_name, r"(?<=.)\.[^./]*$", "")
-    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, r"(?U)[^\w一-鿿]", ""), 1, 5), F.lit("")), F.lit("default"))
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(stem, r"(?U)[^\w]", ""), 1, 5), F.lit("")), F.lit("default"))
 
 
 def csv_row(*cols: Column) -> Column:
@@ -159,3 +162,42 @@ def clean_answer(answer: Column, prompt: Column, drop: list[str], when: Callable
         out = F.replace(out, F.lit(d), F.lit(""))
     longer = when(answer, prompt) if when else F.length(answer) > F.length(prompt)
     return F.when(longer, strip(out)).otherwise(answer)
+
+
+def edge_members(x: Column, sep: str = LIST_SEP) -> Column:
+    """The members of a joined edge id, stripped; inverse of joining them."""
+    return F.filter(F.transform(F.split(x, quote(sep)), strip), lambda m: m != "")
+
+
+def url_name(x: Column) -> Column:
+    """A name as a path segment carries it: only escaped blanks are undone."""
+    return F.replace(x, F.lit("%20"), F.lit(" "))
+
+
+def csv_fields(x: Column, n: int) -> Column:
+    """The n fields of one CSV record as an array."""
+    names = [f"f{i}" for i in range(n)]
+    row = F.from_csv(x, ", ".join(f"{c} string" for c in names), {"escape": '"'})
+    return F.array(*[F.coalesce(row[c], F.lit("")) for c in names])
+
+
+def section(x: Column, name: str) -> Column:
+    """The body of a ``-----name-----`` section of a context; null without it."""
+    found = F.regexp_extract(x, rf"(?s)(?:^|\n)-----{quote(name)}-----\n(.*?)(?=\n-----|\z)", 1)
+    return F.when(x.contains(f"-----{name}-----"), found)
+
+
+def embeddable(x: Column, most: int = 512) -> Column:
+    """The characters that an embedder with a limit is given (fixed value: 512)."""
+    return F.substring(x, 1, most)
+
+
+@F.pandas_udf("array<float>")
+def packed_vector(x: pd.Series) -> pd.Series:
+    """A base64 text of little-endian 32-bit floats to a vector."""
+    return x.map(lambda t: np.frombuffer(base64.b64decode(t), "<f4"), na_action="ignore")
+
+
+def percent(part: Column, whole: Column, digits: int = 2) -> Column:
+    """Share in percent; 0 of nothing."""
+    return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(F.lit(0.0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import time
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +21,9 @@ def lookup(calls: DataFrame, cache: DataFrame) -> DataFrame:
     return calls.join(cache.select("args_hash", F.col("return").alias("cached")), "args_hash", "left")
 
 
-def answer(calls: DataFrame, cache: DataFrame, model: str, llm: Callable[[str], str | None], retries: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(answered calls, new cache rows).  Only misses, one of each hash, reach the model."""
+def answer(calls: DataFrame, cache: DataFrame, model: str, llm: Callable[[str], str | None], retries: int = 3, pause: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(answered calls, new cache rows).  Only misses, one of each hash, reach the model; a failed
+    call is tried again after ``pause`` seconds, then twice as long."""
     found = lookup(calls, cache)
     misses = found.where("cached is null").dropDuplicates(["args_hash"]).select("args_hash", "prompt")
 
@@ -35,6 +38,7 @@ def answer(calls: DataFrame, cache: DataFrame, model: str, llm: Callable[[str],
                     except Exception:
                         if turn + 1 == retries:
                             raise
+                        time.sleep(pause * 2**turn)
             yield pd.DataFrame({"args_hash": b["args_hash"], "return": out})
 
     fresh = misses.mapInPandas(run, "args_hash string, return string").withColumn("model", F.lit(model))

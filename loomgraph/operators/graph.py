@@ -81,7 +81,7 @@ def remove_vertices(vertices: DataFrame, edges: DataFrame, gone: list[str]) -> t
     cut = cut.withColumn("edge_key", T.edge_key(F.col("entity_set")))
     kept = edges.where(~touched)
     meets = kept.join(cut.select("edge_key").distinct(), "edge_key", "left_semi")
-    merged = combine_edges(cut.unionByName(meets))
+    merged = combine_edges(cut.unionByName(meets.select(*cut.columns)))
     rest = kept.join(cut.select("edge_key").distinct(), "edge_key", "left_anti")
     return vertices.where(~F.col("entity_name").isin(gone)), rest.unionByName(merged.select(*rest.columns))
 
@@ -112,7 +112,18 @@ def clique_expansion(edges: DataFrame) -> DataFrame:
 
 
 def hydrate(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    return keys.join(table, key)
+    """Keys with their payload; lists as joined text, keywords joined by commas."""
+    texts = [F.array_join(c, "," if c == "keywords" else T.SEP).alias(c) for c, kind in table.dtypes if kind == "array<string>" and c not in (key, "entity_set")]
+    plain = [c for c, kind in table.dtypes if c != key and (kind != "array<string>" or c == "entity_set")]
+    return keys.join(table.select(key, *plain, *texts), key)
+
+
+def neighborhood(vertices: DataFrame, edges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The payload around a vertex: its edges, and their members with all fields; both empty for
+    a name that the graph does not know."""
+    near = incident_edges(edges, name)
+    members = near.select(F.explode("entity_set").alias("entity_name")).distinct()
+    return hydrate(members, vertices, "entity_name"), hydrate(near.select("edge_key"), edges, "edge_key")
 
 
 def display_edges(edges: DataFrame) -> DataFrame:

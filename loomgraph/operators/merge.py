@@ -55,9 +55,17 @@ def merge_entities(records: DataFrame, stored: DataFrame | None = None) -> DataF
     return kind.join(body, "entity_name").withColumn("description", F.when(F.size(text) > 0, text).otherwise(F.col("description")))
 
 
+#: What an edge keeps of its records' level.
+LEVELS = ("generalization", "level_hg")
+
+
 def merge_edges(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """edge_key, entity_set, description, keywords, source_id (arrays), weight (sum), arity."""
+    """edge_key, entity_set, description, keywords, source_id (arrays), weight (sum), arity; where
+    records have them, generalization (union) and level_hg (``high`` if any record is) too."""
+    extra = [c for c in LEVELS if c in records.columns]
+    as_list = F.filter(F.array("generalization"), lambda x: x.isNotNull() & (x != ""))
     new = records.select(
+        *[(as_list if c == "generalization" else F.col(c)).alias(c) for c in extra],
         T.canonical(F.col("members")).alias("entity_set"),
         F.array("description").alias("description"),
         F.filter(F.transform(F.split("keywords", T.quote(T.SEP)), T.strip), lambda x: x != "").alias("keywords"),
@@ -66,12 +74,14 @@ def merge_edges(records: DataFrame, stored: DataFrame | None = None) -> DataFram
     )
     rows = new.withColumn("edge_key", T.edge_key(F.col("entity_set")))
     if stored is not None:
-        rows = rows.unionByName(stored.select("edge_key", "entity_set", "description", "keywords", "source_id", "weight"))
+        both = ("edge_key", "entity_set", "description", "keywords", "source_id", "weight", *[c for c in extra if c in stored.columns])
+        rows = rows.unionByName(stored.select(*both), allowMissingColumns=True)
     return combine_edges(rows)
 
 
 def combine_edges(rows: DataFrame) -> DataFrame:
     """Merges edge rows of one key: unions and the sum of weights."""
+    levels = {"generalization": F.array_sort(F.array_distinct(F.flatten(F.collect_set("generalization")))), "level_hg": F.min("level_hg")}
     return (
         rows.groupBy("edge_key")
         .agg(
@@ -80,6 +90,8 @@ def combine_edges(rows: DataFrame) -> DataFrame:
             union_lists("keywords").alias("keywords"),
             union_lists("source_id").alias("source_id"),
             F.sum("weight").alias("weight"),
+            # "high" comes before "low"
+            *[levels[c].alias(c) for c in LEVELS if c in rows.columns],
         )
         .withColumn("arity", F.size("entity_set"))
     )
@@ -114,12 +126,22 @@ def summarise(df: DataFrame, col: str, limit: int, summary: Callable[[DataFrame,
     return kept.unionByName(cut)
 
 
-def entity_vector_text(vertices: DataFrame) -> DataFrame:
-    """(id, entity_name, text): what the entity index embeds."""
-    return vertices.where(F.col("entity_type") != T.UNKNOWN).select(T.content_id(F.col("entity_name"), "ent-").alias("id"), "entity_name", F.concat("entity_name", F.array_join("description", T.SEP)).alias("text"))
+def entity_vector_text(vertices: DataFrame, typed: bool = False) -> DataFrame:
+    """(id, entity_name, text): what the entity index embeds, if ``typed`` with the type in it."""
+    text = F.concat("entity_name", F.array_join("description", T.SEP))
+    if typed:
+        text = F.concat(F.lit("Type: "), "entity_type", F.lit("; Name: "), "entity_name", F.lit("; Description: "), F.array_join("description", T.SEP))
+    return vertices.where(F.col("entity_type") != T.UNKNOWN).select(T.content_id(F.col("entity_name"), "ent-").alias("id"), "entity_name", text.alias("text"))
 
 
-def edge_vector_text(edges: DataFrame) -> DataFrame:
-    """(id, edge_key, text): what the relation index embeds."""
+def edge_vector_text(edges: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(id, edge_key, text): what the relation index embeds; with ``types`` (entity_name,
+    entity_type) every member stands with its type."""
     text = F.concat(F.array_join("keywords", T.SEP), F.array_join("entity_set", ", "), F.array_join("description", T.SEP))
+    if types is not None:
+        member = edges.select("edge_key", F.explode("entity_set").alias("entity_name")).join(types.select("entity_name", "entity_type"), "entity_name", "left")
+        said = F.concat("entity_name", F.lit(" ["), F.coalesce("entity_type", F.lit(T.UNKNOWN)), F.lit("]"))
+        named = member.groupBy("edge_key").agg(F.array_join(F.array_sort(F.collect_list(said)), ", ").alias("__members"))
+        edges = edges.join(named, "edge_key")
+        text = F.concat(F.lit("Members: "), "__members", F.lit("; Keywords: "), F.array_join("keywords", ", "), F.lit("; Description: "), F.array_join("description", T.SEP))
     return edges.select(T.content_id(F.col("edge_key"), "rel-").alias("id"), "edge_key", text.alias("text"))

@@ -44,11 +44,18 @@ def edge_order(arity: str = "arity", weight: str = "weight", tie: str = "edge_ke
     return [F.desc(arity), F.desc(weight), F.asc(tie)]
 
 
-def sliding_join(df: DataFrame, text_col: str, order: str, width: int = 3, sep: str = "") -> DataFrame:
-    """Each row's text joined with those of the next ``width - 1`` rows (full windows only)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(0, width - 1)
-    out = df.withColumn("__t", F.collect_list(text_col).over(w))
-    return out.where(F.size("__t") == width).withColumn("reference", F.array_join("__t", sep)).drop("__t")
+def sliding_join(df: DataFrame, text_col: str, order: str, width: int = 3, sep: str = "", block: int = 4096) -> DataFrame:
+    """Each row's text joined with those of the next ``width - 1`` rows (full windows only).
+
+    ``order`` must be consecutive integers.  Rows are dealt into blocks of ``block`` positions,
+    and the first rows of a block are shared with the one before, so no task has all rows."""
+    pos = F.col(order)
+    mine = F.floor(pos / block)
+    before = F.when((pos % block) < width - 1, mine - 1)
+    rows = df.withColumn("__b", F.explode(F.array_compact(F.array(mine, before))))
+    w = Window.partitionBy("__b").orderBy(order).rowsBetween(0, width - 1)
+    out = rows.withColumn("__t", F.collect_list(text_col).over(w)).where((F.size("__t") == width) & (F.col("__b") == mine))
+    return out.withColumn("reference", F.array_join("__t", sep)).drop("__t", "__b")
 
 
 def distinct_first(df: DataFrame, key: str, pos: str) -> DataFrame:

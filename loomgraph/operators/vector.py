@@ -25,15 +25,31 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 60, threshold: float
     return vectors.withColumn("sim", sim).where(F.col("sim") >= threshold).orderBy(F.desc("sim"), F.asc(id_col)).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.2, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
-    """Top k for each row of a stated query set (query_id, query): the set is collected as
-    one block of literal rows, so the vectors are scanned once, without a cross join."""
-    rows = queries.select("query_id", "query").collect()
-    block = F.array(*[F.struct(F.lit(r["query_id"]).cast(queries.schema["query_id"].dataType).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in rows])
-    hits = vectors.select(id_col, vec_col, F.explode(block).alias("q"))
-    hits = hits.select(F.col("q.query_id").alias("query_id"), id_col, F.round(cosine(F.col(vec_col), F.col("q.query")), 6).alias("sim")).where(F.col("sim") >= threshold)
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.2, id_col: str = "id", vec_col: str = "embedding", block: int = 256) -> DataFrame:
+    """Top k for each row of a stated query set (query_id, query), without a cross join.
+
+    The set goes through in blocks of ``block`` literal rows, each one scan of the vectors with
+    a top k in every task before its small shuffle; the driver holds one block at a time."""
+    kind = queries.schema["query_id"].dataType
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), F.asc(id_col))
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out, rows = None, []
+
+    def scan(rows: list) -> DataFrame:
+        known = F.array(*[F.struct(F.lit(r["query_id"]).cast(kind).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["query"]]).alias("query")) for r in rows])
+        hits = vectors.select(id_col, vec_col, F.explode(known).alias("q"))
+        hits = hits.select(F.col("q.query_id").alias("query_id"), id_col, F.round(cosine(F.col(vec_col), F.col("q.query")), 6).alias("sim")).where(F.col("sim") >= threshold)
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    for r in queries.select("query_id", "query").toLocalIterator():
+        rows.append(r)
+        if len(rows) == block:
+            out, rows = scan(rows) if out is None else out.unionByName(scan(rows)), []
+    if rows:
+        out = scan(rows) if out is None else out.unionByName(scan(rows))
+    if out is None:  # no question, no hit
+        none = vectors.limit(0)
+        out = none.select(F.lit(None).cast(kind).alias("query_id"), id_col, F.lit(0.0).alias("sim"), F.lit(0).alias("rank"))
+    return out
 
 
 def upsert_vectors(stored: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:

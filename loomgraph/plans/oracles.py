@@ -57,7 +57,7 @@ hits AS (SELECT entity_name, sim, (row_number() OVER (ORDER BY sim DESC, entity_
 
 def edge_hits(k: int = 40, where: str = "true") -> str:
     return f"""
-ekeys AS (SELECT edge_key, row_number() OVER (ORDER BY edge_key) - 1 AS vec_id FROM edges WHERE {where} ORDER BY edge_key LIMIT 500),
+ekeys AS (SELECT edge_key, ('0x' || substr(md5(edge_key), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) AS vec_id FROM edges WHERE {where}),
 ehits AS (SELECT edge_key, (row_number() OVER (ORDER BY sim DESC, edge_key) - 1)::INT AS rank FROM (
   SELECT edge_key, {SIM} AS sim FROM ekeys JOIN embeddings a USING (vec_id), (SELECT embedding FROM embeddings WHERE vec_id = 0) b)
   WHERE sim >= 0 ORDER BY rank LIMIT {k})"""
@@ -152,7 +152,7 @@ ORACLES = {
     "clique_expansion": f"WITH {edges()}, {INC} SELECT i.edge_key, i.entity_name AS a, j.entity_name AS b FROM inc i JOIN inc j ON i.edge_key = j.edge_key AND i.entity_name < j.entity_name",
     "pair_weights": f"WITH {edges()}, {INC} SELECT i.entity_name AS a, j.entity_name AS b, sum(weight) AS weight, count(*) AS n_edges FROM inc i JOIN inc j ON i.edge_key = j.edge_key AND i.entity_name < j.entity_name JOIN edges e ON e.edge_key = i.edge_key GROUP BY 1, 2",
     "cosine_topk": f"SELECT * FROM (SELECT a.vec_id, {SIM} AS sim FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) WHERE sim >= 0.2 ORDER BY sim DESC, vec_id LIMIT 60",
-    "cosine_topk_batch": f"SELECT query_id, vec_id, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {SIM} AS sim FROM embeddings a, embeddings b WHERE b.vec_id < 20) WHERE sim >= 0.2) WHERE rank <= 10",
+    "cosine_topk_batch": f"SELECT query_id, vec_id, sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id, {SIM} AS sim FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0) WHERE sim >= 0.2) WHERE rank <= 10",
     "naive_context": f"WITH top AS (SELECT vec_id, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM (SELECT a.vec_id, {SIM} AS sim FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b) WHERE sim >= 0.2 ORDER BY rank LIMIT 60), kept AS ({budget('SELECT text, rank FROM top JOIN documents ON doc_id = vec_id', 'text', 1600, 'rank')}) SELECT string_agg(text, '--New Chunk--' || chr(10) ORDER BY rank) AS context, count(*) AS n_chunks FROM kept",
     "entity_line_entities": f"{GRAPH}, {entity_hits()}, deg AS (SELECT entity_name, count(*) AS degree FROM inc GROUP BY 1) SELECT rank, entity_name, entity_type, degree, {listed('description')} AS description FROM vertices JOIN hits USING (entity_name) JOIN deg USING (entity_name)",
     "entity_line_edges": f"{GRAPH}, {entity_hits()} SELECT (row_number() OVER (ORDER BY {EDGE_ORDER}) - 1)::INT AS pos, edge_key, arity::INT AS arity, weight FROM ({ENT_EDGES})",
@@ -181,12 +181,42 @@ UNION ALL SELECT f.user_id, e.n, CASE WHEN e.t - o >= 86400000000 THEN e.t ELSE
 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
 SELECT user_id, max(n) AS n_events, max(no) AS n_rejected FROM f GROUP BY 1""",
     "typed_validity": f"{TYPED} SELECT edge_key, type_a, type_b, CASE WHEN type_a = type_b AND type_a IN (SELECT p_type FROM part) THEN 'valid' WHEN type_a = 'OTHER' OR type_b = 'OTHER' THEN 'weak_valid' ELSE 'invalid' END AS schema_validity FROM typed",
-    "router": r"""WITH q AS (SELECT conv_id, lower(substr(text, 1, 60)) AS q FROM conversations WHERE turn = 0),
-m AS (SELECT conv_id, regexp_matches(q, '\bthe\b')::INT AS a, regexp_matches(q, '\bof\b')::INT AS b, regexp_matches(q, '\band\b')::INT AS c, len(list_filter(regexp_split_to_array(q, '\s+'), lambda t: t <> '')) AS n FROM q),
-r AS (SELECT conv_id, CASE WHEN a = 1 THEN 'definition' WHEN b = 1 THEN 'relation' WHEN c = 1 THEN 'comparison' ELSE 'general' END AS query_type, CASE WHEN a + b + c >= 2 OR n > 12 THEN 'complex' WHEN a + b + c = 1 THEN 'medium' ELSE 'simple' END AS complexity FROM m)
+    "router": r"""WITH q AS (SELECT conv_id, turn, lower(text) AS q FROM conversations WHERE role = 'user'),
+m AS (SELECT conv_id, turn, regexp_matches(q, '\bthe\b')::INT AS a, regexp_matches(q, '\bof\b')::INT AS b, regexp_matches(q, '\band\b')::INT AS c, len(list_filter(regexp_split_to_array(q, '\s+'), lambda t: t <> '')) AS n FROM q),
+r AS (SELECT conv_id, turn, CASE WHEN a = 1 THEN 'definition' WHEN b = 1 THEN 'relation' WHEN c = 1 THEN 'comparison' ELSE 'general' END AS query_type, CASE WHEN a + b + c >= 2 OR n > 12 THEN 'complex' WHEN a + b + c = 1 THEN 'medium' ELSE 'simple' END AS complexity FROM m)
 SELECT *, (CASE complexity WHEN 'complex' THEN 60 WHEN 'medium' THEN 40 ELSE 20 END)::INT AS k FROM r""",
     "soft_weight_topk": f"WITH {VERTICES}, {entity_hits(12)} SELECT entity_name, sim, round(sim * CASE WHEN entity_type IN ('PROMO', 'STANDARD') THEN 1.0 ELSE 0.7 END::DOUBLE, 6) AS soft_sim FROM hits JOIN vertices USING (entity_name)",
     "diffusion_weight": f"{hops(repr(['p7', 'p11']))} SELECT entity_name, hop, pow(0.5, hop) AS diffusion FROM near",
     "edge_quality": f"""{GRAPH}, part_ AS (SELECT edge_key, sum(CASE WHEN entity_name IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 1 ELSE 0 END)::BIGINT AS hit, avg(CASE WHEN entity_type = 'PROMO' THEN 1.0 ELSE 0.0 END::DOUBLE) AS typed FROM inc JOIN vertices USING (entity_name) GROUP BY 1)
-SELECT edge_key, round(0.4::DOUBLE * (hit / 3) + 0.2::DOUBLE * typed + 0.2::DOUBLE * (1 - 1 / (1 + len(source_id)::DOUBLE)) + 0.2::DOUBLE * (least(arity, 8) / 8), 6) AS quality, hit, CASE WHEN hit >= 2 THEN 'direct' WHEN arity > 2 THEN 'high_order' ELSE 'supporting' END AS role FROM edges JOIN part_ USING (edge_key)""",
+SELECT edge_key, round(0.4::DOUBLE * (hit / 3) + 0.2::DOUBLE * typed + 0.2::DOUBLE * (1 - 1 / (1 + len(source_id)::DOUBLE)) + 0.2::DOUBLE * (least(arity, 8) / 8), 6) AS quality, hit, CASE WHEN hit >= 3 THEN 'direct' WHEN arity > 2 THEN 'high_order' ELSE 'supporting' END AS role FROM edges JOIN part_ USING (edge_key)""",
+    "edge_quality_full": f"""{GRAPH}, deg AS (SELECT entity_name, count(*) AS degree FROM inc GROUP BY 1), {entity_hits(12)}, hop AS (SELECT entity_name, 0 AS hop FROM hits),
+part_ AS (SELECT edge_key, sum(CASE WHEN entity_name IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 1 ELSE 0 END)::BIGINT AS hit, avg(CASE WHEN entity_type = 'PROMO' THEN 1.0 ELSE 0.0 END::DOUBLE) AS typed,
+  avg(CASE WHEN degree > 1500 THEN 1.0 ELSE 0.0 END::DOUBLE) AS high, min(hop) AS hop FROM inc JOIN vertices USING (entity_name) JOIN deg USING (entity_name) LEFT JOIN hop USING (entity_name) GROUP BY 1)
+SELECT edge_key, round(0.3::DOUBLE * (hit / 3) + 0.2::DOUBLE * typed + 0.1::DOUBLE * (1 - 1 / (1 + len(source_id)::DOUBLE)) + 0.1::DOUBLE * (least(arity, 8) / 8)
+  + 0.1::DOUBLE * (len(list_intersect(keywords, ['F', 'P'])) / 2) - 0.1::DOUBLE * high + 0.1::DOUBLE * coalesce(1 / (1 + hop), 0), 6) AS quality, hit,
+  CASE WHEN hit >= 3 THEN 'direct' WHEN arity > 2 THEN 'high_order' ELSE 'supporting' END AS role FROM edges JOIN part_ USING (edge_key)""",
+    "typed_vector_text": f"""{GRAPH}, said AS (SELECT edge_key, string_agg(entity_name || ' [' || entity_type || ']', ', ' ORDER BY entity_name || ' [' || entity_type || ']') AS m FROM inc JOIN vertices USING (entity_name) GROUP BY 1)
+SELECT 'ent-' || md5(entity_name) AS id, md5('Type: ' || entity_type || '; Name: ' || entity_name || '; Description: ' || array_to_string(description, '<SEP>')) AS text FROM vertices
+UNION ALL SELECT 'rel-' || md5(edge_key), md5('Members: ' || m || '; Keywords: ' || array_to_string(keywords, ', ') || '; Description: ' || array_to_string(description, '<SEP>')) FROM edges JOIN said USING (edge_key)""",
+    "ablation_modes": f"""{GRAPH}, {entity_hits(12)}, h AS (SELECT entity_name, sim, entity_type, round(sim * CASE WHEN entity_type IN ('PROMO', 'STANDARD') THEN 1.0 ELSE 0.7 END::DOUBLE, 6) AS soft FROM hits JOIN vertices USING (entity_name)),
+o AS (SELECT edge_key, max(sim) AS s, max(soft) AS t FROM inc JOIN h USING (entity_name) GROUP BY 1),
+part_ AS (SELECT edge_key, sum(CASE WHEN entity_name IN (SELECT entity_name FROM h) THEN 1 ELSE 0 END)::BIGINT AS hit, avg(CASE WHEN entity_type IN ('PROMO', 'STANDARD') THEN 1.0 ELSE 0.0 END::DOUBLE) AS typed FROM inc JOIN vertices USING (entity_name) GROUP BY 1),
+q AS (SELECT edge_key, round(0.4::DOUBLE * (hit / (SELECT count(*) FROM h)) + 0.2::DOUBLE * typed + 0.2::DOUBLE * (1 - 1 / (1 + len(source_id)::DOUBLE)) + 0.2::DOUBLE * (least(arity, 8) / 8) + 0.3::DOUBLE * t, 6) AS score,
+  CASE WHEN hit >= (SELECT count(*) FROM h) THEN 'direct' WHEN arity > 2 THEN 'high_order' ELSE 'supporting' END AS role FROM edges JOIN part_ USING (edge_key) JOIN o USING (edge_key))
+SELECT * FROM (SELECT 'original' AS config, edge_key, s AS score, NULL::VARCHAR AS role FROM o ORDER BY s DESC, edge_key LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'typed', edge_key, t, NULL FROM o ORDER BY t DESC, edge_key LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'full', edge_key, score, role FROM q ORDER BY score DESC, edge_key LIMIT 20)""",
+    "validity_ratios": "SELECT avg(CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END::DOUBLE) AS other_ratio, avg(CASE WHEN p_size > 45 THEN 1.0 ELSE 0.0 END::DOUBLE) AS invalid_ratio, avg(CASE WHEN p_type = 'ECONOMY' THEN 1.0 ELSE 0.0 END::DOUBLE) <= 0.2 AND avg(CASE WHEN p_size > 45 THEN 1.0 ELSE 0.0 END::DOUBLE) <= 0.1 AS accepted FROM part",
+    "zip_by_position": "SELECT coalesce(a.pos, b.pos) AS pos, a.q, b.r FROM (SELECT doc_id AS pos, md5(text) AS q FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id AS pos, quality AS r FROM labels) b USING (pos)",
+    "cached_pieces": "SELECT conv_id, turn, i AS pos, md5(substr(text, i * 32 + 1, 32)) AS piece FROM (SELECT *, unnest(range(0, ((length(text) + 31) // 32)::BIGINT)) AS i FROM conversations)",
+    "round_robin": "SELECT event_id, ((event_id + 1) % 3)::BIGINT AS model FROM events",
+    "answer_clean": "SELECT conv_id, turn, md5(CASE WHEN length('user ask me ' || text || '<x>') > length('ask me') THEN " + strip("replace(replace(replace('user ask me ' || text || '<x>', 'ask me', ''), 'user', ''), '<x>', '')") + " ELSE text END) AS answer FROM conversations",
+    "question_parse": "SELECT doc_id, 'what is ' || doc_id || '?' AS question FROM documents",
+    "csv_parse": "SELECT p_partkey, p_name AS name, 'say \"' || p_type || '\", twice' AS said FROM part",
+    "edge_id_split": f"WITH {edges()} SELECT edge_key, len(entity_set)::INT AS n, entity_set[1] AS first FROM edges",
+    "url_names": "SELECT page_id, replace(replace(url, '/', '%20'), '%20', ' ') AS name FROM pages",
+    "embed_cut": "SELECT doc_id, md5(substr(text, 1, 512)) AS cut FROM documents",
+    "progress_percent": "SELECT event_type, round(count(*) * 100.0 / (SELECT count(*) FROM events), 2)::DOUBLE AS percent FROM events GROUP BY 1",
+    "vertex_payload": f"{GRAPH} SELECT entity_name, entity_type, md5({SAID}) AS description, len(source_id)::INT AS n_sources FROM vertices WHERE entity_name IN (SELECT entity_name FROM inc WHERE edge_key IN (SELECT edge_key FROM inc WHERE entity_name = 'Brand#7'))",
+    "summarise_long": f"WITH {VERTICES} SELECT entity_name, md5(CASE WHEN {count_tokens(SAID)} >= 150 THEN 'about ' || length({SAID}) ELSE {SAID} END) AS description FROM vertices",
 }

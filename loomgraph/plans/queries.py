@@ -282,7 +282,7 @@ def cosine_topk(s, d):
 @register
 def cosine_topk_batch(s, d):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return vector.top_k_batch(e, q, 10, 0.2, id_col="vec_id").select("query_id", "vec_id", "sim", "rank")
 
 
@@ -479,9 +479,9 @@ def typed_validity(s, d):
 @register
 def router(s, d):
     rules = [("\\bthe\\b", "definition"), ("\\bof\\b", "relation"), ("\\band\\b", "comparison")]
-    q = table(s, d, "conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 60).alias("question"))
+    q = table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     r = adaptive.route(q, rules)
-    return r.select("conv_id", "query_type", "complexity", adaptive.plan_for(F.col("complexity"))["k"].alias("k"))
+    return r.select("conv_id", "turn", "query_type", "complexity", adaptive.plan_for(F.col("complexity"))["k"].alias("k"))
 
 
 @register
@@ -501,3 +501,112 @@ def edge_quality(s, d):
     seeds = s.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "entity_name string")
     q = adaptive.roles(adaptive.edge_quality(X.edges(s, d), seeds, ["PROMO"], X.vertices(s, d)))
     return q.select("edge_key", "quality", "hit", "role")
+
+
+@register
+def edge_quality_full(s, d):
+    """All terms of an edge's quality: keywords, degree and hop too."""
+    seeds = s.createDataFrame([("Brand#1",), ("Brand#2",), ("Brand#3",)], "entity_name string")
+    near = X.entity_hits(s, d, 12).select("entity_name", F.lit(0).alias("hop"))
+    wt = {"cover": 0.3, "source": 0.1, "arity": 0.1, "keyword": 0.1, "degree": 0.1, "hop": 0.1}
+    q = adaptive.edge_quality(X.edges(s, d), seeds, ["PROMO"], X.vertices(s, d), weights=wt, near=near, keywords=["F", "P"], high_degree=1500)
+    return adaptive.roles(q).select("edge_key", "quality", "hit", "role")
+
+
+@register
+def typed_vector_text(s, d):
+    v, e = X.vertices(s, d), X.edges(s, d)
+    ents = merge.entity_vector_text(v, typed=True).select("id", F.md5("text").alias("text"))
+    return ents.unionByName(merge.edge_vector_text(e, v).select("id", F.md5("text").alias("text")))
+
+
+@register
+def ablation_modes(s, d):
+    e, v, hits = X.edges(s, d), X.vertices(s, d), X.entity_hits(s, d, 12).select("entity_name", "sim")
+    parts = [adaptive.ablated(e, hits, ["PROMO", "STANDARD"], v, c) for c in ("naive", "original", "typed", "full")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register
+def validity_ratios(s, d):
+    kind = F.when(F.col("p_type") == "ECONOMY", "OTHER").otherwise(F.col("p_type"))
+    rows = table(s, d, "part").select(kind.alias("type_a"), F.lit("X").alias("type_b"), F.when(F.col("p_size") > 45, "invalid").otherwise("valid").alias("schema_validity"))
+    return adaptive.validity_ratios(rows)
+
+
+# ------------------------------------------------- evaluation, cache, texts
+@register
+def zip_by_position(s, d):
+    left = table(s, d, "documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("pos"), F.md5("text").alias("q"))
+    return evaluate.zip_by_position(left, table(s, d, "labels").select(F.col("doc_id").alias("pos"), F.col("quality").alias("r")))
+
+
+@register
+def cached_pieces(s, d):
+    c = table(s, d, "conversations")
+    return c.select("conv_id", "turn", F.posexplode(cache.pieces(F.col("text"))).alias("pos", "p")).select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), F.md5("p").alias("piece"))
+
+
+@register
+def round_robin(s, d):
+    return table(s, d, "events").select("event_id", cache.round_robin(F.col("event_id"), 3).cast("long").alias("model"))
+
+
+@register
+def answer_clean(s, d):
+    said = F.concat(F.lit("user ask me "), "text", F.lit("<x>"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.md5(T.clean_answer(said, F.lit("ask me"), ["user", "<x>"])).alias("answer"))
+
+
+@register
+def question_parse(s, d):
+    body = F.concat(F.lit('sure: {"Question": "what is '), F.col("doc_id").cast("string"), F.lit('?"'), F.when(F.col("doc_id") % 2 == 0, "}").otherwise(", broken"))
+    return table(s, d, "documents").select("doc_id", T.question_of(body).alias("question"))
+
+
+@register
+def csv_parse(s, d):
+    said = F.concat(F.lit('say "'), "p_type", F.lit('", twice'))
+    rows = table(s, d, "part").select("p_partkey", T.csv_fields(T.csv_row(F.col("p_name"), said.alias("s")), 2).alias("f"))
+    return rows.select("p_partkey", F.col("f")[0].alias("name"), F.col("f")[1].alias("said"))
+
+
+@register
+def edge_id_split(s, d):
+    m = T.edge_members(F.array_join("entity_set", T.LIST_SEP))
+    return X.edges(s, d).select("edge_key", F.size(m).alias("n"), m[0].alias("first"))
+
+
+@register
+def url_names(s, d):
+    return table(s, d, "pages").select("page_id", T.url_name(F.replace("url", F.lit("/"), F.lit("%20"))).alias("name"))
+
+
+@register
+def embed_cut(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(T.embeddable(F.col("text"))).alias("cut"))
+
+
+@register
+def progress_percent(s, d):
+    e = table(s, d, "events")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.select("event_type", T.percent(F.col("n"), F.lit(e.count())).alias("percent"))
+
+
+@register
+def vertex_payload(s, d):
+    v, _ = graph.neighborhood(X.vertices(s, d), X.edges(s, d), "Brand#7")
+    return v.select("entity_name", "entity_type", F.md5("description").alias("description"), F.size(F.split("source_id", T.quote(T.SEP))).alias("n_sources"))
+
+
+@register
+def summarise_long(s, d):
+    def shorter(rows, col):
+        return rows.withColumn(col, F.concat(F.lit("about "), F.length(col).cast("string")))
+
+    out = merge.summarise(X.vertices(s, d), "description", 150, shorter)
+    return out.select("entity_name", F.md5(F.array_join("description", T.SEP)).alias("description"))
