@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, FloatType, StringType
 
 #: Delimiters of extraction output and of stored multi-values.
 FIELD = " | "
@@ -192,7 +192,7 @@ def embeddable(x: Column, most: int = 512) -> Column:
     return F.substring(x, 1, most)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def packed_vector(x: pd.Series) -> pd.Series:
     """A base64 text of little-endian 32-bit floats to a vector."""
     return x.map(lambda t: np.frombuffer(base64.b64decode(t), "<f4"), na_action="ignore")

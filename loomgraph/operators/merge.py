@@ -99,17 +99,21 @@ def combine_edges(rows: DataFrame) -> DataFrame:
 
 def backfill_unknown(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """``vertices`` plus a placeholder for each edge member that has none, with the edges' sources."""
+    return vertices.unionByName(unknown_stubs(vertices, edges))
+
+
+def unknown_stubs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """A placeholder for each edge member that is no vertex."""
     members = edges.select(F.explode("entity_set").alias("entity_name"), "source_id")
     missing = members.join(vertices.select("entity_name"), "entity_name", "left_anti")
     stub = missing.groupBy("entity_name").agg(union_lists("source_id").alias("source_id"))
-    stub = stub.select(
+    return stub.select(
         "entity_name",
         F.lit(T.UNKNOWN).alias("entity_type"),
         F.array(F.lit(T.UNKNOWN)).alias("description"),
         F.array(F.lit(T.UNKNOWN)).alias("additional_properties"),
         "source_id",
     )
-    return vertices.unionByName(stub)
 
 
 def summarise(df: DataFrame, col: str, limit: int, summary: Callable[[DataFrame, str], DataFrame] | None = None, sep: str = T.SEP) -> DataFrame:

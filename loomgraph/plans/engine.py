@@ -1,14 +1,18 @@
-"""The engine: ingest into a store, and the five query modes (ids Q1-Q6, X1-X17, C1-C5).
+"""The engine: ingest into a store, and the five query modes (ids Q1-Q6, X1-X17, C1-C5, N3, K9, I13).
 
-``embed`` (texts to vectors), ``extract`` (chunk to records), ``llm`` (prompt to answer)
-and ``summary`` (long text to a shorter one, or None to keep it) are callables; the defaults are deterministic and need no network.
+``embed`` (texts to vectors), ``extract`` (chunk to records), ``llm`` (prompt to answer),
+``stream`` (prompt to pieces of the answer as they come) and ``summary`` (long text to a
+shorter one, or None to keep it) are callables; the defaults are deterministic and need no
+network.  An insert writes what it adds or changes, and embeds only that.  Answers are
+cached in the store by model and prompt.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +20,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import extract as X
-from loomgraph.operators import ingest, merge, rank, vector
+from loomgraph.operators import adaptive, ingest, merge, rank, vector
 from loomgraph.operators import retrieve as R
-from loomgraph.schema import QueryParam
+from loomgraph.schema import TABLES, QueryParam
 from loomgraph.session import importable
 from loomgraph.sources.store import Store
 
@@ -61,7 +65,13 @@ class Engine:
         embed: Callable[[str], list[float]] = hashed_embedding,
         extract: Callable[[str, str | None], str] | None = None,
         llm: Callable[[str], str | None] | None = None,
+        stream: Callable[[str], Iterator[str]] | None = None,
         summary: Callable[[str], str | None] | None = None,
+        progress: Callable[[dict], None] | None = None,
+        model: str = "default",
+        cache: bool = True,
+        typed: bool = False,
+        rules: list[tuple[str, str]] | None = None,
         chunk_size: int = 1200,
         chunk_overlap: int = 100,
         max_gleaning: int = 1,
@@ -69,7 +79,8 @@ class Engine:
         importable(spark)
         self.spark, self.store = spark, Store(spark, path)
         self.embed, self.llm = embed, llm or (lambda prompt: None)
-        self.summary = summary
+        self.stream, self.summary, self.progress = stream, summary, progress or (lambda event: None)
+        self.model, self.cache, self.typed, self.rules = model, cache, typed, rules or []
         self.extractor = extract or (lambda content, before: content if before is None else "")
         self.chunk_size, self.chunk_overlap, self.max_gleaning = chunk_size, chunk_overlap, max_gleaning
 
@@ -99,37 +110,86 @@ class Engine:
         return df
 
     def insert(self, docs: DataFrame, text_col: str = "content") -> int:
-        """Adds documents that are new by content; returns how many.  All tables change together."""
+        """Adds documents that are new by content; returns how many.  All tables change together.
+
+        Documents of which nothing is extracted (no entity or no hyperedge) change nothing."""
         s = self.store
-        fresh = ingest.new_rows(ingest.doc_ids(docs, text_col), s.read("docs"), "doc_id").cache()
+        held: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            held.append(df.cache())
+            return held[-1]
+
         try:
+            fresh = keep(ingest.new_rows(ingest.doc_ids(docs, text_col), s.read("docs"), "doc_id"))
             n = fresh.count()
             if not n:
                 return 0
+            self.progress({"step": "documents", "new": n})
             chunks = ingest.last_wins(ingest.chunk_windows(fresh, self.chunk_size, self.chunk_overlap))
-            chunks = ingest.new_rows(chunks, s.read("chunks"), "chunk_id").cache()
-            recs = X.records(X.extract(chunks, self.extractor, self.max_gleaning)).cache()
+            chunks = keep(ingest.new_rows(chunks, s.read("chunks"), "chunk_id"))
+            recs = keep(X.records(X.extract(chunks, self.extractor, self.max_gleaning)))
             ents, rels = X.entities(recs), X.hyperedges(recs)
-            vertices = self._summarised(merge.merge_entities(ents, s.read("vertices")), SUMMARY_TOKENS)
-            edges = self._summarised(merge.merge_edges(rels, s.read("edges")), EDGE_SUMMARY_TOKENS).cache()
-            vertices = merge.backfill_unknown(vertices, edges).cache()
-            vec = lambda old, new: vector.upsert_vectors(s.read(old), new)
+            self.progress({"step": "extraction", **X.progress(ents, rels).first().asDict()})
+            if ents.isEmpty() or rels.isEmpty():
+                self.progress({"step": "nothing extracted"})
+                return 0
+            # stored rows take part in a merge where their key comes up again
+            rels = rels.withColumn("edge_key", T.edge_key(F.col("members")))
+            vertices = keep(self._summarised(merge.merge_entities(ents, s.read("vertices", ents)), SUMMARY_TOKENS))
+            edges = keep(self._summarised(merge.merge_edges(rels, s.read("edges", rels)), EDGE_SUMMARY_TOKENS))
+            members = edges.select(F.explode("entity_set").alias("entity_name"))
+            known = vertices.select("entity_name").unionByName(s.read("vertices", members).select("entity_name"))
+            vertices = keep(vertices.unionByName(merge.unknown_stubs(known, edges)))
+            types = vertices.select("entity_name", "entity_type").unionByName(s.read("vertices", members).join(vertices, "entity_name", "left_anti").select("entity_name", "entity_type"))
+            entity_text = merge.entity_vector_text(vertices, self.typed)
+            edge_text = merge.edge_vector_text(edges, types if self.typed else None)
+            chunk_text = chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text"))
             s.commit(
-                {
-                    "docs": s.add("docs", "doc_id", fresh),
-                    "chunks": s.add("chunks", "chunk_id", chunks),
+                append={"docs": fresh, "chunks": chunks, "vec_chunks": self._embedded(chunk_text, "id string, embedding array<float>")},
+                upsert={
                     "vertices": vertices,
                     "edges": edges,
-                    "vec_chunks": vec("vec_chunks", self._embedded(chunks.select(F.col("chunk_id").alias("id"), F.col("content").alias("text")), "id string, embedding array<float>")),
-                    "vec_entities": vec("vec_entities", self._embedded(merge.entity_vector_text(vertices), "id string, entity_name string, embedding array<float>")),
-                    "vec_edges": vec("vec_edges", self._embedded(merge.edge_vector_text(edges), "id string, edge_key string, embedding array<float>")),
-                }
+                    "vec_entities": keep(self._embedded(entity_text, "id string, entity_name string, embedding array<float>")),
+                    "vec_edges": keep(self._embedded(edge_text, "id string, edge_key string, embedding array<float>")),
+                },
             )
-            for df in (chunks, recs, edges, vertices):
-                df.unpersist()
+            self.progress({"step": "stored", "new": n})
             return n
         finally:
-            fresh.unpersist()
+            for df in held:
+                df.unpersist()
+
+    def _reembed(self, vertex: DataFrame | None = None, edge: DataFrame | None = None) -> None:
+        new = {}
+        if vertex is not None:
+            new["vec_entities"] = self._embedded(merge.entity_vector_text(vertex, self.typed), "id string, entity_name string, embedding array<float>")
+        if edge is not None:
+            types = self.store.read("vertices") if self.typed else None
+            new["vec_edges"] = self._embedded(merge.edge_vector_text(edge, types), "id string, edge_key string, embedding array<float>")
+        self.store.commit(upsert=new)
+
+    def create_vertex(self, name: str, **fields) -> None:
+        """A new vertex with its vector; an existing one is an error."""
+        self._reembed(vertex=self.store.create_vertex(name, **fields))
+
+    def create_edge(self, members: list[str], **fields) -> None:
+        """A new hyperedge with its vector; an existing one or an unknown member is an error."""
+        self._reembed(edge=self.store.create_edge(members, **fields))
+
+    def update_vertex(self, name: str, **fields) -> None:
+        self._reembed(vertex=self.store.update_vertex(name, **fields))
+
+    def update_edge(self, members: list[str], **fields) -> None:
+        self._reembed(edge=self.store.update_edge(members, **fields))
+
+    def status(self) -> dict[str, int]:
+        """Rows of every table."""
+        return self.store.counts()
+
+    def reset(self) -> None:
+        """Empties the database."""
+        self.store.drop()
 
     # ------------------------------------------------------------ reading
     def graph(self) -> R.Graph:
@@ -155,7 +215,7 @@ class Engine:
 
     def keywords(self, question: str) -> tuple[str, str]:
         """High- and low-level keywords by the model, or the question itself where it has none."""
-        said = self.llm(f"Give high_level_keywords and low_level_keywords as JSON for: {question}")
+        said = self._said(f"Give high_level_keywords and low_level_keywords as JSON for: {question}")
         if said is None:
             return question, question
         row = self.spark.createDataFrame([(said,)], "a string").select(T.keywords(F.col("a")).alias("k")).first()["k"]
@@ -195,22 +255,80 @@ class Engine:
         lines = df.orderBy("id").select(T.csv_row("id", *cols).alias("x")).collect()
         return "\r\n".join([",".join(["id", *[c for c in df.columns if c != "id"]]), *[r["x"] for r in lines]])
 
+    # ------------------------------------------------------------ answers
+    def _hash(self, prompt: str) -> str:
+        return hashlib.md5(json.dumps([self.model, prompt], ensure_ascii=False).encode()).hexdigest()
+
+    def _cached(self, prompt: str) -> str | None:
+        if not self.cache:
+            return None
+        row = self.store.read("llm_cache").where(F.col("args_hash") == self._hash(prompt)).first()
+        return row["return"] if row else None
+
+    def _remember(self, prompt: str, said: str) -> None:
+        if self.cache:
+            row = self.spark.createDataFrame([(self._hash(prompt), self.model, said)], TABLES["llm_cache"])
+            self.store.commit(append={"llm_cache": row})
+
+    def _said(self, prompt: str) -> str | None:
+        """The model's answer, from the cache where it was given before."""
+        said = self._cached(prompt)
+        if said is None:
+            said = self.llm(prompt)
+            if said is not None:
+                self._remember(prompt, said)
+        return said
+
+    def _prompt(self, question: str, p: QueryParam, context: str) -> str:
+        if p.rag_define:
+            high, low = self.keywords(question)
+            question = f"{question}\nKeywords: {high}; {low}"
+        return f"---Length and form of the answer---\n{p.response_type}\n---Evidence---\n{context}\n---Question---\n{question}"
+
+    def _clean(self, said: str | None, prompt: str, question: str) -> str | None:
+        """An answer without the prompt that some models repeat."""
+        if said is None or len(said) <= len(prompt):
+            return said
+        row = self.spark.createDataFrame([(said, prompt)], "a string, p string")
+        return row.select(T.clean_answer(F.col("a"), F.col("p"), ["user", "model", question, "<system>", "</system>"]).alias("a")).first()["a"]
+
+    def routed(self, question: str, p: QueryParam) -> QueryParam:
+        """The parameters that the question's complexity asks for; unchanged without rules."""
+        if not self.rules:
+            return p
+        row = adaptive.route(self.spark.createDataFrame([(question,)], "question string"), self.rules)
+        return replace(p, top_k=row.select(adaptive.plan_for(F.col("complexity"))["k"].alias("k")).first()["k"])
+
     def query(self, question: str, param: QueryParam | None = None) -> Answer:
-        p = param or QueryParam()
+        p = self.routed(question, param or QueryParam())
         a = self.context(question, p)
         if p.only_need_context:
             return a
         if not a.context and p.mode != "llm":
             a.response = FAILURE
             return a
-        prompt = f"---Target response length and format---\n{p.response_type}\n---Data---\n{a.context}\n---Question---\n{question}"
-        a.response = self.llm(prompt)
+        prompt = self._prompt(question, p, a.context)
+        a.response = self._clean(self._said(prompt), prompt, question)
         return a
 
     def query_stream(self, question: str, param: QueryParam | None = None, size: int = 32) -> Iterator[str]:
-        """The answer in pieces; retrieval ends before the first.  Pairwise mode has no stream."""
-        p = param or QueryParam()
+        """The answer's pieces as the model gives them; a cached answer, or that of a model without
+        a stream, is replayed in pieces of ``size`` characters.  Pairwise mode has no stream."""
+        p = self.routed(question, param or QueryParam())
         if p.mode == "graph":
             raise ValueError("graph mode cannot be streamed")
-        said = self.query(question, p).response or ""
+        a = self.context(question, p)
+        if not a.context and p.mode != "llm":
+            yield FAILURE
+            return
+        prompt = self._prompt(question, p, a.context)
+        said = self._cached(prompt)
+        if said is None and self.stream is not None:
+            parts = []
+            for piece in self.stream(prompt):
+                parts.append(piece)
+                yield piece
+            self._remember(prompt, "".join(parts))
+            return
+        said = said if said is not None else self._said(prompt) or ""
         yield from (said[i : i + size] for i in range(0, len(said), size))

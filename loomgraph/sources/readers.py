@@ -75,7 +75,7 @@ def _pdf(data: bytes) -> str:
     return "".join((p.extract_text() or "") + "\n" for p in PdfReader(io.BytesIO(data)).pages)
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, content, hash, size) of .txt, .md, .pdf and .docx files; other types raise."""
     files = spark.read.format("binaryFile").load(path)
 

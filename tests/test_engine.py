@@ -110,3 +110,110 @@ def test_streaming_ingest(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
     ingest(spark.readStream.schema("content string").parquet(str(tmp_path / "in")), e, str(tmp_path / "cp")).awaitTermination(180)
     assert e.store.read("docs").count() == 1
+
+
+def test_inserts_touch_only_what_changes(spark, tmp_path):
+    seen = []
+    e = Engine(spark, str(tmp_path / "db"), embed=lambda t: seen.append(t) or [1.0], progress=lambda x: seen.append(x["step"]))
+    other = '("Entity" | dave | person | a nurse | new) <|COMPLETE|> ("Low-order Hyperedge" | dave | alice | helps | care | 1)'
+    assert e.insert(spark.createDataFrame([(DOC,)], "content string")) == 1
+    before = e.store.manifest()
+    assert e.insert(spark.createDataFrame([(other,)], "content string")) == 1
+    after = e.store.manifest()
+    assert set(before["docs"]) < set(after["docs"])
+    assert sum(before["edges"].get(b) == f for b, f in after["edges"].items()) >= 1
+    assert "nothing extracted" not in seen and "stored" in seen
+    assert e.store.vertex("ALICE")["entity_type"] == "PERSON" and e.store.vertex("NOBODY") is None
+    assert e.store.edge(["BOB", "ALICE", "CAROL"])["generalization"] == ["gen"]
+    assert e.store.edge(["BOB", "ALICE", "CAROL"])["level_hg"] == "high"
+    assert e.insert(spark.createDataFrame([("no records here",)], "content string")) == 0
+    assert e.status()["docs"] == 2 and e.status()["vec_entities"] == 3
+    e.store.compact("docs")
+    e.store.vacuum()
+    assert e.status()["docs"] == 2
+    e.reset()
+    assert e.status()["docs"] == 0
+
+
+def test_guarded_changes(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.insert(spark.createDataFrame([(DOC,)], "content string"))
+    with pytest.raises(ValueError):
+        e.create_vertex("ALICE")
+    with pytest.raises(ValueError):
+        e.create_edge(["ALICE", "ZOE"])
+    with pytest.raises(ValueError):
+        e.create_edge(["BOB", "ALICE"])
+    with pytest.raises(KeyError):
+        e.update_vertex("ZOE", entity_type="X")
+    with pytest.raises(KeyError):
+        e.store.delete_edge(["ALICE", "ZOE"])
+    e.create_vertex("ZOE", entity_type="PERSON", description="a visitor")
+    e.create_edge(["ZOE", "ALICE"], keywords=["visit"], weight=3.0)
+    e.update_vertex("ZOE", entity_type="GUEST", description="")
+    assert (e.store.vertex("ZOE")["entity_type"], e.store.vertex("ZOE")["description"]) == ("GUEST", ["a visitor"])
+    assert e.store.edge(["ALICE", "ZOE"])["weight"] == 3.0
+    e.store.delete_edge(["ALICE", "ZOE"])
+    assert e.store.edge(["ALICE", "ZOE"]) is None
+    assert e.store.read("vec_entities").where("entity_name = 'ZOE'").count() == 1
+
+
+def test_answers_are_cached_and_streams_live(spark, tmp_path):
+    asked = []
+    e = Engine(spark, str(tmp_path / "db"), llm=lambda p: asked.append(p) or "x" * 70, stream=lambda p: iter(["a", "bc"]))
+    assert e.query("q", QueryParam(mode="llm")).response == "x" * 70
+    assert e.query("q", QueryParam(mode="llm")).response == "x" * 70 and len(asked) == 1
+    assert [len(x) for x in e.query_stream("q", QueryParam(mode="llm"))] == [32, 32, 6]
+    assert list(e.query_stream("other", QueryParam(mode="llm"))) == ["a", "bc"]
+    assert list(e.query_stream("other", QueryParam(mode="llm"))) == ["abc"]
+
+
+def test_routing_and_keywords_in_the_question(spark, tmp_path):
+    asked = []
+    e = Engine(spark, str(tmp_path / "db"), llm=lambda p: asked.append(p), rules=[("why", "cause"), ("how", "way")])
+    assert e.routed("why and how", QueryParam()).top_k == 60 and e.routed("hm", QueryParam()).top_k == 20
+    e.query("why", QueryParam(mode="llm", rag_define=True))
+    assert "Keywords: why; why" in asked[-1]
+
+
+def test_files(spark, tmp_path):
+    from loomgraph.sources.files import Files
+
+    (tmp_path / "up").mkdir()
+    (tmp_path / "up" / "one.md").write_text(DOC)
+    (tmp_path / "up" / "two.bin").write_text("?")
+    e = Engine(spark, str(tmp_path / "db"))
+    f = Files(e)
+    row = f.add(str(tmp_path / "up")).collect()
+    assert [(r.filename, r.status, r.database) for r in row] == [("one.md", "uploaded", "one")]
+    assert f.add(str(tmp_path / "up")).count() == 1 and f.listed().count() == 1
+    assert f.embed([row[0].file_id]) == 1 and f.listed().first().status == "embedded"
+    assert e.status()["vertices"] == 3
+    f.delete([row[0].file_id])
+    assert f.listed().count() == 0 and f.embed([]) == 0
+    with pytest.raises(Exception, match="unsupported"):
+        readers.documents(spark, str(tmp_path / "up")).collect()
+
+
+def test_writers(spark, tmp_path):
+    from loomgraph.sources import writers
+
+    df = spark.createDataFrame([(1, "é", True), (2, None, False)], "a int, b string, ok boolean")
+    writers.export_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    assert "é" in writers.json_text(df).where("a = 1").first()["json"]
+    writers.write_outcomes(df, F.col("ok"), str(tmp_path / "ok"), str(tmp_path / "err"))
+    assert spark.read.json(str(tmp_path / "ok")).count() == 1 == spark.read.json(str(tmp_path / "err")).count()
+    one = spark.createDataFrame([("x",), ("x",), (None,)], "context string")
+    writers.write_contexts(one, str(tmp_path / "c"))
+    writers.write_contexts(spark.createDataFrame([("y",)], "context string"), str(tmp_path / "c"))
+    assert [r.context for r in spark.read.json(str(tmp_path / "c")).collect()] == ["x"]
+
+
+def test_docx(spark, tmp_path):
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>one</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t></w:r></w:p></w:body></w:document>')
+    assert readers.documents(spark, str(tmp_path / "a.docx")).first().content == "one\ntwo"

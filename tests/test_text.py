@@ -63,3 +63,18 @@ def test_judges_and_messages(spark):
     assert one(spark, T.before_sources(F.col("s")), s="a-----Sources-----b") == "a"
     got = one(spark, T.pack_messages(F.array("a", "b", "c")), a="x", b="y", c="z")
     assert [(m["role"], m["content"]) for m in got] == [("user", "x"), ("assistant", "y"), ("user", "z")]
+
+
+def test_small_text_helpers(spark):
+    import base64
+    import struct
+    import time
+
+    vec = base64.b64encode(struct.pack("<2f", 1.5, -2.0)).decode()
+    row = spark.createDataFrame([(vec, "-----Entities-----\na,b\n-----Sources-----\nx", "a" + " " * 200_000 + "b")], "v string, c string, s string")
+    began = time.time()
+    got = row.select(
+        T.packed_vector(F.col("v")).alias("v"), T.section(F.col("c"), "Entities").alias("e"), T.section(F.col("c"), "Sources").alias("s"), T.section(F.col("c"), "No").alias("n"), F.length(T.strip(F.col("s"))).alias("k")
+    ).first()
+    assert (got.v, got.e, got.s, got.n, got.k) == ([1.5, -2.0], "a,b", "x", None, 200_002)
+    assert time.time() - began < 20
