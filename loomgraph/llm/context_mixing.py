@@ -131,6 +131,34 @@ def block_of(code: np.ndarray, blocks: int) -> np.ndarray:
     return (mix64((code >> np.uint64(8)) & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
 
 
+class Lookup:
+    """An open hash table from distinct integers to their positions."""
+
+    def __init__(self, code: np.ndarray):
+        self.code, self.bits = code, max(int(3 * len(code)).bit_length(), 4)
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(code), np.arange(len(code), dtype=np.int32)
+        while len(left):
+            free = self.at[slot[left]] < 0
+            self.at[slot[left[free]]] = left[free]
+            left = left[self.at[slot[left]] != left]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code * MIX[41]) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        """Positions of codes that are all in the table."""
+        slot = self._slot(code)
+        out = self.at[slot]
+        left = np.flatnonzero(self.code[out] != code)
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            out[left] = self.at[slot[left]]
+            left = left[self.code[out[left]] != code[left]]
+        return out
+
+
 def _dealt(code: np.ndarray, n: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     order = np.argsort(block, kind="stable")
     code, n, block = code[order], n[order], block[order]
@@ -150,7 +178,7 @@ def _groups(blocks: int):
         code, n = summed(*(np.concatenate(x) for x in zip(*words, strict=True)))
         out += [(WORDS, b, grp, planes(c, 8), planes(k, 6), None, None) for b, c, k in _dealt(code, n, (code % np.uint64(blocks)).astype(np.int64))]
         sizes = np.concatenate([np.diff(to) for _, to in texts])
-        out.append((TEXT, grp % blocks, grp, b"".join(t.tobytes() for t, _ in texts), None, np.array(rids, np.int64).tobytes(), sizes.tobytes()))
+        out.append((TEXT, grp % blocks, grp, pa.compress(b"".join(t.tobytes() for t, _ in texts), codec="zstd", asbytes=True), None, np.array(rids, np.int64).tobytes(), sizes.tobytes()))
         types = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], NAMES)
 
@@ -412,11 +440,8 @@ def _total(n_train: int, n_words: int):
     """Groups' coded texts and answers to one row a text."""
     base = log10(n_train + 0.1 * (n_words + 1))
 
-    def table(rows: list[dict], width: int, read) -> tuple[np.ndarray, np.ndarray]:
-        code = np.concatenate([unplanes(r["data"], width) for r in rows])
-        value = np.concatenate([read(r["value"]) for r in rows])
-        order = np.argsort(code)
-        return code[order], value[order]
+    def table(rows: list[dict], width: int, read) -> tuple[Lookup, np.ndarray]:
+        return Lookup(np.concatenate([unplanes(r["data"], width) for r in rows])), np.concatenate([read(r["value"]) for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[dict]] = {}
@@ -426,7 +451,8 @@ def _total(n_train: int, n_words: int):
         for grp in list(found):
             rows = found.pop(grp)
             head = next(r for r in rows if r["kind"] == TEXT)
-            text, size = np.frombuffer(head["data"], np.uint8), np.frombuffer(head["sizes"], np.int64)
+            size = np.frombuffer(head["sizes"], np.int64)
+            text = np.frombuffer(pa.decompress(head["data"], decompressed_size=int(size.sum()), codec="zstd", asbytes=True), np.uint8)
             gram, lp = table([r for r in rows if r["kind"] == GRAMS], 6, lambda x: np.frombuffer(x, np.float32).astype(float))
             word, count = table([r for r in rows if r["kind"] == WORDS], 8, lambda x: unplanes(x, 6).astype(np.int64))
             logs = np.log10(count + 0.1)
@@ -434,9 +460,9 @@ def _total(n_train: int, n_words: int):
             parts = []
             for lo, hi in slices(offs, STEP):
                 own, to = text[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-                score = np.add.reduceat(lp[np.searchsorted(gram, events(own, to))], to[:-1])
+                score = np.add.reduceat(lp[gram(events(own, to))], to[:-1])
                 token, row = tokens(own, to)
-                at = np.searchsorted(word, token)
+                at = word(token)
                 m = np.bincount(row, minlength=hi - lo)
                 known = np.bincount(row, count[at] > 0, minlength=hi - lo)
                 parts.append((m, known, np.bincount(row, logs[at], minlength=hi - lo) - m * base, score))

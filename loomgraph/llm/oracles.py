@@ -67,7 +67,7 @@ def item_words(x: str) -> str:
 
 
 OP2 = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS x, {item_words("coalesce(text, '')")} AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS x, {item_words("coalesce(text, '')")} AS ws FROM documents),
 i AS (SELECT item_id, ws, least(len(ws), 10) AS k FROM (SELECT item_id, {item_words("coalesce(text, '')")} AS ws FROM benchmark) WHERE len(ws) > 0),
 iw AS (SELECT DISTINCT item_id, k, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS p FROM i)),
 dw AS (SELECT rid, k, p, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM iw))),
