@@ -8,14 +8,19 @@
    repeats as a whole.
 3. Where a minimum has different runs, their bytes go to the shard of that
    minimum, so that any two equal windows meet in one shard.  The shard's suffixes
-   are sorted by induced sorting with disk-backed queues, and neighbours that share
-   ``length`` bytes are repeats.  A minimum of more than ``hot_bytes`` of different
-   runs is split further: its windows are dealt by their 128-bit digests, packed.
-4. The covered ranges go back to every copy of a run, and the bytes are removed.
+   are sorted by induced sorting; its queues carry positions with common prefixes and
+   hold ``memory`` bytes, the rest is on the task's disk.  Neighbours that share
+   ``length`` bytes are repeats.
+4. A hot group is split: a minimum of more than ``hot_bytes`` of different runs would be
+   a shard that grows with the corpus, so its windows are dealt by digest, packed, each
+   that repeats within a task as one record.
+5. The covered ranges go back to every copy of a run, and the bytes are removed.
 
 Edge cases: null and empty texts have no bytes and lose none; texts shorter than
 ``length`` lose nothing.  Repeated rows repeat each other.  Strings are judged
-on the input, across rows but never over the border of one.
+on the input, across rows but never over the border of one.  Columns named like a
+result (n_bytes, n_removed, n_spans, kept) are replaced; ``__rid`` and ``__cuts`` are
+reserved names.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, digests, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
-from .induced_sort import neighbours_share, suffix_order
+from .common import BYTE_CODE, Scratch, digests, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
+from .induced_sort import FAR, least, sorted_suffixes
 
 GRAM = 24
 
@@ -129,16 +134,27 @@ def shard_repeats(raws: list[bytes], length: int, memory: int) -> tuple[np.ndarr
     data = np.frombuffer(b"\0".join(raws) + b"\0", np.uint8)
     s = data.astype(np.uint16) + np.uint16(1)
     s[begin[1:] - 1] = 0
-    order = suffix_order(s, length, memory)
     ok = np.zeros(len(data) + 1, np.int8)
     np.add.at(ok, begin[:-1], 1)
     np.add.at(ok, begin[:-1] + np.maximum(sizes - length + 1, 0), -1)
     ok = np.cumsum(ok[:-1]) > 0
-    order = order[ok[order]]
-    twin = neighbours_share(data, order, length)
     hit = np.zeros(len(data), bool)
-    hit[order[:-1][twin]] = True
-    hit[order[1:][twin]] = True
+    last, low = -1, FAR  # the window before, and what was shared since
+    for rows in sorted_suffixes(s, length, memory):
+        pos, lcp = rows["pos"], rows["lcp"]
+        at = np.flatnonzero(ok[pos])
+        if not len(at):
+            low = min(low, lcp.min())
+            continue
+        shared = least(lcp, np.append(0, at[:-1] + 1), at)
+        shared[0] = min(shared[0], low)
+        twin = shared >= length
+        twin[0] &= last >= 0
+        mine = pos[at]
+        hit[mine[twin]] = True
+        hit[np.append(last, mine[:-1])[twin]] = True
+        last = int(mine[-1])
+        low = lcp[at[-1] + 1 :].min(initial=FAR)
     pos = np.flatnonzero(hit)
     seg = np.searchsorted(begin, pos, side="right") - 1
     return seg, pos - begin[seg]
@@ -161,6 +177,15 @@ def _sort_shard(length: int, memory: int):
 WINDOW = np.dtype([("w1", np.uint64), ("w2", np.uint64), ("seg", np.int64), ("start", np.int64)])
 
 
+def _second_hash(d: np.ndarray, length: int) -> np.ndarray:
+    """Another 64-bit hash of every window, over mixed pairs of bytes."""
+    pair = mix64(BYTE_CODE[d[:-1]] * np.uint64(3) + BYTE_CODE[d[1:]])
+    pw, inv = powers(len(d) + 1)
+    h = np.append(np.uint64(0), np.cumsum(pair * pw[: len(pair)]))
+    n = len(d) - length + 1
+    return mix64((h[length - 1 : length - 1 + n] - h[:n]) * inv[:n])
+
+
 def _twice(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``rec`` in order of its digests, and which of them have an equal neighbour."""
     rec = rec[np.lexsort((rec["w2"], rec["w1"]))]
@@ -204,7 +229,7 @@ def _window_digests(length: int, blocks: int, most: int = 1 << 19):
                 d = np.frombuffer(raw.as_py(), np.uint8)
                 at = np.arange(len(d) - length + 1)
                 rec = np.empty(len(at), WINDOW)
-                rec["w1"], rec["w2"] = (span_hash(prefix_hash(d, *code), at, at + length) for code in ((), (BYTE_CODE2,)))
+                rec["w1"], rec["w2"] = span_hash(prefix_hash(d), at, at + length), _second_hash(d, length)
                 rec["seg"], rec["start"] = seg, at
                 parts.append(rec)
                 total += len(rec)
@@ -265,7 +290,7 @@ def _remove(length: int, at: int, cover: int):
 
 
 def repeated_ranges(
-    docs: DataFrame, scratch: Scratch, final: Scratch, *, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot_bytes: int = 3 << 19, memory: int = 64 << 20
+    docs: DataFrame, scratch: Scratch, final: Scratch, *, text_col: str = "text", length: int = 400, shard_bytes: int = 4 << 20, hot_bytes: int = 4 << 20, memory: int = 4 << 20
 ) -> DataFrame:
     """(__rid, cuts): ranges [a, b) of starts of repeated windows, for rows that have any."""
     src = docs.select(F.col("__rid").alias("rid"), F.col(text_col).alias("t"))
