@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontaminate, line_dedup, quality_rules, queries, repeats
-from loomgraph.llm.induced_sort import suffix_order
+from loomgraph.llm.induced_sort import Queues, sorted_suffixes
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words string"
@@ -53,8 +53,8 @@ def test_other_scripts_references_do_not_count(spark, tmp_path):
     rows += [(30, text(other), None, "s", None), (31, text(["#$%&", "@@!!", "0123", "9876"]), "en", "s", None), (32, text(["#$%&", "@@!!", "0123", "9876"]), None, "s", None)]
     path = str(tmp_path / "langs")
     spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(path)
-    for most in (1000, 0):
-        got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(path), max_langs=most, max_repeat_pct=100).collect()}
+    for block in (1000, 1):
+        got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(path), ref_block=block, max_repeat_pct=100).collect()}
         assert all(got[i] for i in range(31)) and not got[31] and not got[32]
 
 
@@ -117,13 +117,36 @@ def test_bpe_equals_the_library(spark, tmp_path):
 
 
 @pytest.mark.parametrize("memory", [0, 64, 1 << 20])
-def test_induced_sort(memory):
+@pytest.mark.parametrize("depth", [5, 1000])
+def test_induced_sort(memory, depth):
     import numpy as np
 
-    rng = random.Random(memory)
+    rng = random.Random(memory + depth)
     for _ in range(300):
-        s = np.array([rng.randint(0, rng.choice([1, 3, 9])) for _ in range(rng.randint(1, 50))], np.uint16)
-        assert suffix_order(s, 1 << 30, memory).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        s = [rng.randint(0, rng.choice([1, 3, 9])) for _ in range(rng.randint(1, 50))]
+        s += s[: rng.choice([0, 0, 20])]
+        got = np.concatenate(list(sorted_suffixes(np.array(s, np.uint16), depth, memory)))
+        pos, lcp = got["pos"].tolist(), got["lcp"].tolist()
+        assert sorted(pos) == list(range(len(s)))
+        assert [s[i : i + depth] for i in pos] == sorted((s[i : i + depth] for i in range(len(s))), reverse=True)
+        for a, b, n in zip(pos, pos[1:], lcp[1:], strict=False):
+            k = 0
+            while k < min(depth, len(s) - max(a, b)) and s[a + k] == s[b + k]:
+                k += 1
+            assert k == n
+
+
+def test_a_shard_larger_than_its_memory_spills(monkeypatch):
+    import numpy as np
+
+    spilled = []
+    monkeypatch.setattr(Queues, "close", lambda q, close=Queues.close: spilled.append(q.spilled) or close(q))
+    rng = random.Random(1)
+    p = bytes(rng.randrange(97, 123) for _ in range(700))
+    raws = [bytes(rng.randrange(97, 123) for _ in range(30_000)) + bytes([i]) + p + bytes([i]) + bytes(rng.randrange(97, 123) for _ in range(500)) for i in range(4)]
+    seg, start = repeats.shard_repeats(raws, 400, 10_000)
+    assert {(int(a), int(b)) for a, b in zip(seg, start, strict=True)} == {(i, 30_001 + k) for i in range(4) for k in range(301)}
+    assert sum(spilled) > 10 * 10_000 and np.all(np.diff(seg) >= 0)
 
 
 @pytest.mark.parametrize("hot", [64 << 20, 500])
@@ -153,8 +176,8 @@ def test_line_dedup(spark, tmp_path):
     texts = [None, "", base + "\nshort\n\n" + base, "  " + base.upper() + " \nother unrelated line of words", base.replace("quick", "quack") + "\nshort", "x\n\n"]
     d = docs(spark, texts, tmp_path)
     out = {r.doc_id: r for r in line_dedup.dedup_lines(d).collect()}
-    assert [out[i].text for i in range(6)] == [None, "", base + "\nshort\n", "other unrelated line of words", "short", "x\n\n"]
-    assert [out[i].n_removed for i in range(6)] == [0, 0, 1, 1, 1, 0]
+    assert [out[i].text for i in range(6)] == [None, "", base + "\nshort\n", "other unrelated line of words", "", "x\n\n"]
+    assert [out[i].n_removed for i in range(6)] == [0, 0, 1, 1, 2, 0]
     assert line_dedup.dedup_lines(empty(spark, tmp_path)).count() == 0
 
 
@@ -175,13 +198,3 @@ def test_line_dedup_of_short_edited_lines(spark, tmp_path):
     want = [t if first[i] == i else "" for i, t in enumerate(texts)]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts, tmp_path)).collect()}
     assert want.count("") >= 100 and [got[i] for i in range(len(texts))] == want
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-    from conftest import SF
-
-    docs0 = queries.table(spark, SF, "documents")
-    out = corpus_pipeline.run(spark, SF).collect()
-    assert len({r.doc_id for r in out}) == len(out) and 0 < len(out) < docs0.count()
-    assert len(corpus_pipeline.STAGES) == 5 and all(r.decoded_sha256 for r in out)
