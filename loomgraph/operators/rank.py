@@ -11,11 +11,16 @@ from loomgraph.functions import text as T
 def token_budget(df: DataFrame, text_col: str, budget: int, order: list, by: list | None = None) -> DataFrame:
     """The longest prefix, in ``order``, whose token counts sum to at most ``budget``.
 
-    Without ``by`` the window is one partition: cut the input with a limit first
-    (retrieval sections have at most a few thousand rows)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(T.token_count(F.col(text_col))).over(w)
-    return df.withColumn("__sum", total).where((F.col("__sum") <= budget) & F.lit(budget > 0)).drop("__sum")
+    Of rows that have a token at most ``budget`` can stay.  The first of each group are taken
+    where the rows are, before the shuffle; the window of sums then sees few rows of any group,
+    however large it is."""
+    own = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)
+    n = T.token_count(F.col(text_col))
+    rows = df.withColumn("__n", n)
+    first = rows.where("__n > 0").withColumn("__r", F.row_number().over(own)).where(F.col("__r") <= max(budget, 0) + 1).drop("__r")
+    total = F.sum("__n").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    out = first.unionByName(rows.where("__n = 0")).withColumn("__sum", total)
+    return out.where((F.col("__sum") <= budget) & F.lit(budget > 0)).drop("__sum", "__n")
 
 
 def first_wins(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -40,34 +40,26 @@ def _said(col: str = "description"):
 
 def entity_hits(g: Graph, hits: DataFrame) -> DataFrame:
     """Hits (rank, entity_name) that are vertices, with payload and degree, in order."""
-    v = g.vertices.join(F.broadcast(hits), "entity_name")
-    near = graph.incidence(g.edges).join(F.broadcast(hits.select("entity_name")), "entity_name")
+    v = g.vertices.join(hits, "entity_name")
+    near = graph.incidence(g.edges).join(hits.select("entity_name"), "entity_name")
     degree = near.groupBy("entity_name").agg(F.count("*").alias("degree"))
     return v.join(degree, "entity_name", "left").fillna(0, ["degree"])
 
 
 def entity_edges(g: Graph, hits: DataFrame, budget: int) -> DataFrame:
     """Edges at the hit vertices, by arity and weight, cut at the token budget."""
-    names = F.broadcast(hits.select("entity_name"))
+    names = hits.select("entity_name")
     keys = graph.incidence(g.edges).join(names, "entity_name").select("edge_key").distinct()
     found = g.edges.join(keys, "edge_key", "left_semi").withColumn("said", _said())
-    return budget_prefix(found, "said", budget, edge_order())
-
-
-def budget_prefix(rows: DataFrame, text_col: str, budget: int, order: list) -> DataFrame:
-    """``token_budget`` over many rows: at most ``budget`` rows with a token can stay, so a
-    top-k takes those first and the one-partition window sees few rows."""
-    n = T.token_count(F.col(text_col))
-    some = rows.where(n > 0).orderBy(*order).limit(max(budget, 0) + 1)
-    return token_budget(some.unionByName(rows.where(n == 0)), text_col, budget, order)
+    return token_budget(found, "said", budget, edge_order())
 
 
 def entity_chunks(g: Graph, hits: DataFrame, budget: int) -> DataFrame:
     """Chunks of the hit vertices: by first citing hit, then by how many (edge, member)
     around that hit share the chunk."""
-    v = g.vertices.join(F.broadcast(hits), "entity_name").select("rank", "entity_name", F.explode("source_id").alias("chunk_id"))
+    v = g.vertices.join(hits, "entity_name").select("rank", "entity_name", F.explode("source_id").alias("chunk_id"))
     first = v.groupBy("chunk_id").agg(F.min_by(F.struct("rank", "entity_name"), "rank").alias("x")).select("chunk_id", F.col("x.rank").alias("rank"), F.col("x.entity_name").alias("entity_name"))
-    around = graph.incidence(g.edges).join(F.broadcast(hits.select("entity_name")), "entity_name")
+    around = graph.incidence(g.edges).join(hits.select("entity_name"), "entity_name")
     members = around.join(g.edges.select("edge_key", "entity_set"), "edge_key").select("entity_name", F.explode("entity_set").alias("member"))
     # a member met through several edges counts once an edge
     times = members.groupBy("entity_name", "member").agg(F.count("*").alias("n"))
@@ -76,13 +68,13 @@ def entity_chunks(g: Graph, hits: DataFrame, budget: int) -> DataFrame:
     rel = cites.groupBy("entity_name", "chunk_id").agg(F.sum("n").alias("relation_counts"))
     rows = first.join(rel, ["entity_name", "chunk_id"], "left").fillna(0, ["relation_counts"]).join(g.chunks, "chunk_id")
     order = [F.asc("rank"), F.desc("relation_counts"), F.asc("chunk_id")]
-    return budget_prefix(rows, "content", budget, order)
+    return token_budget(rows, "content", budget, order)
 
 
 def relation_edges(g: Graph, hits: DataFrame, budget: int) -> DataFrame:
     """Hit edges (rank, edge_key) by arity and weight (ties by rank), cut at the budget."""
     order = [F.desc("arity"), F.desc("weight"), F.asc("rank")]
-    found = g.edges.join(F.broadcast(hits), "edge_key").withColumn("said", _said())
+    found = g.edges.join(hits, "edge_key").withColumn("said", _said())
     return ranked(token_budget(found, "said", budget, order), "pos", order)
 
 
@@ -98,12 +90,12 @@ def relation_chunks(g: Graph, edges: DataFrame, budget: int) -> DataFrame:
     """Chunks of the kept edges by first edge, cut at the budget."""
     src = edges.select("pos", F.explode("source_id").alias("chunk_id")).groupBy("chunk_id").agg(F.min("pos").alias("pos"))
     order = [F.asc("pos"), F.asc("chunk_id")]
-    return budget_prefix(g.chunks.join(src, "chunk_id"), "content", budget, order)
+    return token_budget(g.chunks.join(src, "chunk_id"), "content", budget, order)
 
 
 def pairwise(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Hit edges of exactly two members; the filter follows the top-k."""
-    return edges.join(F.broadcast(hits), "edge_key").where(F.size("entity_set") == 2)
+    return edges.join(hits, "edge_key").where(F.size("entity_set") == 2)
 
 
 def combine(first: DataFrame, second: DataFrame, key: str, order: str = "pos") -> DataFrame:
@@ -115,7 +107,7 @@ def combine(first: DataFrame, second: DataFrame, key: str, order: str = "pos") -
 
 def chunk_context(hits: DataFrame, chunks: DataFrame, budget: int, cols: tuple[str, str] = ("chunk_id", "content")) -> DataFrame:
     """One row: the hit chunks (rank, chunk_id) in order, cut at the budget and joined."""
-    rows = chunks.join(F.broadcast(hits), cols[0])
+    rows = chunks.join(hits, cols[0])
     kept = token_budget(rows, cols[1], budget, [F.asc("rank")])
     ordered = F.array_sort(F.collect_list(F.struct("rank", F.col(cols[1]).alias("content"))))
     return kept.agg(F.array_join(F.transform(ordered, lambda x: x["content"]), T.CHUNK_JOIN).alias("context"), F.count("*").alias("n_chunks"))
