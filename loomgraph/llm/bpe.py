@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import freed
+
 #: Fixed value: the byte-level pre-tokeniser's pattern, white space by its Unicode property.
 PRE_TOKEN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 )
 RARE_SPACE = re.compile("[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 100_000
 #: Longer pieces are not worth keeping.
 MEMO_PIECE = 64
 
@@ -216,7 +218,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", keep_text: bool
                     yield pa.RecordBatch.from_arrays([*part, ids_col], [*b.schema.names[:width], "token_ids"])
                     values, offs = [], [0]
 
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(*freed(run, out))
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
@@ -236,4 +238,4 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "token_ids", out_col: str
             texts = [bpe.decode(flat[offs[k] : offs[k + 1]].tolist()) if ok[k] else None for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
-    return src.mapInArrow(run, out)
+    return src.mapInArrow(*freed(run, out))

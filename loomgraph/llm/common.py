@@ -7,6 +7,8 @@ executor costs a re-read and never the data.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -118,6 +120,24 @@ def with_row_id(df: DataFrame, scratch: Scratch, name: str = "__rid") -> DataFra
     return df.select("*", high.bitwiseOR(row).alias(name))
 
 
+def release_memory() -> None:
+    """Gives a Python worker's freed memory back: workers wait for the next task beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def freed(run: Callable, schema) -> tuple[Callable, object]:
+    """The arguments of mapInArrow, for a function whose worker gives its memory back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release_memory()
+
+    return whole, schema
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once a row."""
     return F.transform(F.array(value), body)[0]

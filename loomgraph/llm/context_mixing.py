@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, SPACE, Scratch, input_bytes, mix64, slices, text_bytes, with_row_id, word_hash, word_spans
+from .common import LOWER, MIX, SPACE, Scratch, freed, input_bytes, mix64, slices, text_bytes, with_row_id, word_hash, word_spans
 
 ORDER = 5
 INPUTS = ORDER + 2  # with a bias
@@ -372,7 +372,7 @@ def trained(blocks: int, learn_pass: Callable, rates=(0.05, 0.02)) -> Mixer:
         last = i == len(rates) - 1
         width = max(1, isqrt(blocks))
         merged = learn_pass(mixer.w.tobytes(), rate, last).select(F.pmod("block", F.lit(width)).alias("part"), "block", "sums")
-        rows = merged.repartition(width, "part").select("block", "sums").mapInArrow(_merge(width), "block long, sums binary").collect()
+        rows = merged.repartition(width, "part").select("block", "sums").mapInArrow(*freed(_merge(width), "block long, sums binary")).collect()
         if not rows:
             return mixer
         total = sum(np.frombuffer(r["sums"]) for r in sorted(rows, key=lambda r: r["block"]))
@@ -484,23 +484,23 @@ def mixing_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-bytes_in // GROUP))
     with Scratch(spark) as scratch:
         train = F.coalesce(fold != 0, F.lit(False))
-        asked = scratch.table(rows.select("rid", train.alias("train"), "t").mapInArrow(_groups(blocks), ASK))
+        asked = scratch.table(rows.select("rid", train.alias("train"), "t").mapInArrow(*freed(_groups(blocks), ASK)))
         grams = asked.where(F.col("kind") == GRAMS)
-        seen = scratch.table(grams.select("block", "data", "counts").repartition(wide, "block").mapInArrow(_events, "block long, data binary, counts binary"))
-        low = seen.mapInArrow(_triples, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+        seen = scratch.table(grams.select("block", "data", "counts").repartition(wide, "block").mapInArrow(*freed(_events, "block long, data binary, counts binary")))
+        low = seen.mapInArrow(*freed(_triples, "code long, n long")).groupBy("code").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
         low = spark.sparkContext.broadcast((np.asarray(low["code"]).astype(np.uint64), np.asarray(low["n"]).astype(np.int64)))
         sums = "block long, sums binary"
-        mixer = trained(blocks, lambda state, rate, last: seen.mapInArrow(_learn(low, state, rate, last), sums))
-        scored = seen.mapInArrow(_score_events(low, mixer), "block long, data binary, lp binary")
+        mixer = trained(blocks, lambda state, rate, last: seen.mapInArrow(*freed(_learn(low, state, rate, last), sums)))
+        scored = seen.mapInArrow(*freed(_score_events(low, mixer), "block long, data binary, lp binary"))
         questions = grams.select("block", "grp", "data", F.lit(None).cast("binary").alias("lp"))
         both = questions.unionByName(scored.select("block", F.lit(None).cast("long").alias("grp"), "data", "lp"))
-        words = asked.where(F.col("kind") == WORDS).select("block", "grp", "data", "counts").repartition(wide, "block").mapInArrow(_answer_words, ANSWER)
+        words = asked.where(F.col("kind") == WORDS).select("block", "grp", "data", "counts").repartition(wide, "block").mapInArrow(*freed(_answer_words, ANSWER))
         words = scratch.table(words)
         n_train, n_words = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("v")).first())
-        answers = both.repartition(wide, "block").mapInArrow(_answer_grams, ANSWER).unionByName(words.where("grp is not null")).drop("n", "v")
+        answers = both.repartition(wide, "block").mapInArrow(*freed(_answer_grams, ANSWER)).unionByName(words.where("grp is not null")).drop("n", "v")
         texts = asked.where(F.col("kind") == TEXT).select("kind", "grp", "data", F.lit(None).cast("binary").alias("value"), "rids", "sizes")
         got = "rid long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double"
-        done = final.table(texts.unionByName(answers).repartition(wide, "grp").mapInArrow(_total(n_train, n_words), got))
+        done = final.table(texts.unionByName(answers).repartition(wide, "grp").mapInArrow(*freed(_total(n_train, n_words), got)))
         low.unpersist()
     held = F.coalesce(fold == 0, F.lit(False)).alias("held_out")
     out = rows.select("rid", "id", held).join(done, "rid")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, shared_dir
+from .common import Scratch, freed, shared_dir
 
 TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -51,7 +51,7 @@ def item_windows(benchmark: DataFrame, window: int, item_col: str, text_col: str
                     wins.append(b" ".join(w[k : k + window]).decode("latin-1"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(wins, pa.string())], ["item", "window"])
 
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(run, "item string, window string")
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).mapInArrow(*freed(run, "item string, window string"))
     rows = rows.distinct()
     # (window, part): a window's ids are never one unbounded list
     parts = rows.groupBy("window").agg(F.ceil(F.count("*") / PART).alias("parts"))
@@ -169,13 +169,13 @@ def decontaminate(
     for k in range(blocks):
         part = wins.where(F.col("block") == k)
         rows = spark.sparkContext.broadcast([(r["window"], r["items"]) for r in part.toLocalIterator()])
-        out = out.mapInArrow(_pass(rows, k > 0, text_col), struct)
+        out = out.mapInArrow(*freed(_pass(rows, k > 0, text_col), struct))
         if k + 1 < blocks:
             out = scratch.table(out)
     extra = []
     if spans:
         full = spark.createDataFrame([], f"struct<{schema},__spans:array<struct<start:bigint,end:bigint>>>").schema
-        out = out.mapInArrow(_spans(text_col), full)
+        out = out.mapInArrow(*freed(_spans(text_col), full))
         extra = [F.col("__spans").alias("spans")]
     hit = F.aggregate("__hits", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     return out.select(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prefix_hash, slices, span_hash, text_bytes, word_spans
+from .common import freed, mix64, prefix_hash, slices, span_hash, text_bytes, word_spans
 
 #: Families of closely related languages, by ISO 639-1 code.
 FAMILIES = {
@@ -192,7 +192,7 @@ def train(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, max_tra
     share = max(1, max_train // len(counts))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit("language id")), F.lit(1_000_000))
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, int(min(1.0, share / r["count"]) * 1_000_000)))])
-    got = rows.where(part < F.element_at(shares, F.col(lang_col))).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(_sparse, "lang string, at array<int>, v array<float>").collect()
+    got = rows.where(part < F.element_at(shares, F.col(lang_col))).select(F.col(lang_col).alias("lang"), text_col).mapInArrow(*freed(_sparse, "lang string, at array<int>, v array<float>")).collect()
     got = sorted({(r["lang"], tuple(r["at"]), tuple(r["v"])) for r in got if r["at"]})
     if not got:
         return None
@@ -230,4 +230,4 @@ def language_id(
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held, text_col).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return docs.select(id_col, held, text_col).mapInArrow(*freed(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Scratch, block_count, digests, mix64, slices, text_bytes, with_row_id
+from .common import LOWER, SPACE, Scratch, block_count, digests, freed, mix64, slices, text_bytes, with_row_id
 from .linking import link_components
 
 HASHES, BANDS, ROWS = 48, 18, 5
@@ -128,7 +128,9 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: A packed band: the key's upper half (its block tells the rest) and 48 bits of the line's
 #: digest; a stranger of the same 48 bits is one candidate more, which the check rules out.
-REC = np.dtype([("key", np.uint32), ("low", np.uint32), ("high", np.uint16)])
+REC = np.dtype([("key", np.uint32), ("low", np.uint32), ("high", np.uint16), ("size", np.uint16)])
+#: Sizes are packed in steps of this many per doubling, rounded down.
+STEPS = 512
 #: What a packed row holds: band keys of one line, keys that stand for several, pairs for all.
 ONE, STANDS, SEVERAL = 0, 1, 2
 
@@ -138,31 +140,32 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(x))[: len(cut)].astype(int)
 
 
-def _packed(key: np.ndarray, h: np.ndarray) -> bytes:
+def _packed(key: np.ndarray, h: np.ndarray, size: np.ndarray) -> bytes:
     rec = np.empty(len(key), REC)
+    rec["size"] = size
     rec["key"], rec["low"], rec["high"] = key >> np.uint64(32), h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
     return rec.tobytes()
 
 
-def _bands(gram: int, blocks: int, most: int = 1 << 20):
+def _bands(gram: int, blocks: int, most: int = 1 << 19):
     """(text) to packed band keys with the line's digest, by block of the key; a digest
     that the task remembers is not sent again."""
 
-    def flush(keys: list[np.ndarray], lines: list[np.ndarray]) -> pa.RecordBatch:
-        key, h = np.concatenate(keys), np.concatenate(lines)
+    def flush(keys: list[np.ndarray], lines: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        key, h, size = np.concatenate(keys), np.concatenate(lines), np.concatenate(sizes)
         order = np.lexsort((h, key))
-        key, h = key[order], h[order]
+        key, h, size = key[order], h[order], size[order]
         block = (key % np.uint64(blocks)).astype(np.int64)
         begin, end = _runs(key)
         many = np.repeat(end - begin > 1, end - begin)
         out: list[tuple[int, bytes, int]] = []
         for kind, at in ((ONE, np.flatnonzero(~many)), (STANDS, begin[end - begin > 1]), (SEVERAL, np.flatnonzero(many))):
             at = at[np.argsort(block[at], kind="stable")]
-            out += [(int(block[at[a]]), _packed(key[at[a:z]], h[at[a:z]]), kind) for a, z in zip(*_runs(block[at]), strict=True)]
+            out += [(int(block[at[a]]), _packed(key[at[a:z]], h[at[a:z]], size[at[a:z]]), kind) for a, z in zip(*_runs(block[at]), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["block", "data", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, lines, total = np.zeros(0, np.uint64), [], [], 0
+        seen, keys, lines, sizes, total = np.zeros(0, np.uint64), [], [], [], 0
         for _, low, start, end, _, _ in _spans(batches, gram, 0):
             h, one = np.unique(digests(low, start, end)[:, 0].view(np.uint64) >> np.uint64(16), return_index=True)
             new = ~np.isin(h, seen, assume_unique=True)
@@ -173,72 +176,109 @@ def _bands(gram: int, blocks: int, most: int = 1 << 20):
             by = np.argsort(one)
             keys.append(signatures(low, start[one[by]], end[one[by]], gram).ravel())
             lines.append(np.repeat(h[by], BANDS))
+            grams = distinct_grams(low, start[one[by]], end[one[by]], gram)
+            sizes.append(np.repeat(np.minimum(np.log2(grams) * STEPS, 65535).astype(np.uint16), BANDS))
             total += len(keys[-1])
             if total >= most:
-                yield flush(keys, lines)
-                keys, lines, total = [], [], 0
+                yield flush(keys, lines, sizes)
+                keys, lines, sizes, total = [], [], [], 0
         if keys:
-            yield flush(keys, lines)
+            yield flush(keys, lines, sizes)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block's packed band keys to (key, h) of the keys that two lines or more have."""
+def _shared(pct: int):
+    """A block's packed band keys to (key, h) of the keys that two lines or more have; a line
+    goes where no other of its key is of a similar size."""
+    near = int(np.ceil(np.log2(100 / pct) * STEPS)) + 1
 
-    def read(block: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def read(block: int, data: bytes) -> tuple[np.ndarray, ...]:
         rec = np.frombuffer(data, REC)
-        return rec["key"].astype(np.int64) | block % (1 << 31) << 32, rec["low"].astype(np.int64) | rec["high"].astype(np.int64) << 32
+        return rec["key"].astype(np.int64) | block % (1 << 31) << 32, rec["low"].astype(np.int64) | rec["high"].astype(np.int64) << 32, rec["size"].astype(np.int64)
 
     def rows(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(h[a : a + (1 << 16)])], ["key", "h"])
 
-    keys, lines, stands = [], [], []
-    for b in batches:
-        for block, data, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            key, h = read(block, data)
-            if kind == SEVERAL:
-                yield from rows(key, h)
-            else:
-                keys.append(key)
-                lines.append(h)
-                stands.append(np.full(len(key), kind == STANDS))
-    if not keys:
-        return
-    key, h, several = np.concatenate(keys), np.concatenate(lines), np.concatenate(stands)
-    keys.clear()
-    lines.clear()
-    order = np.lexsort((h, key))
-    key, h, several = key[order], h[order], several[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
-    begin, end = _runs(key)
-    more = (np.add.reduceat(new.astype(np.int64), begin) > 1) | (np.add.reduceat(several.astype(np.int64), begin) > 0)
-    keep = np.repeat(more, end - begin) & new
-    yield from rows(key[keep], h[keep])
+    def alike(key: np.ndarray, h: np.ndarray, size: np.ndarray, stands: np.ndarray) -> np.ndarray:
+        """In order of (key, size, h): whether the row before or after has the key, a similar size
+        and other content, or stands for more lines than itself."""
+        same = (key[1:] == key[:-1]) & ((size[1:] - size[:-1] <= near) | stands[1:] | stands[:-1]) & (h[1:] != h[:-1])
+        return np.append(same, False) | np.append(False, same)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, stands = [], []
+        for b in batches:
+            for block, data, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = read(block, data)
+                if kind == SEVERAL:
+                    yield from rows(got[0], got[1])
+                else:
+                    parts.append(got)
+                    stands.append(np.full(len(got[0]), kind == STANDS))
+        if not parts:
+            return
+        key, h, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        several = np.concatenate(stands)
+        parts.clear()
+        # a key of which several lines met elsewhere keeps all it has
+        begin, end = _runs(key[np.argsort(key, kind="stable")])
+        order = np.lexsort((several, h, size, key))
+        key, h, size, several = key[order], h[order], size[order], several[order]
+        many = np.repeat(np.add.reduceat(several.astype(np.int64), begin) > 0, end - begin)
+        new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
+        key, h, size, several, many = key[new], h[new], size[new], several[new], many[new]
+        keep = many | alike(key, h, size, several)
+        yield from rows(key[keep], h[keep])
 
-def gram_set(text: str, gram: int) -> np.ndarray:
-    """Sorted distinct shingles of a line, whole (up to 8 bytes) as integers."""
-    low = LOWER[np.frombuffer(text.encode(), np.uint8)]
-    solid = np.flatnonzero(~SPACE[low])
-    low = low[solid[0] : solid[-1] + 1].astype(np.uint64)
-    x = np.zeros(len(low) - gram + 1, np.uint64)
+    return run
+
+
+def line_grams(raw: bytes, gram: int) -> np.ndarray:
+    """The whole shingles (up to 8 bytes) at every position of some bytes, as integers."""
+    low = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    x = np.zeros(max(len(low) - gram + 1, 0), np.uint64)
     for j in range(gram):
         x |= low[j : j + len(x)] << np.uint64(8 * j)
+    return x
+
+
+def distinct_grams(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
+    """The number of distinct shingles of each line."""
+    n = end - start - gram + 1
+    codes = gram_codes(low, gram)
+    own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+    both = np.sort(own << np.uint64(32) | codes[at].astype(np.uint64))
+    new = np.append(True, both[1:] != both[:-1])
+    return np.bincount((both[new] >> np.uint64(32)).astype(np.int64), minlength=len(n))
+
+
+def gram_set(text: str, gram: int) -> np.ndarray:
+    """Sorted distinct shingles of a line."""
+    x = line_grams(text.encode().translate(TABLE).strip(BLANK), gram)
     x.sort()
     return x[np.append(True, x[1:] != x[:-1])]
 
 
+TABLE, BLANK = bytes(LOWER.tolist()), bytes(np.flatnonzero(SPACE).tolist())
 #: Longs of a sketch: each shingle of a line sets one of their bits.
 SKETCH = 16
 
 
-def sketch(grams: np.ndarray) -> np.ndarray:
-    at = (mix64(grams) >> np.uint64(56)).astype(np.int64) % (64 * SKETCH)
-    bits = np.zeros(64 * SKETCH, np.uint8)
-    bits[at] = 1
-    return np.packbits(bits).view(np.int64)
+def sketches(lines: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of distinct shingles and sketch of each line (lower-cased, trimmed)."""
+    n = np.array([len(x) - gram + 1 for x in lines], np.int64)
+    grams = np.concatenate([line_grams(x, gram) for x in lines])
+    own = np.repeat(np.arange(len(lines)), n)
+    order = np.lexsort((grams, own))
+    grams, own = grams[order], own[order]
+    new = np.append(True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]))
+    grams, own = grams[new], own[new]
+    bits = np.zeros((len(lines), 64 * SKETCH), np.uint8)
+    bits[own, (mix64(grams) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)] = 1
+    return np.bincount(own, minlength=len(lines)), np.packbits(bits, axis=1).view(np.int64)
 
 
 def may_match(pct: int):
@@ -255,28 +295,35 @@ def may_match(pct: int):
     return test
 
 
-def _pick(gram: int):
+def _pick(gram: int, most: int = 1 << 19):
     """(text, wanted: [(cid, line)]) to (cid, line text, number of shingles, sketch)."""
+    names = ["cid", "t", "size", *[f"s{i}" for i in range(SKETCH)]]
+
+    def flush(cids: list, texts: list[str], lines: list[bytes]) -> pa.RecordBatch:
+        sizes, own = sketches(lines, gram)
+        cols = [pa.array(cids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes), *(pa.array(np.ascontiguousarray(x)) for x in own.T)]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids, texts, lines, total = [], [], [], 0
         for b in batches:
-            cids, texts, sizes, bits = [], [], [], []
             for t, want in zip(b.column(0), b.column(1).to_pylist(), strict=True):
                 parts = t.as_py().split("\n")
                 for x in want:
-                    grams = gram_set(parts[x["line"]], gram)
                     cids.append(x["cid"])
                     texts.append(parts[x["line"]])
-                    sizes.append(len(grams))
-                    bits.append(sketch(grams))
-            own = np.array(bits, np.int64).reshape(-1, SKETCH)
-            cols = [pa.array(cids, pa.int64()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), *(pa.array(own[:, i]) for i in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(cols, ["cid", "t", "size", *[f"s{i}" for i in range(SKETCH)]])
+                    lines.append(texts[-1].encode().translate(TABLE).strip(BLANK))
+                    total += len(lines[-1])
+                if total >= most:
+                    yield flush(cids, texts, lines)
+                    cids, texts, lines, total = [], [], [], 0
+        if cids:
+            yield flush(cids, texts, lines)
 
     return run
 
 
-def _verify(gram: int, pct: int, kept: int = 4096):
+def _verify(gram: int, pct: int, kept: int = 1024):
     """(a, b, text a, text b) to the pairs at or above the threshold; the shingle sets of
     the last ``kept`` lines are remembered, as pairs come in groups."""
 
@@ -333,24 +380,24 @@ def _rebuild(text_at: int, drop_at: int):
 def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: int) -> DataFrame:
     """src: (rid, id, t).  (__rid, lines): the numbers of the lines to remove, for rows that lose any."""
     kind, blocks = src.schema["id"].dataType.simpleString(), block_count(src)
-    lines = scratch.table(src.select("rid", "id", "t").mapInArrow(_lines, f"rid long, id {kind}, line int, h1 long, h2 long"))
+    lines = scratch.table(src.select("rid", "id", "t").mapInArrow(*freed(_lines, f"rid long, id {kind}, line int, h1 long, h2 long")))
     place = F.struct(F.col("id").isNull().alias("o"), "id", "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    packed = src.select("t").mapInArrow(_bands(gram, blocks), "block long, data binary, kind int")
-    shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(_shared, "key long, h long").distinct())
+    packed = src.select("t").mapInArrow(*freed(_bands(gram, blocks), "block long, data binary, kind int"))
+    shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(*freed(_shared(pct), "key long, h long")).distinct())
     buckets = shared.join(classes.select(F.shiftrightunsigned("h1", 16).alias("h"), "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
     buckets = scratch.table(buckets)
     names = [f"s{i}" for i in range(SKETCH)]
     longs = ", ".join(f"{x} long" for x in names)
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
-    texts = scratch.table(src.select("rid", "t").join(want, "rid").select("t", "w").mapInArrow(_pick(gram), f"cid long, t string, size long, {longs}"))
+    texts = scratch.table(src.select("rid", "t").join(want.hint("merge"), "rid").select("t", "w").mapInArrow(*freed(_pick(gram), f"cid long, t string, size long, {longs}")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("t").alias("ta"))
         b = texts.select(F.col("cid").alias("b"), F.col("t").alias("tb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(gram, pct), "src long, dst long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(*freed(_verify(gram, pct), "src long, dst long"))
 
     shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *names).alias("n"))
     labels = link_components(buckets, shapes, verify, may_match(pct), scratch)
@@ -363,7 +410,7 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
     alike = scratch.table(alike.select("h1", "h2", "comp", "first"))
     best = scratch.table(alike.groupBy("comp").agg(F.min("first").alias("best")).select("comp", F.col("best.rid").alias("r"), F.col("best.line").alias("l")))
     rule = scratch.table(alike.join(best, "comp").select("h1", "h2", "r", "l"))
-    gone = lines.join(rule, ["h1", "h2"]).where("rid <> r or line <> l")
+    gone = lines.join(rule.hint("merge"), ["h1", "h2"]).where("rid <> r or line <> l")
     return final.table(gone.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("__lines")))
 
 
@@ -382,6 +429,6 @@ def dedup_lines(
         own = with_row_id(docs.select(*keep), final)
         src = own.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         gone = _removed(src, scratch, final, pct, gram)
-    df = own.join(gone, "__rid", "left").select(*keep, "__lines")
+    df = own.join(gone.hint("merge"), "__rid", "left").select(*keep, "__lines")
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_removed", "long")
-    return df.mapInArrow(_rebuild(keep.index(text_col), len(keep)), schema)
+    return df.mapInArrow(*freed(_rebuild(keep.index(text_col), len(keep)), schema))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, Scratch, block_count, mix64, slices, text_bytes, with_row_id, word_shingles
+from .common import MIX, Scratch, block_count, freed, mix64, slices, text_bytes, with_row_id, word_shingles
 from .linking import link_components
 
 FLUSH = 1 << 20
@@ -205,9 +205,9 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def partner_counts(rows: DataFrame, sets, blocks: int, pct: int) -> DataFrame:
     """(rid, n, count, f1, f2) of every row of (rid, text)."""
-    packed = rows.mapInArrow(_ship(sets, blocks, pct), f"block int, grp long, data binary, {HEADS}")
-    counted = packed.repartition(blocks, "block").mapInArrow(_count, COUNTS)
-    return counted.repartition(blocks, "grp").mapInArrow(_sum, "rid long, n long, count long, f1 long, f2 long")
+    packed = rows.mapInArrow(*freed(_ship(sets, blocks, pct), f"block int, grp long, data binary, {HEADS}"))
+    counted = packed.repartition(blocks, "block").mapInArrow(*freed(_count, COUNTS))
+    return counted.repartition(blocks, "grp").mapInArrow(*freed(_sum, "rid long, n long, count long, f1 long, f2 long"))
 
 
 def can_link(pct: int):
@@ -413,16 +413,16 @@ def _linked(src: DataFrame, scratch: Scratch, final: Scratch, k: int, pct: int)
     counts = final.table(partner_counts(src.select("rid", "t"), _sets_of_text(k), blocks, pct))
     may = scratch.table(counts.where(can_link(pct)).select("rid", "n", "f1", "f2"))
     classes = scratch.table(may.groupBy("f1", "f2", "n").agg(F.min("rid").alias("rep")))
-    reps = scratch.table(src.select("rid", "t").join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi").mapInArrow(_sets_table(k), "rid long, n long, vals array<long>"))
+    reps = scratch.table(src.select("rid", "t").join(classes.select(F.col("rep").alias("rid")).hint("merge"), "rid", "left_semi").mapInArrow(*freed(_sets_table(k), "rid long, n long, vals array<long>")))
 
-    packed = reps.mapInArrow(_ship_sets(blocks), "block int, grp long, data binary, rids binary, sizes binary, local binary")
-    listed = packed.repartition(blocks, "block").mapInArrow(_frequencies, "grp long, data binary, rids binary, sizes binary, local binary")
+    packed = reps.mapInArrow(*freed(_ship_sets(blocks), "block int, grp long, data binary, rids binary, sizes binary, local binary"))
+    listed = packed.repartition(blocks, "block").mapInArrow(*freed(_frequencies, "grp long, data binary, rids binary, sizes binary, local binary"))
     longs = ", ".join(f"{x} long" for x in SKETCHES)
-    shaped = listed.repartition(blocks, "grp").mapInArrow(_assemble(pct), f"rid long, n long, own long, {longs}, lists double, score double, prefix array<long>")
+    shaped = listed.repartition(blocks, "grp").mapInArrow(*freed(_assemble(pct), f"rid long, n long, own long, {longs}, lists double, score double, prefix array<long>"))
     shaped = scratch.table(shaped)
     stat = shaped.agg(F.sum("lists").alias("x"), F.sum(F.col("n") - F.col("own")).alias("m")).first()
     bound = light_boundary((stat["m"] or 0) / (stat["x"] or 1), pct)
-    light = reps.where(F.col("n").between(1, bound)).mapInArrow(_subsets(pct), "key long, id long").distinct().withColumn("score", F.lit(0.0))
+    light = reps.where(F.col("n").between(1, bound)).mapInArrow(*freed(_subsets(pct), "key long, id long")).distinct().withColumn("score", F.lit(0.0))
     heavy = shaped.where(F.col("n") >= least_overlap(bound + 1, pct)).select(F.explode("prefix").alias("key"), F.col("rid").alias("id"), "score")
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, MIX, SPACE, Scratch, mix64, prefix_hash, slices, span_hash, text_bytes, word_spans
+from .common import LOWER, MIX, SPACE, Scratch, freed, mix64, prefix_hash, slices, span_hash, text_bytes, word_spans
 from .language_id import train_rows
 
 #: Short common words of four languages.
@@ -194,7 +194,7 @@ def quality_scores(
     # stored with the statistics, so one numbering holds
     src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    stats = scratch.table(src.mapInArrow(_stats, f"rid long, id {kind}, x array<float>"))
+    stats = scratch.table(src.mapInArrow(*freed(_stats, f"rid long, id {kind}, x array<float>")))
     m = stats.agg(*[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(NAMES)], *[F.stddev_pop(F.col("x")[i]).alias(f"d{i}") for i in range(NAMES)]).first()
     fourier = Fourier(np.array([m[f"m{i}"] or 0.0 for i in range(NAMES)]), np.array([m[f"d{i}"] or 0.0 for i in range(NAMES)]), dim)
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("y"))
@@ -203,10 +203,10 @@ def quality_scores(
     fit, calibrate = known.where(~apart), known.where(apart)
     if fit.isEmpty() or calibrate.isEmpty():
         fit = calibrate = known
-    parts = fit.select("x", "y").mapInArrow(_equations(fourier), "m binary")
+    parts = fit.select("x", "y").mapInArrow(*freed(_equations(fourier), "m binary"))
     # a tree of sums: no task adds more matrices than the square root of their number
     width = max(1, isqrt(fit.rdd.getNumPartitions()))
-    parts = parts.repartition(width).mapInArrow(_add, "m binary").repartition(max(1, isqrt(width))).mapInArrow(_add, "m binary").collect()
+    parts = parts.repartition(width).mapInArrow(*freed(_add, "m binary")).repartition(max(1, isqrt(width))).mapInArrow(*freed(_add, "m binary")).collect()
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out")
     if not parts:
         return stats.select(F.col("id").alias(id_col), held, F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
@@ -215,9 +215,9 @@ def quality_scores(
     reg = np.eye(dim + 1) * ridge * n
     reg[dim, dim] = 0
     beta = np.linalg.solve(total[:, :-1] + reg + 1e-9 * np.eye(dim + 1), total[:, -1])
-    raw = calibrate.select("rid", "id", "x").mapInArrow(_scores(fourier, beta), f"rid long, id {kind}, s double").join(y, "id")
+    raw = calibrate.select("rid", "id", "x").mapInArrow(*freed(_scores(fourier, beta), f"rid long, id {kind}, s double")).join(y, "id")
     grid = raw.groupBy(F.round(F.col("s") * GRID).cast("int").alias("g")).agg(F.avg("y").alias("y"), F.count("*").alias("w")).orderBy("g").collect()
     knots = isotonic(np.array([r["g"] / GRID for r in grid]), np.array([r["y"] for r in grid]), np.array([float(r["w"]) for r in grid]))
     scratch.drop(known)
-    out = stats.mapInArrow(_scores(fourier, beta, knots), f"rid long, id {kind}, s double")
+    out = stats.mapInArrow(*freed(_scores(fourier, beta, knots), f"rid long, id {kind}, s double"))
     return out.select(F.col("id").alias(id_col), held, F.col("s").alias("score"), (F.col("s") >= 0.5).cast("int").alias("predicted"))

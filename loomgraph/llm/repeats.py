@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, Scratch, digests, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
+from .common import BYTE_CODE, Scratch, digests, freed, mix64, powers, prefix_hash, slices, span_hash, text_bytes, with_row_id
 from .induced_sort import FAR, least, sorted_suffixes
 
 GRAM = 24
@@ -294,7 +294,7 @@ def repeated_ranges(
 ) -> DataFrame:
     """(__rid, cuts): ranges [a, b) of starts of repeated windows, for rows that have any."""
     src = docs.select(F.col("__rid").alias("rid"), F.col(text_col).alias("t"))
-    runs = scratch.table(src.mapInArrow(_runs(length), "rid long, start long, size long, v long, many boolean, g1 long, g2 long"))
+    runs = scratch.table(src.mapInArrow(*freed(_runs(length), "rid long, start long, size long, v long, many boolean, g1 long, g2 long")))
     twice = runs.groupBy("v").agg((F.count("*") + F.max(F.col("many").cast("int"))).alias("occ")).where("occ > 1").select("v")
     cand = scratch.table(runs.join(twice, "v"))
     segs = cand.groupBy("v", "g1", "g2").agg(F.count("*").alias("copies"), F.max("many").alias("many"), F.min(F.struct("rid", "start", "size")).alias("one"))
@@ -313,14 +313,14 @@ def repeated_ranges(
         ).alias("x"),
     )
     want = todo.groupBy("rid").agg(F.collect_list("x").alias("w"))
-    pieces = src.join(want, "rid").select("t", "w").mapInArrow(_cut(length), "block long, seg long, raw binary")
+    pieces = src.join(want, "rid").select("t", "w").mapInArrow(*freed(_cut(length), "block long, seg long, raw binary"))
     hot = mixed.where(F.col("bytes") > hot_bytes).limit(1).count() > 0
     if hot:
         pieces = scratch.table(pieces)
-    found = pieces.where("block >= 0").repartition(blocks, "block").mapInArrow(_sort_shard(length, memory), "seg long, a long, b long")
+    found = pieces.where("block >= 0").repartition(blocks, "block").mapInArrow(*freed(_sort_shard(length, memory), "seg long, a long, b long"))
     if hot:
-        packed = pieces.where("block < 0").mapInArrow(_window_digests(length, blocks), "block long, seg long, a long, b long, data binary")
-        found = found.unionByName(packed.repartition(blocks, "block").mapInArrow(_match_digests, "seg long, a long, b long"))
+        packed = pieces.where("block < 0").mapInArrow(*freed(_window_digests(length, blocks), "block long, seg long, a long, b long, data binary"))
+        found = found.unionByName(packed.repartition(blocks, "block").mapInArrow(*freed(_match_digests, "seg long, a long, b long")))
     whole = segs.where("copies > 1").select("seg", F.lit(0).cast("long").alias("a"), F.col("one.size").alias("b"))
     part = found.join(segs.where("copies > 1").select("seg"), "seg", "left_anti")
     cover = scratch.table(whole.unionByName(part)).join(segs.select("seg", "v", "g1", "g2"), "seg").select("v", "g1", "g2", "a", "b")
@@ -337,4 +337,4 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", **options) -> Dat
         cuts = repeated_ranges(rows, scratch, final, text_col=text_col, **options)
     df = rows.join(cuts, "__rid", "left").select(*keep, F.col("cuts").alias("__cuts"))
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
-    return df.mapInArrow(_remove(length=options.get("length", 400), at=keep.index(text_col), cover=len(keep)), schema)
+    return df.mapInArrow(*freed(_remove(length=options.get("length", 400), at=keep.index(text_col), cover=len(keep)), schema))
