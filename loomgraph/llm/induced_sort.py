@@ -247,7 +247,7 @@ def induce(s: np.ndarray, stype: np.ndarray, seeds: np.ndarray, seed_lcp: np.nda
 
 def _ranks(names: np.ndarray, size: np.ndarray, depth: int) -> list[np.ndarray]:
     """Ranks by 1, 2, 4, ... names, until all are distinct or equal ones agree on ``depth`` values."""
-    out, n, step = [names], len(names), 1
+    out, n, step = [names.astype(np.int32)], len(names), 1
     reach = np.append(np.cumsum(size), np.full(1, size.sum()))
     while step < n and int(out[-1].max()) + 1 < n:
         ends = reach[np.minimum(np.arange(n) + step - 1, n - 1)] - np.append(0, reach)[:n]
@@ -255,7 +255,7 @@ def _ranks(names: np.ndarray, size: np.ndarray, depth: int) -> list[np.ndarray]:
             break
         nxt = np.full(n, -1, np.int64)
         nxt[: n - step] = out[-1][step:]
-        out.append(np.unique(out[-1] * (n + 2) + nxt + 1, return_inverse=True)[1].astype(np.int64))
+        out.append(np.unique(out[-1].astype(np.int64) * (n + 2) + nxt + 1, return_inverse=True)[1].astype(np.int32))
         step *= 2
     return out
 

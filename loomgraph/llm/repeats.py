@@ -290,7 +290,7 @@ def _remove(length: int, at: int, cover: int):
 
 
 def repeated_ranges(
-    docs: DataFrame, scratch: Scratch, final: Scratch, *, text_col: str = "text", length: int = 400, shard_bytes: int = 4 << 20, hot_bytes: int = 4 << 20, memory: int = 4 << 20
+    docs: DataFrame, scratch: Scratch, final: Scratch, *, text_col: str = "text", length: int = 400, shard_bytes: int = 2 << 20, hot_bytes: int = 2 << 20, memory: int = 1 << 20
 ) -> DataFrame:
     """(__rid, cuts): ranges [a, b) of starts of repeated windows, for rows that have any."""
     src = docs.select(F.col("__rid").alias("rid"), F.col(text_col).alias("t"))
