@@ -263,12 +263,16 @@ def gram_set(text: str, gram: int) -> np.ndarray:
 
 
 TABLE, BLANK = bytes(LOWER.tolist()), bytes(np.flatnonzero(SPACE).tolist())
-#: Longs of a sketch: each shingle of a line sets one of their bits.
-SKETCH = 16
+#: Longs of a sketch (each shingle of a line sets one of their bits), and of the finer one that
+#: rules pairs out where a group is compared in full.
+SKETCH, FINE = 16, 64
+
+
+COARSE_BITS, FINE_BITS = [f"s{i}" for i in range(SKETCH)], [f"f{i}" for i in range(FINE)]
 
 
 def sketches(lines: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles and sketch of each line (lower-cased, trimmed)."""
+    """Number of distinct shingles, and both sketches, of each line (lower-cased, trimmed)."""
     n = np.array([len(x) - gram + 1 for x in lines], np.int64)
     grams = np.concatenate([line_grams(x, gram) for x in lines])
     own = np.repeat(np.arange(len(lines)), n)
@@ -276,28 +280,30 @@ def sketches(lines: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
     grams, own = grams[order], own[order]
     new = np.append(True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]))
     grams, own = grams[new], own[new]
-    bits = np.zeros((len(lines), 64 * SKETCH), np.uint8)
-    bits[own, (mix64(grams) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH)] = 1
-    return np.bincount(own, minlength=len(lines)), np.packbits(bits, axis=1).view(np.int64)
+    bits = np.zeros((len(lines), 64 * FINE), np.uint8)
+    bits[own, (mix64(grams) >> np.uint64(40)).astype(np.int64) % (64 * FINE)] = 1
+    fine = np.packbits(bits, axis=1).view(np.int64)
+    coarse = np.bitwise_or.reduce(fine.reshape(len(lines), -1, SKETCH), axis=1)
+    return np.bincount(own, minlength=len(lines)), np.concatenate([coarse, fine], axis=1)
 
 
-def may_match(pct: int):
+def may_match(pct: int, size: int = SKETCH):
     """Whether two (size, sketch) can be at ``pct``; never false for a pair that is.
 
     At similarity p at most (a + b)(1 - p) / (1 + p) shingles are in one set only, and a bit
     that only one sketch has stands for one of them at least."""
 
     def test(a: Column, b: Column) -> Column:
-        odd = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(SKETCH)), F.lit(0))
+        odd = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(size)), F.lit(0))
         fits = F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * pct
         return fits & (odd * (100 + pct) <= (a["size"] + b["size"]) * (100 - pct))
 
     return test
 
 
-def _pick(gram: int, most: int = 1 << 19):
+def _pick(gram: int, most: int = 1 << 18):
     """(text, wanted: [(cid, line)]) to (cid, line text, number of shingles, sketch)."""
-    names = ["cid", "t", "size", *[f"s{i}" for i in range(SKETCH)]]
+    names = ["cid", "t", "size", *COARSE_BITS, *FINE_BITS]
 
     def flush(cids: list, texts: list[str], lines: list[bytes]) -> pa.RecordBatch:
         sizes, own = sketches(lines, gram)
@@ -388,8 +394,7 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
     shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(*freed(_shared(pct), "key long, h long")).distinct())
     buckets = shared.join(classes.select(F.shiftrightunsigned("h1", 16).alias("h"), "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
     buckets = scratch.table(buckets)
-    names = [f"s{i}" for i in range(SKETCH)]
-    longs = ", ".join(f"{x} long" for x in names)
+    longs = ", ".join(f"{x} long" for x in COARSE_BITS + FINE_BITS)
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
     texts = scratch.table(src.select("rid", "t").join(want.hint("merge"), "rid").select("t", "w").mapInArrow(*freed(_pick(gram), f"cid long, t string, size long, {longs}")))
@@ -399,8 +404,10 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
         b = texts.select(F.col("cid").alias("b"), F.col("t").alias("tb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(*freed(_verify(gram, pct), "src long, dst long"))
 
-    shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *names).alias("n"))
-    labels = link_components(buckets, shapes, verify, may_match(pct), scratch)
+    shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *COARSE_BITS).alias("n"))
+    fine = F.struct("size", *[F.col(x).alias(f"s{i}") for i, x in enumerate(FINE_BITS)])
+    finer = texts.select(F.col("cid").alias("id"), fine.alias("n")), may_match(pct, FINE)
+    labels = link_components(buckets, shapes, verify, may_match(pct), scratch, finer)
     alike = classes.where("m > 1")
     if labels is not None:
         alike = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left").where("m > 1 or comp is not null")

@@ -31,8 +31,10 @@ def link_components(
     verify: Callable[[DataFrame], DataFrame],
     may_match: Callable[[Column, Column], Column],
     scratch: Scratch,
+    finer: tuple[DataFrame, Callable[[Column, Column], Column]] | None = None,
 ) -> DataFrame | None:
     """buckets: (key, id, score), distinct.  shapes: (id, n), n a struct for ``may_match``.
+    finer: larger shapes and their test, for the pairs that are compared in full.
     verify: pairs (a, b) to links (src, dst).  Returns (id, comp) of linked ids."""
     sets = buckets.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     keys = sets.where("m > 1").groupBy("m", "x", "y").agg(F.min("key").alias("key")).select("key")
@@ -46,9 +48,10 @@ def link_components(
             return labels
         full = last or size["pairs"] <= FEW * size["rows"]
         if full:
-            one = state.join(shapes, "id").select("key", "id", "comp", "n")
+            sizes, fits = finer or (shapes, may_match)
+            one = state.join(sizes, "id").select("key", "id", "comp", "n")
             two = one.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            pairs = one.join(two, "key").where((F.col("a") < F.col("id")) & (F.col("ca") != F.col("comp")) & may_match(F.col("na"), F.col("n")))
+            pairs = one.join(two, "key").where((F.col("a") < F.col("id")) & (F.col("ca") != F.col("comp")) & fits(F.col("na"), F.col("n")))
             pairs = pairs.select("a", F.col("id").alias("b")).distinct()
         else:
             lead = state.groupBy("key").agg(F.max(F.struct((~F.col("done")).alias("f"), "score", (-F.col("id")).alias("o"), "comp")).alias("x"))
