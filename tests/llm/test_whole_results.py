@@ -355,7 +355,7 @@ def test_lines_of_odd_shapes(spark, tmp_path):
     d = stored(spark, rows, tmp_path, "doc_id string, text string, n_lines string")
     out = sorted((str(r.doc_id), r.n_lines, r.n_removed, hashlib.md5(r.text.encode()).hexdigest()[:6], len(r.text)) for r in line_dedup.dedup_lines(d).collect())
     assert [(x[0], x[1], x[2], x[4]) for x in out] in (
-        [("None", 2, 2, 0), ("a", 1, 1, 0), ("a", 3, 0, len(long) + 9), ("b", 4, 2, 1), ("z", 1, 0, 0)],
+        [("None", 2, 2, 0), ("a", 1, 1, 0), ("a", 3, 0, len(long) + 10), ("b", 4, 2, 1), ("z", 1, 0, 0)],
         [("None", 2, 2, 0), ("a", 1, 0, 4), ("a", 3, 1, len(long) + 5), ("b", 4, 2, 1), ("z", 1, 0, 0)],
     )
 
