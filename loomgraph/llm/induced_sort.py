@@ -37,7 +37,7 @@ def on_disk(a: np.ndarray, memory: int) -> np.ndarray:
     file = tempfile.TemporaryFile(prefix="loomgraph-text-")
     out = np.memmap(file, a.dtype, "w+", shape=a.shape)
     out[:] = a
-    return out
+    return out.view(np.ndarray)
 
 
 class Queues:
@@ -104,12 +104,13 @@ class Feeder:
         self.since = np.full(sigma, FAR)
 
     def feed(self, rows: np.ndarray) -> None:
-        """``rows`` in scan order; a row's lcp is shared with the row scanned before it."""
+        """``rows`` in scan order; a row's lcp is shared with the row scanned before it.  With a
+        depth of 1 only the order counts."""
         pos, lcp = rows["pos"], rows["lcp"]
         pred = np.maximum(pos, 1) - 1
         at = np.flatnonzero((pos > 0) & (self.stype[pred] == self.want))
         if not len(at):
-            if len(lcp):
+            if len(lcp) and self.depth > 1:
                 self.since = np.minimum(self.since, lcp.min())
             return
         value = self.s[pred[at]]
@@ -118,6 +119,11 @@ class Feeder:
         first = np.append(True, value[1:] != value[:-1])
         begin = np.flatnonzero(first)
         last = np.append(begin[1:], len(at)) - 1
+        if self.depth == 1:  # no common prefixes are asked for
+            out = entries(pred[at], 0)
+            for a, z in zip(begin.tolist(), (last + 1).tolist(), strict=True):
+                self.queues.push(int(value[a]), out[a:z])
+            return
         # least common prefix of the rows after the feeding before, up to this one
         before = np.append(0, at[:-1] + 1)
         before[first] = 0
