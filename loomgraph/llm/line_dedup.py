@@ -265,7 +265,7 @@ def gram_set(text: str, gram: int) -> np.ndarray:
 TABLE, BLANK = bytes(LOWER.tolist()), bytes(np.flatnonzero(SPACE).tolist())
 #: Longs of a sketch (each shingle of a line sets one of their bits), and of the finer one that
 #: rules pairs out where a group is compared in full.
-SKETCH, FINE = 16, 64
+SKETCH, FINE = 16, 32
 
 
 COARSE_BITS, FINE_BITS = [f"s{i}" for i in range(SKETCH)], [f"f{i}" for i in range(FINE)]
