@@ -6,9 +6,11 @@ Each class has ``HASHES`` MinHash values, and ``BANDS`` sets of ``ROWS`` of them
 bands; classes that share a band are candidates, verified by exact Jaccard on their
 shingle sets, and linked by a distributed union-find.  A pair at similarity 0.8 is a
 candidate with probability 0.995, one at 0.9 with more than 0.9999; strangers at 0.05
-with 6 in a million, so few meet in a large corpus.  Band keys are never stored: they
-are shipped packed to the block of their key, where only keys of two classes or more are
-kept; of a key that a mapper meets in several lines the block gets one record.  Candidates whose set sizes or sketches rule
+with 6 in a million, one at 0.1 with 2 in ten thousand, which grows with the square of a
+corpus.  So a band key carries all ``HASHES`` values in two bits each: lines of one key that
+differ in more of them than a pair at the threshold ever does (one in a million) are no
+candidates.  Band keys are never stored: they are shipped packed to the block of their key, where
+only keys of two classes or more are kept.  Candidates whose set sizes or sketches rule
 the threshold out are dropped before their texts are shipped; that loses none.
 
 The first line of a component, by (id, row, line number), stays; the others
@@ -24,6 +26,7 @@ replaced; ``__rid`` and ``__lines`` are reserved names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from .common import LOWER, SPACE, Scratch, block_count, digests, freed, mix64, s
 from .linking import link_components
 
 HASHES, BANDS, ROWS = 48, 18, 5
+#: Words of all MinHash values in two bits each.
+WORDS = HASHES // 16
 _rng = np.random.Generator(np.random.PCG64(77))
 _seeds = _rng.integers(0, 1 << 32, (2, HASHES), dtype=np.uint32)
 
@@ -74,31 +79,50 @@ def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def gram_codes(low: np.ndarray, gram: int) -> np.ndarray:
     """A 32-bit code of the ``gram`` bytes from every position."""
     m = max(len(low) - gram + 1, 0)
-    x = np.zeros(m, np.uint32)
+    x, wide = np.zeros(m, np.uint32), low.astype(np.uint32) + np.uint32(1)
     for j in range(gram):
-        x = x * np.uint32(0x01000193) + low[j : j + m].astype(np.uint32) + np.uint32(1)
+        x *= np.uint32(0x01000193)
+        x += wide[j : j + m]
     x ^= x >> np.uint32(15)
     x *= np.uint32(0x2C1B3C6D)
     x ^= x >> np.uint32(12)
     return x
 
 
-def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
-    """(lines, BANDS) 64-bit band keys; lines must be of ``gram`` bytes or more."""
+def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) 64-bit band keys, and (lines, WORDS) all MinHash values in two bits each;
+    lines must be of ``gram`` bytes or more."""
     codes = gram_codes(low, gram)
     cuts = np.empty(2 * len(start), np.int64)
     cuts[::2], cuts[1::2] = start, end - gram + 1
     trim = len(cuts) - (cuts[-1] >= len(codes))
-    least = np.empty((HASHES, len(start)), np.uint64)
+    least, mixed = np.empty((HASHES, len(start)), np.uint64), np.empty_like(codes)
     for p in range(HASHES):
-        least[p] = np.minimum.reduceat((codes ^ _seeds[0, p]) * (_seeds[1, p] | np.uint32(1)), cuts[:trim])[::2]
+        np.bitwise_xor(codes, _seeds[0, p], out=mixed)
+        np.multiply(mixed, _seeds[1, p] | np.uint32(1), out=mixed)
+        least[p] = np.minimum.reduceat(mixed, cuts[:trim])[::2]
     out = np.empty((len(start), BANDS), np.uint64)
     for b, picks in enumerate(PICKS):
         key = np.full(len(start), b + 1, np.uint64)
         for p in picks:
             key = mix64(key * np.uint64(31) + least[p])
         out[:, b] = key
-    return out
+    two = (mix64(least) >> np.uint64(62)).astype(np.uint32)
+    sig = np.zeros((len(start), WORDS), np.uint32)
+    for p in range(HASHES):
+        sig[:, p // 16] |= two[p] << np.uint32(2 * (p % 16))
+    return out, sig
+
+
+def most_apart(pct: int, loss: float = 1e-6) -> int:
+    """The most MinHash values, of all in two bits, in which a pair at ``pct`` that shares a band
+    differs, but for a share of ``loss`` of such pairs."""
+    free, p = HASHES - ROWS, (100 - pct) / 100 * 3 / 4
+    tail, k = 1.0, -1
+    while tail >= loss:
+        k += 1
+        tail -= comb(free, k) * p**k * (1 - p) ** (free - k)
+    return k
 
 
 #: Bytes of a vectorised step: its arrays stay in a core's cache.
@@ -126,13 +150,10 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["rid", "id", "line", "h1", "h2"])
 
 
-#: A packed band: the key's upper half (its block tells the rest) and 48 bits of the line's
-#: digest; a stranger of the same 48 bits is one candidate more, which the check rules out.
-REC = np.dtype([("key", np.uint32), ("low", np.uint32), ("high", np.uint16), ("size", np.uint16)])
-#: Sizes are packed in steps of this many per doubling, rounded down.
-STEPS = 512
-#: What a packed row holds: band keys of one line, keys that stand for several, pairs for all.
-ONE, STANDS, SEVERAL = 0, 1, 2
+#: A packed band: the key's upper half (its block tells the rest), 48 bits of the line's digest
+#: (a stranger of the same 48 bits is one candidate more, which the check rules out), and its MinHash
+#: values in two bits each.
+REC = np.dtype([("key", np.uint32), ("low", np.uint32), ("high", np.uint16), ("sig", np.uint32, (WORDS,))])
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,97 +161,105 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(x))[: len(cut)].astype(int)
 
 
-def _packed(key: np.ndarray, h: np.ndarray, size: np.ndarray) -> bytes:
-    rec = np.empty(len(key), REC)
-    rec["size"] = size
-    rec["key"], rec["low"], rec["high"] = key >> np.uint64(32), h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
-    return rec.tobytes()
-
-
 def _bands(gram: int, blocks: int, most: int = 1 << 19):
-    """(text) to packed band keys with the line's digest, by block of the key; a digest
-    that the task remembers is not sent again."""
-
-    def flush(keys: list[np.ndarray], lines: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
-        key, h, size = np.concatenate(keys), np.concatenate(lines), np.concatenate(sizes)
-        order = np.lexsort((h, key))
-        key, h, size = key[order], h[order], size[order]
-        block = (key % np.uint64(blocks)).astype(np.int64)
-        begin, end = _runs(key)
-        many = np.repeat(end - begin > 1, end - begin)
-        out: list[tuple[int, bytes, int]] = []
-        for kind, at in ((ONE, np.flatnonzero(~many)), (STANDS, begin[end - begin > 1]), (SEVERAL, np.flatnonzero(many))):
-            at = at[np.argsort(block[at], kind="stable")]
-            out += [(int(block[at[a]]), _packed(key[at[a:z]], h[at[a:z]], size[at[a:z]]), kind) for a, z in zip(*_runs(block[at]), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["block", "data", "kind"])
+    """(text) to packed band keys, by block of the key; a line that the task remembers is not
+    sent again."""
+
+    def flush(keys: list[np.ndarray], lines: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        key, h, sig = np.concatenate(keys).ravel(), np.concatenate(lines), np.concatenate(sigs)
+        block = (key % np.uint64(blocks)).astype(np.uint16 if blocks <= 1 << 16 else np.int64)
+        order = np.argsort(block, kind="stable")
+        block, at = block[order], order // BANDS
+        rec = np.empty(len(order), REC)
+        rec["key"], rec["sig"], own = key[order] >> np.uint64(32), sig[at], h[at]
+        rec["low"], rec["high"] = own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)
+        begin, end = _runs(block)
+        data = [rec[a:z].tobytes() for a, z in zip(begin, end, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[begin].astype(np.int64)), pa.array(data, pa.binary())], ["block", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, keys, lines, sizes, total = np.zeros(0, np.uint64), [], [], [], 0
+        seen: set[int] = set()
+        keys, lines, sigs, total = [], [], [], 0
         for _, low, start, end, _, _ in _spans(batches, gram, 0):
-            h, one = np.unique(digests(low, start, end)[:, 0].view(np.uint64) >> np.uint64(16), return_index=True)
-            new = ~np.isin(h, seen, assume_unique=True)
-            h, one = h[new], one[new]
-            if not len(one):
+            h = digests(low, start, end)[:, 0].view(np.uint64) >> np.uint64(16)
+            new = []
+            for i, x in enumerate(h.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            if len(seen) >= most:
+                seen.clear()
+            if not new:
                 continue
-            seen = np.concatenate([seen, h]) if len(seen) < most else h
-            by = np.argsort(one)
-            keys.append(signatures(low, start[one[by]], end[one[by]], gram).ravel())
-            lines.append(np.repeat(h[by], BANDS))
-            grams = distinct_grams(low, start[one[by]], end[one[by]], gram)
-            sizes.append(np.repeat(np.minimum(np.log2(grams) * STEPS, 65535).astype(np.uint16), BANDS))
-            total += len(keys[-1])
+            key, sig = signatures(low, start[new], end[new], gram)
+            keys.append(key)
+            lines.append(h[new])
+            sigs.append(sig)
+            total += key.size
             if total >= most:
-                yield flush(keys, lines, sizes)
-                keys, lines, sizes, total = [], [], [], 0
+                yield flush(keys, lines, sigs)
+                keys, lines, sigs, total = [], [], [], 0
         if keys:
-            yield flush(keys, lines, sizes)
+            yield flush(keys, lines, sigs)
 
     return run
 
 
-def _shared(pct: int):
-    """A block's packed band keys to (key, h) of the keys that two lines or more have; a line
-    goes where no other of its key is of a similar size."""
-    near = int(np.ceil(np.log2(100 / pct) * STEPS)) + 1
+#: Up to this many lines of a key are held against each other by their MinHash values; of a
+#: larger key all lines stay.
+HELD = 128
+
 
-    def read(block: int, data: bytes) -> tuple[np.ndarray, ...]:
-        rec = np.frombuffer(data, REC)
-        return rec["key"].astype(np.int64) | block % (1 << 31) << 32, rec["low"].astype(np.int64) | rec["high"].astype(np.int64) << 32, rec["size"].astype(np.int64)
+def _alike(sig: np.ndarray, begin: np.ndarray, size: np.ndarray, apart: int) -> np.ndarray:
+    """Which rows have another of their run (of two rows or more) that differs in ``apart`` values at most."""
+    keep = np.repeat(size > HELD, size)
+    one = sig[:, 0].astype(np.uint64) | sig[:, 1].astype(np.uint64) << np.uint64(32), sig[:, 2]
+    for m in np.unique(size[size <= HELD]).tolist():
+        runs = begin[size == m]
+        step = max(1, (1 << 20) // (m * m))
+        for lo in range(0, len(runs), step):
+            at = runs[lo : lo + step, None] + np.arange(m)
+            odd = np.zeros((len(at), m, m), np.uint8)
+            for word, mask in zip(one, (np.uint64(0x5555555555555555), np.uint32(0x55555555)), strict=True):
+                x = word[at][:, :, None] ^ word[at][:, None, :]
+                odd += np.bitwise_count((x | x >> x.dtype.type(1)) & mask)
+            near = odd <= apart
+            near[:, np.arange(m), np.arange(m)] = False
+            keep[at] = near.any(axis=2)
+    return keep
 
-    def rows(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(key), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 16)]), pa.array(h[a : a + (1 << 16)])], ["key", "h"])
 
-    def alike(key: np.ndarray, h: np.ndarray, size: np.ndarray, stands: np.ndarray) -> np.ndarray:
-        """In order of (key, size, h): whether the row before or after has the key, a similar size
-        and other content, or stands for more lines than itself."""
-        same = (key[1:] == key[:-1]) & ((size[1:] - size[:-1] <= near) | stands[1:] | stands[:-1]) & (h[1:] != h[:-1])
-        return np.append(same, False) | np.append(False, same)
+def _shared(pct: int):
+    """Packed band keys to (key, h) of the keys that two lines or more have; a line goes where
+    its MinHash values are unlike those of all others.  Keys of the same lines get one name."""
+    apart = most_apart(pct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, stands = [], []
+        blocks: dict[int, list[bytes]] = {}
         for b in batches:
-            for block, data, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                got = read(block, data)
-                if kind == SEVERAL:
-                    yield from rows(got[0], got[1])
-                else:
-                    parts.append(got)
-                    stands.append(np.full(len(got[0]), kind == STANDS))
-        if not parts:
-            return
-        key, h, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        several = np.concatenate(stands)
-        parts.clear()
-        # a key of which several lines met elsewhere keeps all it has
-        begin, end = _runs(key[np.argsort(key, kind="stable")])
-        order = np.lexsort((several, h, size, key))
-        key, h, size, several = key[order], h[order], size[order], several[order]
-        many = np.repeat(np.add.reduceat(several.astype(np.int64), begin) > 0, end - begin)
-        new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))
-        key, h, size, several, many = key[new], h[new], size[new], several[new], many[new]
-        keep = many | alike(key, h, size, several)
-        yield from rows(key[keep], h[keep])
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blocks.setdefault(block, []).append(data)
+        while blocks:
+            rec = np.frombuffer(b"".join(blocks.popitem()[1]), REC)
+            both = np.sort(rec["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(rec), dtype=np.uint64))
+            key = both >> np.uint64(32)
+            same = key[1:] == key[:-1]
+            many = np.append(same, False) | np.append(False, same)
+            key, rec = key[many], rec[(both[many] & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+            h = rec["low"].astype(np.uint64) | rec["high"].astype(np.uint64) << np.uint64(32)
+            order = np.lexsort((h, key))
+            key, h, sig = key[order], h[order], rec["sig"][order]
+            new = np.append(True, (key[1:] != key[:-1]) | (h[1:] != h[:-1]))[: len(key)]
+            key, h, sig = key[new], h[new], sig[new]
+            begin, end = _runs(key)
+            keep = _alike(sig, begin, end - begin, apart)
+            key, h = key[keep], h[keep]
+            begin, end = _runs(key)
+            if not len(begin):
+                continue
+            name = np.repeat(np.bitwise_xor.reduceat(mix64(h + np.uint64(1)), begin) + (end - begin).astype(np.uint64), end - begin)
+            for a in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + (1 << 16)].view(np.int64)) for x in (name, h)], ["key", "h"])
 
     return run
 
@@ -244,17 +273,6 @@ def line_grams(raw: bytes, gram: int) -> np.ndarray:
     return x
 
 
-def distinct_grams(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -> np.ndarray:
-    """The number of distinct shingles of each line."""
-    n = end - start - gram + 1
-    codes = gram_codes(low, gram)
-    own = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-    both = np.sort(own << np.uint64(32) | codes[at].astype(np.uint64))
-    new = np.append(True, both[1:] != both[:-1])
-    return np.bincount((both[new] >> np.uint64(32)).astype(np.int64), minlength=len(n))
-
-
 def gram_set(text: str, gram: int) -> np.ndarray:
     """Sorted distinct shingles of a line."""
     x = line_grams(text.encode().translate(TABLE).strip(BLANK), gram)
@@ -263,38 +281,41 @@ def gram_set(text: str, gram: int) -> np.ndarray:
 
 
 TABLE, BLANK = bytes(LOWER.tolist()), bytes(np.flatnonzero(SPACE).tolist())
-#: Longs of a sketch (each shingle of a line sets one of their bits), and of the finer one that
-#: rules pairs out where a group is compared in full.
-SKETCH, FINE = 16, 32
-
-
-COARSE_BITS, FINE_BITS = [f"s{i}" for i in range(SKETCH)], [f"f{i}" for i in range(FINE)]
+#: Longs of a sketch: each shingle of a line flips one of their bits.
+SKETCH = 16
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
 
 
 def sketches(lines: list[bytes], gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of distinct shingles, and both sketches, of each line (lower-cased, trimmed)."""
+    """Number of distinct shingles, and the sketch, of each line (lower-cased, trimmed)."""
     n = np.array([len(x) - gram + 1 for x in lines], np.int64)
-    grams = np.concatenate([line_grams(x, gram) for x in lines])
-    own = np.repeat(np.arange(len(lines)), n)
-    order = np.lexsort((grams, own))
-    grams, own = grams[order], own[order]
-    new = np.append(True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]))
-    grams, own = grams[new], own[new]
-    bits = np.zeros((len(lines), 64 * FINE), np.uint8)
-    bits[own, (mix64(grams) >> np.uint64(40)).astype(np.int64) % (64 * FINE)] = 1
-    fine = np.packbits(bits, axis=1).view(np.int64)
-    coarse = np.bitwise_or.reduce(fine.reshape(len(lines), -1, SKETCH), axis=1)
-    return np.bincount(own, minlength=len(lines)), np.concatenate([coarse, fine], axis=1)
-
-
-def may_match(pct: int, size: int = SKETCH):
+    data = b"".join(lines)
+    at = np.arange(int(n.sum())) + np.repeat(np.arange(len(n)) * (gram - 1), n)
+    grams, own = line_grams(data, gram)[at], np.repeat(np.arange(len(n)), n)
+    if 8 * gram + len(n).bit_length() <= 64:
+        high = np.uint64(8 * gram)
+        both = np.sort(own.astype(np.uint64) << high | grams)
+        both = both[np.append(True, both[1:] != both[:-1])]
+        own, grams = (both >> high).astype(np.int64), both & np.uint64((1 << 8 * gram) - 1)
+    else:
+        order = np.lexsort((grams, own))
+        grams, own = grams[order], own[order]
+        new = np.append(True, (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]))
+        grams, own = grams[new], own[new]
+    width = 64 * SKETCH
+    bit = (mix64(grams) >> np.uint64(40)).astype(np.int64) % width
+    bits = (np.bincount(own * width + bit, minlength=len(n) * width) & 1).astype(np.uint8)
+    return np.bincount(own, minlength=len(n)), np.packbits(bits.reshape(len(n), width), axis=1).view(np.int64)
+
+
+def may_match(pct: int):
     """Whether two (size, sketch) can be at ``pct``; never false for a pair that is.
 
-    At similarity p at most (a + b)(1 - p) / (1 + p) shingles are in one set only, and a bit
-    that only one sketch has stands for one of them at least."""
+    At similarity p at most (a + b)(1 - p) / (1 + p) shingles are in one set only, and those
+    that both have flip the same bits, so a bit that differs stands for one of them at least."""
 
     def test(a: Column, b: Column) -> Column:
-        odd = sum((F.bit_count(a[f"s{i}"].bitwiseXOR(b[f"s{i}"])) for i in range(size)), F.lit(0))
+        odd = sum((F.bit_count(a[x].bitwiseXOR(b[x])) for x in SKETCHES), F.lit(0))
         fits = F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * pct
         return fits & (odd * (100 + pct) <= (a["size"] + b["size"]) * (100 - pct))
 
@@ -303,7 +324,7 @@ def may_match(pct: int, size: int = SKETCH):
 
 def _pick(gram: int, most: int = 1 << 18):
     """(text, wanted: [(cid, line)]) to (cid, line text, number of shingles, sketch)."""
-    names = ["cid", "t", "size", *COARSE_BITS, *FINE_BITS]
+    names = ["cid", "t", "size", *SKETCHES]
 
     def flush(cids: list, texts: list[str], lines: list[bytes]) -> pa.RecordBatch:
         sizes, own = sketches(lines, gram)
@@ -390,11 +411,11 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
     place = F.struct(F.col("id").isNull().alias("o"), "id", "rid", "line")
     classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"))
     classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
-    packed = src.select("t").mapInArrow(*freed(_bands(gram, blocks), "block long, data binary, kind int"))
+    packed = src.select("t").mapInArrow(*freed(_bands(gram, blocks), "block long, data binary"))
     shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(*freed(_shared(pct), "key long, h long")).distinct())
     buckets = shared.join(classes.select(F.shiftrightunsigned("h1", 16).alias("h"), "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
     buckets = scratch.table(buckets)
-    longs = ", ".join(f"{x} long" for x in COARSE_BITS + FINE_BITS)
+    longs = ", ".join(f"{x} long" for x in SKETCHES)
     near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
     want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
     texts = scratch.table(src.select("rid", "t").join(want.hint("merge"), "rid").select("t", "w").mapInArrow(*freed(_pick(gram), f"cid long, t string, size long, {longs}")))
@@ -404,10 +425,8 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
         b = texts.select(F.col("cid").alias("b"), F.col("t").alias("tb"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(*freed(_verify(gram, pct), "src long, dst long"))
 
-    shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *COARSE_BITS).alias("n"))
-    fine = F.struct("size", *[F.col(x).alias(f"s{i}") for i, x in enumerate(FINE_BITS)])
-    finer = texts.select(F.col("cid").alias("id"), fine.alias("n")), may_match(pct, FINE)
-    labels = link_components(buckets, shapes, verify, may_match(pct), scratch, finer)
+    shapes = texts.select(F.col("cid").alias("id"), F.struct("size", *SKETCHES).alias("n"))
+    labels = link_components(buckets, shapes, verify, may_match(pct), scratch)
     alike = classes.where("m > 1")
     if labels is not None:
         alike = classes.join(labels.select(F.col("id").alias("cid"), "comp"), "cid", "left").where("m > 1 or comp is not null")

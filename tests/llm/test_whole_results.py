@@ -360,6 +360,62 @@ def test_lines_of_odd_shapes(spark, tmp_path):
     )
 
 
+def few_syllables(rng, n: int) -> str:
+    return " ".join("".join(rng.choices(("an", "er", "st", "ion", "wh", "and", "tr", "ou", "the", "re", "se", "ti", "qu", "le"), k=3)) for _ in range(n))
+
+
+def test_strangers_of_a_band_are_no_candidates():
+    rng = random.Random(4)
+    lines = [few_syllables(rng, 60) for _ in range(3000)]
+    copies = [f"{x[:100]}#{x[103:]}" for x in lines[:40]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["\n".join(part)])], ["text"]) for part in (lines[:1500], lines[1500:] + copies)]
+    found = set()
+    for b in line_dedup._shared(80)(line_dedup._bands(5, 4)(iter(batches))):
+        found |= set(b.column(1).to_pylist())
+    name = lambda x: int(common.digests(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x)]))[:, 0].view(np.uint64)[0] >> np.uint64(16))
+    near = {name(x) for x in lines[:40] + copies}
+    assert near <= found and len(found - near) <= 30
+
+
+def test_minhash_values_of_a_pair_at_the_threshold_are_alike():
+    for pct in (60, 80, 90):
+        differ = np.random.default_rng(1).random((200_000, line_dedup.HASHES - line_dedup.ROWS)) < (100 - pct) / 100 * 3 / 4
+        assert (differ.sum(axis=1) > line_dedup.most_apart(pct)).sum() <= 3
+    rng = random.Random(6)  # pairs of lines at 0.8 and above, as they are in text
+    pairs = []
+    while len(pairs) < 400:
+        a = few_syllables(rng, 40)
+        b = "".join("#" if rng.random() < 0.015 else x for x in a)
+        x, y = ({t[j : j + 5] for j in range(len(t) - 4)} for t in (a, b))
+        if a != b and 0.8 <= len(x & y) / len(x | y) < 0.86:
+            pairs.append((a, b))
+    for both in pairs:
+        raw = np.frombuffer("\n".join(both).encode(), np.uint8)
+        cut = len(both[0])
+        _, sig = line_dedup.signatures(raw, np.array([0, cut + 1]), np.array([cut, len(raw)]), 5)
+        x = sig[0] ^ sig[1]
+        assert int(np.bitwise_count((x | x >> np.uint32(1)) & np.uint32(0x55555555)).sum()) <= line_dedup.most_apart(80)
+
+
+@pytest.mark.parametrize("gram", [5, 8])
+def test_sketches_are_sound_and_tell_long_lines_apart(gram):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n)).encode()
+    lines = []
+    for n in (gram, 30, 200, 900, 1500):
+        x = word(n).strip().ljust(gram, b"q")
+        lines += [x, x[: n // 2] + b"#" + x[n // 2 :], x[: n * 3 // 4] + word(max(n // 4, gram)), word(n).strip().ljust(gram, b"q")]
+    sets = [{x[j : j + gram] for j in range(len(x) - gram + 1)} for x in lines]
+    size, sketch = line_dedup.sketches(lines, gram)
+    assert size.tolist() == [len(x) for x in sets]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            odd = int(np.bitwise_count((sketch[i, : line_dedup.SKETCH] ^ sketch[j, : line_dedup.SKETCH]).view(np.uint64)).sum())
+            assert odd <= len(a ^ b)
+            if len(a & b) < 0.65 * len(a | b) and min(len(a), len(b)) > 100:
+                assert odd * 180 > (len(a) + len(b)) * 20
+
+
 # ----------------------------------------------------------------- pipeline
 def brute_near(texts: dict[int, str]) -> set[int]:
     sets = {}
