@@ -101,17 +101,14 @@ def signatures(low: np.ndarray, start: np.ndarray, end: np.ndarray, gram: int) -
         np.bitwise_xor(codes, _seeds[0, p], out=mixed)
         np.multiply(mixed, _seeds[1, p] | np.uint32(1), out=mixed)
         least[p] = np.minimum.reduceat(mixed, cuts[:trim])[::2]
-    out = np.empty((len(start), BANDS), np.uint64)
-    for b, picks in enumerate(PICKS):
-        key = np.full(len(start), b + 1, np.uint64)
-        for p in picks:
-            key = mix64(key * np.uint64(31) + least[p])
-        out[:, b] = key
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(start), axis=1)
+    for picks in PICKS.T:
+        out = mix64(out * np.uint64(31) + least[picks])
     two = (mix64(least) >> np.uint64(62)).astype(np.uint32)
     sig = np.zeros((len(start), WORDS), np.uint32)
     for p in range(HASHES):
         sig[:, p // 16] |= two[p] << np.uint32(2 * (p % 16))
-    return out, sig
+    return out.T, sig
 
 
 def most_apart(pct: int, loss: float = 1e-6) -> int:
@@ -388,12 +385,11 @@ def _rebuild(text_at: int, drop_at: int):
             texts, n_lines, n_gone = [], [], []
             for t, drop in zip(b.column(text_at), b.column(drop_at).to_pylist(), strict=True):
                 t = t.as_py()
-                parts = t.split("\n") if t is not None else []
-                n_lines.append(len(parts))
+                n_lines.append(t.count("\n") + 1 if t is not None else 0)
                 n_gone.append(len(drop or ()))
                 if drop:
                     gone = set(drop)
-                    t = "\n".join([x for i, x in enumerate(parts) if i not in gone])
+                    t = "\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone])
                 texts.append(t)
             cols = list(b.columns)
             cols[text_at] = pa.array(texts, pa.string())
@@ -407,18 +403,20 @@ def _rebuild(text_at: int, drop_at: int):
 def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: int) -> DataFrame:
     """src: (rid, id, t).  (__rid, lines): the numbers of the lines to remove, for rows that lose any."""
     kind, blocks = src.schema["id"].dataType.simpleString(), block_count(src)
-    lines = scratch.table(src.select("rid", "id", "t").mapInArrow(*freed(_lines, f"rid long, id {kind}, line int, h1 long, h2 long")))
-    place = F.struct(F.col("id").isNull().alias("o"), "id", "rid", "line")
-    classes = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m"))
-    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
+    lines = scratch.table(src.select("rid", "id", "t").mapInArrow(*freed(_lines, f"rid long, id {kind}, line int, h1 long, h2 long")), dictionary=False)
     packed = src.select("t").mapInArrow(*freed(_bands(gram, blocks), "block long, data binary"))
     shared = scratch.table(packed.repartition(blocks, "block").mapInArrow(*freed(_shared(pct), "key long, h long")).distinct())
-    buckets = shared.join(classes.select(F.shiftrightunsigned("h1", 16).alias("h"), "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
+    # only classes of several lines, or with a line of a shared key, are stored; any line of a class has its text
+    classes = lines.groupBy("h1", "h2").agg(F.first("rid").alias("rid"), F.first("line").alias("line"), F.count("*").alias("m"))
+    short = shared.select("h").distinct().withColumn("near", F.lit(True))
+    classes = classes.withColumn("h", F.shiftrightunsigned("h1", 16)).join(short.hint("shuffle_hash"), "h", "left").where("m > 1 or near")
+    classes = scratch.table(classes.withColumn("cid", F.monotonically_increasing_id()))
+    near = classes.where("near")
+    buckets = shared.join(near.select("h", "cid", "m"), "h").select("key", F.col("cid").alias("id"), F.col("m").alias("score"))
     buckets = scratch.table(buckets)
     longs = ", ".join(f"{x} long" for x in SKETCHES)
-    near = classes.join(buckets.select(F.col("id").alias("cid")).distinct(), "cid", "left_semi")
-    want = near.groupBy(F.col("first.rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("first.line").alias("line"))).alias("w"))
-    texts = scratch.table(src.select("rid", "t").join(want.hint("merge"), "rid").select("t", "w").mapInArrow(*freed(_pick(gram), f"cid long, t string, size long, {longs}")))
+    want = near.groupBy("rid").agg(F.collect_list(F.struct("cid", "line")).alias("w"))
+    texts = scratch.table(src.select("rid", "t").join(want.hint("shuffle_hash"), "rid").select("t", "w").mapInArrow(*freed(_pick(gram), f"cid long, t string, size long, {longs}")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("cid").alias("a"), F.col("t").alias("ta"))
@@ -433,10 +431,10 @@ def _removed(src: DataFrame, scratch: Scratch, final: Scratch, pct: int, gram: i
         alike = alike.withColumn("comp", F.coalesce("comp", "cid"))
     else:
         alike = alike.withColumn("comp", F.col("cid"))
-    alike = scratch.table(alike.select("h1", "h2", "comp", "first"))
-    best = scratch.table(alike.groupBy("comp").agg(F.min("first").alias("best")).select("comp", F.col("best.rid").alias("r"), F.col("best.line").alias("l")))
-    rule = scratch.table(alike.join(best, "comp").select("h1", "h2", "r", "l"))
-    gone = lines.join(rule.hint("merge"), ["h1", "h2"]).where("rid <> r or line <> l")
+    hits = scratch.table(lines.join(alike.select("h1", "h2", "comp").hint("shuffle_hash"), ["h1", "h2"]).select("comp", "id", "rid", "line"))
+    place = F.struct(F.col("id").isNull().alias("o"), "id", "rid", "line")
+    best = scratch.table(hits.groupBy("comp").agg(F.min(place).alias("best")).select("comp", F.col("best.rid").alias("r"), F.col("best.line").alias("l")))
+    gone = hits.join(best, "comp").where("rid <> r or line <> l")
     return final.table(gone.groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("line").alias("__lines")))
 
 
@@ -455,6 +453,6 @@ def dedup_lines(
         own = with_row_id(docs.select(*keep), final)
         src = own.select(F.col("__rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         gone = _removed(src, scratch, final, pct, gram)
-    df = own.join(gone.hint("merge"), "__rid", "left").select(*keep, "__lines")
+    df = own.join(gone.hint("shuffle_hash"), "__rid", "left").select(*keep, "__lines")
     schema = docs.select(*keep).schema.add("n_lines", "long").add("n_removed", "long")
     return df.mapInArrow(*freed(_rebuild(keep.index(text_col), len(keep)), schema))
